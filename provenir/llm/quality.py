@@ -1,8 +1,8 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours in a latent space.
 
 Terms are unigrams and bigrams of byte classes (each ASCII sign alone, letters by case,
-digits and non-ASCII bytes together), counted over whole texts, and hashed lower-case
-words.  A bounded sample of labelled documents gives idf weights and, by a truncated SVD,
+digits and non-ASCII bytes together), and one term for words that equal the word before
+them, all counted over whole texts.  A bounded sample of labelled documents gives idf weights and, by a truncated SVD,
 a latent-semantic basis; its vectors (at most ``SAMPLE`` x ``RANK`` floats, about 1 MB) are
 broadcast.  Every document is compared with every labelled vector by exact cosine, in
 blocks, and its ``NEIGHBOURS`` nearest vote with weight similarity**``POWER``.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +53,18 @@ def _classes() -> tuple[np.ndarray, int]:
 
 
 CLASS_OF, CLASSES = _classes()
-TERMS = CLASSES + CLASSES * CLASSES
+TERMS = CLASSES + CLASSES * CLASSES + 1
+#: Weight of the term for repeated neighbours, which has no idf of its own kind.
+REPEAT_WEIGHT = 8.0
 
 
 def term_counts(text: bytes) -> np.ndarray:
-    """Class unigram and bigram counts of a whole text (TERMS,)."""
+    """Class unigram and bigram counts and repeated neighbours of a whole text (TERMS,)."""
     c = CLASS_OF[np.frombuffer(text, np.uint8)]
     pairs = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) if len(c) > 1 else np.zeros(CLASSES * CLASSES)
-    return np.concatenate([np.bincount(c, minlength=CLASSES), pairs])
+    words = text.split()
+    repeats = sum(map(eq, words, words[1:]))
+    return np.concatenate([np.bincount(c, minlength=CLASSES), pairs, [repeats * len(text) // max(len(words), 1)]])
 
 
 @dataclass
@@ -73,6 +78,7 @@ class NeighbourModel:
     @staticmethod
     def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> NeighbourModel:
         idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.2
+        idf[-1] = REPEAT_WEIGHT
         x = _weighted(counts, idf)
         values, vectors = np.linalg.eigh(x.T @ x)
         basis = vectors[:, np.argsort(-values, kind="stable")[:rank]].astype(np.float32)
