@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from provenir.llm.language import op1_language
+from provenir.llm.maxent import op6_maxent
 from provenir.llm.media import op2_media
 from provenir.llm.mixing import op9_mixing
+from provenir.llm.packing import op7_packing
+from provenir.llm.pii import op8_pii
 from provenir.llm.quality import op5_quality
+from provenir.llm.rules import op10_rules
+from provenir.llm.simhash import op4_simhash
+from provenir.llm.urls import op3_urls
 
 QUERIES = {
     "op1_language": op1_language,
     "op2_media": op2_media,
+    "op3_urls": op3_urls,
+    "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op6_maxent": op6_maxent,
+    "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
+    "op10_rules": op10_rules,
 }
 
 #: No entry of QUERIES can be written in SQL: each needs a trained model, a byte format or
