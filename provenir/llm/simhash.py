@@ -292,7 +292,8 @@ def links(fps: DataFrame, bits: int = BITS, partitions: int = PARTITIONS) -> Dat
             sizes = np.diff(members.offsets.to_numpy())
             a = np.repeat(batch.column("probe").to_numpy(), sizes)
             b = members.flatten().to_numpy()
-            hit = (np.bitwise_count(a ^ b) <= bits) & (a != b)
+            # bitwise_count of signed numbers would count the bits of their absolute value
+            hit = (np.bitwise_count((a ^ b).view(np.uint64)) <= bits) & (a != b)
             if hit.any():
                 new = [(x, y) for x, y in zip(*(z.tolist() for z in _forest(a[hit], b[hit])), strict=True) if seen.join(x, y)]
                 if new:
