@@ -50,14 +50,14 @@ def read_spans(spark: SparkSession, path: str, spans: DataFrame, pattern: str =
 
 def spool(spark: SparkSession, path: str) -> DataFrame:
     """Observed commits in file order: (path, line_no, sha, branch, at, files)."""
-    files = spark.read.option("wholetext", "true").text(path).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return lines.select("path", "line_no", decode.spool_entry(F.col("line")).alias("e")).filter("e is not null").select("path", "line_no", "e.*")
 
 
 def session_states(spark: SparkSession, path: str) -> DataFrame:
     """One row per state file: (path, seq, stop, files); a broken file is the empty state."""
-    files = spark.read.option("wholetext", "true").text(path).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return files.select("path", decode.session_state(F.col("value")).alias("s")).select("path", "s.*")
 
 
@@ -72,13 +72,13 @@ def recent_log(spark: SparkSession, path: str) -> DataFrame:
 def tree_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, length) of every file below ``path``, with paths relative to it."""
     files = spark.read.schema(_BINARY).format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = F.lit(path.rstrip("/").removeprefix("file://") + "/")
-    return files.select(F.substring_index(F.col("path"), root, -1).alias("path"), F.sha2("content", 256).alias("sha256"), "length")
+    root = path.rstrip("/").removeprefix("file://") + "/"
+    return files.select(F.substr("path", F.locate(root, F.col("path")) + len(root)).alias("path"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def blame_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha, line, epoch, offset) from files of porcelain output, one line each."""
-    files = spark.read.option("wholetext", "true").text(path).withColumn("path", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return files.select("path", decode.blame_porcelain(F.col("value")).alias("b")).filter("b is not null").select("path", "b.*")
 
 

@@ -62,7 +62,14 @@ class LedgerProcessor(StatefulProcessor):
 
 
 def deliveries(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> DataFrame:
-    """One row per attempt with the ledger after it; attempts has the columns of ATTEMPT, batch or stream."""
+    """One row per attempt with the ledger after it; attempts has the columns of ATTEMPT, batch or stream.
+
+    The session needs the RocksDB state store.  A micro-batch brings a session's rows to
+    one task in memory (bound it with maxFilesPerTrigger); for whole histories in batch,
+    ledger_fold streams over sorted rows instead.
+    """
+    # a batch query looks for the coordinator that the stream manager starts
+    _ = attempts.sparkSession.streams.active
     mode = "Append" if attempts.isStreaming else "Update"
     return attempts.groupBy("session").transformWithStateInPandas(LedgerProcessor(caps), DELIVERY, mode, "None")
 
