@@ -4,7 +4,7 @@ Host labels are split into words by a unigram Viterbi search.  Its word counts c
 the text of all pages; a label is joined with just those of its substrings that occur as
 words, so no vocabulary is broadcast.  The words of host and path are hashed into
 ``BUCKETS`` and scored by a multinomial naive Bayes model whose training rows are the pages
-that a rule decides, next to a short list of seed words.  Pages without a rule are blocked
+that a rule decides; a short list of seed words has prior log odds of its own.  Pages without a rule are blocked
 where the log odds reach ``MARGIN``.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and
@@ -30,7 +30,7 @@ from provenir.runtime import materialize
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words that mark unwanted hosts and paths.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "click", "free", "gamble", "jackpot", "loan", "loans", "lottery", "pill", "pills", "poker", "porn", "prize", "sex", "slots", "spam", "track", "tracker", "viagra", "win", "xxx")
-BUCKETS, SEED_WEIGHT, SMOOTH, MARGIN, LONGEST = 16384, 500, 1.0, 2.0, 24
+BUCKETS, SEED_WEIGHT, SEED_ODDS, SMOOTH, MARGIN, LONGEST = 16384, 500, 10.0, 1.0, 2.0, 24
 _TAG = re.compile(rb"<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z]+;", re.S)
 _WORD = re.compile(rb"[a-z]{2,}")
 
@@ -133,11 +133,12 @@ def bayes(rows: DataFrame) -> list[float]:
     counts = {"block": [SMOOTH] * BUCKETS, "allow": [SMOOTH] * BUCKETS}
     for r in flat.groupBy("b", "verdict").count().collect():  # two rows a bucket at most
         counts[r["verdict"]][r["b"]] += r["count"]
-    spark = rows.sparkSession
-    for r in spark.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("w")).select(bucket(F.col("w")).alias("b")).collect():
-        counts["block"][r["b"]] += SEED_WEIGHT + counts["allow"][r["b"]]
     sums = {k: sum(v) for k, v in counts.items()}
-    return [round(math.log(x / sums["block"]) - math.log(y / sums["allow"]), 9) for x, y in zip(counts["block"], counts["allow"], strict=True)]
+    odds = [round(math.log(x / sums["block"]) - math.log(y / sums["allow"]), 9) for x, y in zip(counts["block"], counts["allow"], strict=True)]
+    seeds = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SEEDS))).alias("w")).select(bucket(F.col("w")).alias("b"))
+    for r in seeds.collect():
+        odds[r["b"]] = max(odds[r["b"]], SEED_ODDS)
+    return odds
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", rules: tuple = RULES) -> DataFrame:
