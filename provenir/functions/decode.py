@@ -236,6 +236,40 @@ def error_detail(body: Column, most: int = 64 * 1024) -> Column:
     return F.when(is_object(v), F.struct(as_string(field(error, "code")).alias("code"), as_count(owners).alias("owners_notified"), owners.isNotNull().alias("owners_recorded")))
 
 
+def tool_answer(status: Column, body: Column) -> Column:
+    """struct(kind, text, is_error, code, message) of one read over JSON-RPC.
+
+    kind is unreachable (no status), unauthorized, malformed, rpc-error or ok; only an ok
+    answer has a text, and whether the tool itself failed stays a field of its own.
+    """
+    v = parse(body)
+    error = field(v, "error")
+    code = F.coalesce(F.try_variant_get(error, "$.code", "long"), F.lit(0))
+    first = F.get(items(field(field(v, "result"), "content")), F.lit(0))
+    text = as_string(field(first, "text"))
+    kind_ = (
+        F.when(status.isNull(), "unreachable")
+        .when(status == 401, "unauthorized")
+        .when(v.isNull(), "malformed")
+        .when(~missing(error), "rpc-error")
+        .when(parse(text).isNull(), "malformed")
+        .otherwise("ok")
+    )
+    failed = F.coalesce(F.try_variant_get(field(v, "result"), "$.isError", "boolean"), F.lit(False))
+    return F.struct(
+        kind_.alias("kind"),
+        F.when(kind_ == "ok", text).alias("text"),
+        F.when(kind_ == "ok", failed).alias("is_error"),
+        F.when(kind_ == "rpc-error", code).alias("code"),
+        F.when(kind_ == "rpc-error", F.coalesce(as_string(field(error, "message")), F.lit(""))).alias("message"),
+    )
+
+
+def approval_pending(detail: Column, code: str) -> Column:
+    """Whether a delivery waits for an owner: the error's own code decides, not its status."""
+    return F.coalesce(detail["code"] == code, F.lit(False))
+
+
 def blame_porcelain(out: Column) -> Column:
     """struct(sha, line, epoch, offset) of one blamed line; null where it is not committed."""
     sha, line = F.regexp_extract(out, r"^([0-9a-f]{40}) \d+ (\d+)", 1), F.regexp_extract(out, r"^([0-9a-f]{40}) \d+ (\d+)", 2).try_cast("long")

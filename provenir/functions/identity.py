@@ -94,6 +94,12 @@ def is_allowed_ingest_url(url: Column) -> Column:
     return F.coalesce(((scheme == "https") & (host != "")) | ((scheme == "http") & loopback), F.lit(False))
 
 
+def ingest_url(override: Column, default: str) -> Column:
+    """The override if it is allowed; a refused one is null and never falls back to the default."""
+    trimmed = F.trim(override)
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(default)).when(is_allowed_ingest_url(trimmed), trimmed)
+
+
 def subagent_file_key(path: Column) -> Column:
     """agent-* base name without .jsonl, 1 to 128 characters, else null."""
     key = F.regexp_extract(path, r"(?:^|/)(agent-[^/]*)\.jsonl$", 1)

@@ -80,3 +80,8 @@ def failure_copy(cls: Column) -> Column:
         .when(cls == "never", "The receiver refuses this data; it is skipped and counted as a gap.")
         .when(cls == "fatal", "The credential is not accepted; delivery stops until it changes.")
     )
+
+
+def is_fresh(expires_at_ms: Column, now_ms: Column, margin_ms: int = 60_000) -> Column:
+    """A token that is still valid a minute from now."""
+    return expires_at_ms - margin_ms > now_ms

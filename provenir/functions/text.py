@@ -127,6 +127,37 @@ def grade_sentence(grade: Column) -> Column:
     return out
 
 
+def valid_since(value: Column) -> Column:
+    """The shape of a day; whether the day exists is not asked."""
+    return F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+
+
+def no_commits(ref: Column, window: Column) -> Column:
+    return F.format_string("No commits on %s in %s.", ref, window)
+
+
+def no_sessions(count: Column, window: Column) -> Column:
+    return F.format_string("No recorded sessions for the %d commits in %s.", count, window)
+
+
+def squash_resolved(blamed: Column, recorded: Column) -> Column:
+    return F.format_string("This line is attributed to %s; the session we hold was recorded against %s.", blamed, recorded)
+
+
+def probable_line(count: Column) -> Column:
+    return F.concat(count.cast("string"), F.lit(" more matched by patch id, reported separately and not counted above."))
+
+
+def files_without_turn(count: Column) -> Column:
+    return F.when(count > 0, counted(count, "more file in this commit has no linked turn.", "more files in this commit have no linked turn."))
+
+
+def truncation(first: Column, last: Column, total: Column) -> Column:
+    """Only where the shown turns are not all."""
+    line = F.format_string("Showing turns %d-%d of %d that touched this file in this commit, in turn order.", first, last, total)
+    return F.when((first > 1) | (last < total), line)
+
+
 def tildify(path: Column, home: Column) -> Column:
     inside = (path == home) | path.startswith(F.concat(home, F.lit("/")))
     return F.when(F.coalesce(inside, F.lit(False)), F.concat(F.lit("~"), F.substr(path, F.length(home) + 1))).otherwise(path)
