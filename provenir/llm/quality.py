@@ -120,8 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: in
     small_batches(spark)
     marked = labels.filter(F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality"))
     chosen = marked.filter(hash_share(marked, id_col, sample))
-    # at most about `sample` ids and labels: a bounded broadcast
-    rows = docs.select(id_col, "text").join(F.broadcast(chosen), id_col)
+    # about `sample` ids and labels, never over twice as many: a bounded broadcast
+    rows = docs.select(id_col, "text").join(F.broadcast(chosen.limit(2 * sample)), id_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

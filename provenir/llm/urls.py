@@ -30,7 +30,7 @@ from provenir.runtime import materialize
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words that mark unwanted hosts and paths.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "click", "free", "gamble", "jackpot", "loan", "loans", "lottery", "pill", "pills", "poker", "porn", "prize", "sex", "slots", "spam", "track", "tracker", "viagra", "win", "xxx")
-BUCKETS, SEED_WEIGHT, SEED_ODDS, SMOOTH, MARGIN, LONGEST = 16384, 500, 10.0, 1.0, 2.0, 24
+BUCKETS, SEED_WEIGHT, SEED_ODDS, SMOOTH, MARGIN, LONGEST, LABEL = 16384, 500, 10.0, 1.0, 2.0, 24, 63
 _TAG = re.compile(rb"<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z]+;", re.S)
 _WORD = re.compile(rb"[a-z]{2,}")
 
@@ -93,11 +93,14 @@ def viterbi(name: str, counts: dict[str, int], total: float, longest: int = LONG
 
 
 def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """(host, words): the words of every label but the last, for distinct hosts."""
+    """(host, words): the words of every label but the last, for distinct hosts.
+
+    A label beyond DNS's 63 characters names no host and stays one word.
+    """
     total = float((words.agg(F.sum("n")).first()[0] or 0) + SEED_WEIGHT * len(SEEDS) + 1)
     label = F.split(F.regexp_replace("host", r"\.[^.]*$", ""), "[^a-z0-9]+")
     labels = hosts.select("host", F.explode(F.array_distinct(F.array_remove(label, ""))).alias("name"))
-    names = labels.select("name").distinct()
+    names = labels.select("name").filter(F.length("name") <= LABEL).distinct()
     n = F.length("name")
     subs = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), F.least(n - s + 1, F.lit(LONGEST))), lambda k: F.substr("name", s, k)))))
     inside = names.select("name", subs.alias("word")).distinct().join(words, "word")
@@ -115,7 +118,8 @@ def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
     split = names.join(own, "name", "left").mapInArrow(run, "name string, words array<string>")
-    return labels.join(split, "name").groupBy("host").agg(F.flatten(F.collect_list("words")).alias("words"))
+    words_of = F.coalesce("words", F.array("name"))
+    return labels.join(split, "name", "left").groupBy("host").agg(F.flatten(F.collect_list(words_of)).alias("words"))
 
 
 def path_tokens(path: Column) -> Column:

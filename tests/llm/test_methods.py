@@ -550,3 +550,9 @@ def test_native_operators_have_no_python_in_their_plans(spark):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
     assert json.loads("[]") == []
+
+
+def test_endless_host_labels_stay_whole(spark):
+    df = spark.createDataFrame([(1, f"http://{'ab' * 40_000}.example.com/x"), (2, "http://cheappills.example.com/y")], "page_id long, url string").withColumn("html", F.lit("cheap pills"))
+    found = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
+    assert len(found[1]["host"]) > 80_000 and found[2]["verdict"] == "block"
