@@ -58,9 +58,16 @@ def why_turns(blamed: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFram
 
 
 def turn_windows(turns: DataFrame, by: list[str], shown: int) -> DataFrame:
-    """First and last shown position, total, and whether the list is partial, per group."""
+    """First and last shown place, total, and whether the list is partial, per group.
+
+    The bounds follow from the count, so this is one partial aggregate without a sort.
+    """
+    total = turns.groupBy(*by).agg(F.count("*").alias("total"))
+    last = F.least(F.col("total"), F.lit(shown)).cast("long")
+    return total.select(*by, F.lit(1).cast("long").alias("first"), last.alias("last"), "total", (F.col("total") > shown).alias("partial"))
+
+
+def shown_turns(turns: DataFrame, by: list[str], shown: int) -> DataFrame:
+    """The turns inside the display window, in order of position (cut before the shuffle)."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy("position"))
-    total = F.count("*").over(Window.partitionBy(*by))
-    ranked = turns.withColumns({"place": place, "total": total}).filter(F.col("place") <= shown)
-    out = ranked.groupBy(*by).agg(F.min("place").cast("long").alias("first"), F.max("place").cast("long").alias("last"), F.max("total").alias("total"))
-    return out.withColumn("partial", (F.col("first") > 1) | (F.col("last") < F.col("total")))
+    return turns.withColumn("place", place).filter(F.col("place") <= shown)

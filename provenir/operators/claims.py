@@ -47,6 +47,8 @@ BLOCKED = (
     ("protected", ("connect",)),
     ("encrypted", ("connect",)),
 )
+#: Phrase rows that are broadcast at most; beyond, the groups that a surface's texts are dealt to.
+BOUND, SALTS = 100_000, 64
 #: Java's \b knows Unicode letters; the boundary here is ASCII's.
 BOUNDARY = r"(?iu)(^|[^A-Za-z0-9_])"
 
@@ -62,10 +64,16 @@ def matches(text: Column, phrase: Column) -> Column:
 def scan(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(every column of texts, phrase) for each violation.
 
-    texts has (surface, text), phrases (phrase, surfaces).  Rows meet on the surface, an
-    equi-join on a short list; a case-folded containment test, which is cheap, goes before
-    the pattern.
+    texts has (surface, text), phrases (phrase, surfaces).  All texts may share one surface,
+    so texts never move by it: up to BOUND phrase rows, counted first, are broadcast; more
+    of them meet the texts in salted groups.  A case-folded containment test, which is
+    cheap, goes before the pattern.
     """
     rows = phrases.select("phrase", F.explode("surfaces").alias("surface"))
-    met = texts.join(rows, "surface")
+    if rows.limit(BOUND + 1).count() <= BOUND:
+        met = texts.join(F.broadcast(rows), "surface")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = texts.withColumn("salt_", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        met = salted.join(rows.withColumn("salt_", salts), ["surface", "salt_"]).drop("salt_")
     return met.filter(F.contains(F.lower("text"), F.lower("phrase"))).filter(matches(F.col("text"), F.col("phrase")))

@@ -71,21 +71,34 @@ def ledger_window(attempts: DataFrame) -> DataFrame:
     """Final state per key without caps, in window functions alone.
 
     attempts is (key, at, attempt_id, eof, outcome, fingerprint); eof must grow strictly
-    with every attempt of a key and a fingerprint must cover one stretch of them.
+    with every attempt of a key and a fingerprint must cover one stretch of them.  The
+    ordered pass runs per (key, fingerprint); what earlier stretches reached is carried
+    over one row a stretch, so that a busy key spreads over its stretches.
     """
-    order = Window.partitionBy("key").orderBy("at", "attempt_id")
-    epoch = Window.partitionBy("key", "fingerprint").orderBy("at", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    fatal = F.coalesce(F.max((F.col("outcome") == "fatal").cast("int")).over(epoch), F.lit(0))
+    stretch = ["key", "fingerprint"]
+    before = Window.partitionBy(*stretch).orderBy("at", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
+    fatal = F.coalesce(F.max((F.col("outcome") == "fatal").cast("int")).over(before), F.lit(0))
     rows = attempts.withColumn("attempted", fatal == 0)
-    moved = F.col("attempted") & F.col("outcome").isin("ok", "never")
-    rows = rows.withColumn("moved", moved).withColumn("sent_before", F.coalesce(F.max(F.when(F.col("moved"), F.col("eof"))).over(before), F.lit(0)))
+    rows = rows.withColumn("moved", F.when(F.col("attempted") & F.col("outcome").isin("ok", "never"), F.col("eof")))
+    rows = rows.withColumn("own_before", F.max("moved").over(before))
     skipped = F.col("attempted") & (F.col("outcome") == "never")
-    return rows.groupBy("key").agg(
+    # only a stretch's first move depends on what earlier stretches reached
+    first = skipped & F.col("own_before").isNull()
+    parts = rows.groupBy(*stretch).agg(
+        F.min(F.struct("at", "attempt_id")).alias("began"),
         F.count_if("attempted").alias("seq"),
-        F.coalesce(F.max(F.when(F.col("moved"), F.col("eof"))), F.lit(0)).alias("sent"),
-        F.coalesce(F.sum(F.when(skipped, F.col("eof") - F.col("sent_before"))), F.lit(0)).alias("gap_bytes"),
+        F.max("moved").alias("reached"),
         F.count_if(skipped).alias("gap_count"),
+        F.coalesce(F.sum(F.when(skipped, F.col("eof") - F.coalesce("own_before", F.lit(0)))), F.lit(0)).alias("gap_bytes"),
+        F.count_if(first).alias("open"),
+    )
+    carried = Window.partitionBy("key").orderBy("began").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("carry", F.coalesce(F.max("reached").over(carried), F.lit(0)))
+    return parts.groupBy("key").agg(
+        F.sum("seq").alias("seq"),
+        F.coalesce(F.max("reached"), F.lit(0)).alias("sent"),
+        F.sum(F.col("gap_bytes") - F.col("open") * F.col("carry")).alias("gap_bytes"),
+        F.sum("gap_count").alias("gap_count"),
     )
 
 
