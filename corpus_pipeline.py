@@ -13,8 +13,9 @@ from provenir.llm import language, mixing, packing, pii, simhash
 from provenir.runtime import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least pooled probability that keeps a document in the language stage.
-SURE = 0.5
+#: Least pooled probability that keeps a document in the language stage: short texts and
+#: texts in two languages stay, only what looks alike in all of them goes.
+SURE = 0.34
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = simhash.near_duplicates(docs)
     heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(heads, "doc_id", "left_semi")
+    # ids of all documents have no size bound: a merge join at every size, not a broadcast
+    kept = docs.select(*COLUMNS).join(heads.hint("merge"), "doc_id", "left_semi")
     rest = [c for c in COLUMNS if c != "doc_id"]
     return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(f"row.{c}" for c in rest)).select(*COLUMNS)
 
@@ -48,7 +50,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Repeat each document as often as the mixture takes it; copies taken 0 times go."""
     taken = materialize(mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
     times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return docs.select(*COLUMNS).join(taken, "doc_id").select(*COLUMNS, times.alias("copy")).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(taken.hint("merge"), "doc_id").select(*COLUMNS, times.alias("copy")).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from provenir.runtime import materialize
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Words that mark unwanted hosts and paths.
 SEEDS = ("ad", "ads", "adult", "bet", "bets", "bonus", "casino", "cheap", "click", "free", "gamble", "jackpot", "loan", "loans", "lottery", "pill", "pills", "poker", "porn", "prize", "sex", "slots", "spam", "track", "tracker", "viagra", "win", "xxx")
-BUCKETS, SEED_WEIGHT, SEED_ODDS, SMOOTH, MARGIN, LONGEST, LABEL = 16384, 500, 10.0, 1.0, 2.0, 24, 63
+BUCKETS, SEED_WEIGHT, SEED_ODDS, SMOOTH, MARGIN, LONGEST, LABEL, HOT = 16384, 500, 10.0, 1.0, 2.0, 24, 63, 512
 _TAG = re.compile(rb"<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-z]+;", re.S)
 _WORD = re.compile(rb"[a-z]{2,}")
 
@@ -145,15 +145,31 @@ def bayes(rows: DataFrame) -> list[float]:
     return odds
 
 
+def with_host_words(base: DataFrame, hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds each row's host words; hosts is (host, count).
+
+    A host with at least 1 / HOT of all rows would pile up in one task of a shuffle.  There
+    are at most HOT of them, so their words are broadcast; all other hosts are joined.
+    """
+    none = F.array().cast("array<string>")
+    split = hosts.select("host").join(segmented(hosts.select("host"), words), "host", "left").select("host", F.coalesce("words", none).alias("words"))
+    split = materialize(split, "segments")
+    total = hosts.agg(F.sum("count")).first()[0] or 0
+    hot = hosts.filter(F.col("count") * HOT >= total).select("host").limit(HOT)
+    met = base.join(F.broadcast(split.join(F.broadcast(hot), "host", "left_semi")), "host", "left")
+    here = met.filter("words is not null or host = ''").withColumn("words", F.coalesce("words", none))
+    return here.unionByName(met.filter("words is null and host != ''").drop("words").join(split, "host"))
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", rules: tuple = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, log_odds) for every page."""
     host, path = parsed(F.col("url"))
     base = pages.select(id_col, host.alias("host"), path.alias("path"))
     base = base.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", "hit.rule", "hit.verdict")
     words = materialize(word_counts(pages), "words")
-    hosts = segmented(base.filter("host != ''").select("host").distinct(), words)
-    tokens = F.concat(F.coalesce("words", F.array().cast("array<string>")), path_tokens(F.col("path")))
-    rows = base.join(hosts, "host", "left").withColumn("buckets", F.transform(tokens, bucket)).drop("words")
+    hosts = materialize(base.filter("host != ''").groupBy("host").count(), "hosts")
+    rows = with_host_words(base, hosts, words)
+    rows = rows.withColumn("buckets", F.transform(F.concat("words", path_tokens(F.col("path"))), bucket)).drop("words")
     rows = materialize(rows, "tokens")
     odds = F.from_json(F.lit(json.dumps(bayes(rows))), "array<double>")
     score = F.aggregate("buckets", F.lit(0.0), lambda acc, b: acc + F.get(odds, b))
