@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenir.llm import language, mixing, packing, pii, simhash
+from provenir.llm import language, mixing, packing, pii, resemblance, simhash
+from provenir.llm.components import connected_components
 from provenir.runtime import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,12 +29,16 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of each near-duplicate group that has the least id.
 
-    Rows that repeat an id stay once, with their least text.
+    Groups are the components of SimHash links and of links between texts that share 0.8
+    or more of their five-word shingles.  Rows that repeat an id stay once, with their
+    least text.
     """
-    found = simhash.near_duplicates(docs)
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
+    found = simhash.near_duplicates(docs).filter("doc_id != component_id")
+    links = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(resemblance.similar(docs))
+    roots = connected_components(materialize(links, "alike"))
+    gone = roots.filter("node != component").select(F.col("node").alias("doc_id"))
     # ids of all documents have no size bound: a merge join at every size, not a broadcast
-    kept = docs.select(*COLUMNS).join(heads.hint("merge"), "doc_id", "left_semi")
+    kept = docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
     rest = [c for c in COLUMNS if c != "doc_id"]
     return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(f"row.{c}" for c in rest)).select(*COLUMNS)
 
