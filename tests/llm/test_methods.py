@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from provenir.llm import language, maxent, media, mixing, packing, pii, quality, rules, simhash, urls
+from provenir.llm import language, maxent, media, mixing, packing, pii, quality, resemblance, rules, simhash, urls
 from provenir.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.01"
@@ -556,3 +557,25 @@ def test_endless_host_labels_stay_whole(spark):
     df = spark.createDataFrame([(1, f"http://{'ab' * 40_000}.example.com/x"), (2, "http://cheappills.example.com/y")], "page_id long, url string").withColumn("html", F.lit("cheap pills"))
     found = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
     assert len(found[1]["host"]) > 80_000 and found[2]["verdict"] == "block"
+
+
+def test_similar_texts_are_linked(spark, odd, none):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    rows, expected = [], {}
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([8, 30, 120, 900]))]
+        for k in range(4):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), len(copy) // 120):
+                copy[at] = f"new{g}x{k}"
+            rows.append((10 * g + k, " ".join(copy)))
+            expected[10 * g + k] = 10 * g
+    # a passage that many documents share doesn't join them
+    shared = " ".join(rng.choice(words) for _ in range(60))
+    rows += [(1000 + k, shared + " " + " ".join(rng.choice(words) for _ in range(60))) for k in range(300)]
+    found = connected_components(resemblance.similar(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    roots = {r["node"]: r["component"] for r in found}
+    assert {i: roots.get(i, i) for i, _ in rows} == expected | {1000 + k: 1000 + k for k in range(300)}
+    assert resemblance.similar(none).collect() == []
+    assert {frozenset(r) for r in resemblance.similar(odd).collect() if r["a"] != r["b"]} == {frozenset(x) for x in ((1, 2), (3, 4), (3, 5))}
