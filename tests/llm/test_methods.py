@@ -579,3 +579,49 @@ def test_similar_texts_are_linked(spark, odd, none):
     assert {i: roots.get(i, i) for i, _ in rows} == expected | {1000 + k: 1000 + k for k in range(300)}
     assert resemblance.similar(none).collect() == []
     assert {frozenset(r) for r in resemblance.similar(odd).collect() if r["a"] != r["b"]} == {frozenset(x) for x in ((1, 2), (3, 4), (3, 5))}
+
+
+def test_edited_copies_of_one_template_are_linked_like_brute_force(spark):
+    """Copies lie near 0.85 to their template, below 0.8 to each other; one pair of each shared passage is alike."""
+    rng = random.Random(23)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(400)]
+        for k in range(30):
+            copy = list(base)
+            for at in rng.sample(range(400), 0 if k == 7 else 7 if k < 20 else 13):
+                copy[at] = f"new{g}x{k}x{at}"
+            rows.append((100 * g + k, " ".join(copy)))
+        own = [rng.choice(words) for _ in range(120)]
+        rows += [(5000 + 10 * g + k, " ".join(base[:200] + own[:100] + (own[100:] if k else own[101:]))) for k in range(2)]
+    shingles = {i: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    expected = {i: i for i in shingles}
+    ids = sorted(shingles)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = shingles[i], shingles[j]
+            if expected[i] != expected[j] and len(a & b) >= 0.8 * len(a | b):
+                low, high = sorted((expected[i], expected[j]))
+                expected = {x: low if r == high else r for x, r in expected.items()}
+    found = connected_components(resemblance.similar(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    roots = {r["node"]: r["component"] for r in found}
+    assert {i: roots.get(i, i) for i in ids} == expected
+
+
+def test_all_pairs_of_a_bucket_are_compared():
+    rng = np.random.default_rng(3)
+    values = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    sets = [np.sort(rng.choice(values[: 30 + 300 * (k % 5)], 30 + 200 * (k % 5), replace=False)) for k in range(60)]
+    sets += [np.sort(s[rng.random(len(s)) < 0.93]) for s in sets] + [values, values[9:]]
+    ids = list(range(len(sets)))
+    for groups in (ids, [k // 3 for k in ids]):
+        roots, brute = resemblance._Union(), resemblance._Union()
+        pairs = resemblance.bucket_links(ids, groups, sets)
+        for a, b in pairs:
+            roots.join(groups[a], groups[b])
+        for i in ids:
+            for j in ids[:i]:
+                if resemblance.similarity(sets[i], sets[j]) >= resemblance.SIMILARITY:
+                    brute.join(groups[i], groups[j])
+        assert [roots.root(x) for x in groups] == [brute.root(x) for x in groups]
