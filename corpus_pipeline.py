@@ -26,21 +26,28 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The stage's rows with a row_id of their own, written so that every later read agrees on it."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")), "rows")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of each near-duplicate group that has the least id.
+    """Keep the row of each near-duplicate group that has the least id, nulls last.
 
     Groups are the components of SimHash links and of links between texts that share 0.8
-    or more of their five-word shingles.  Rows that repeat an id stay once, with their
-    least text.
+    or more of their five-word shingles.  They are groups of rows: a null or repeated id
+    joins nothing, only texts do.
     """
-    found = simhash.near_duplicates(docs).filter("doc_id != component_id")
-    links = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(resemblance.similar(docs))
-    roots = connected_components(materialize(links, "alike"))
-    gone = roots.filter("node != component").select(F.col("node").alias("doc_id"))
-    # ids of all documents have no size bound: a merge join at every size, not a broadcast
-    kept = docs.select(*COLUMNS).join(gone.hint("merge"), "doc_id", "left_anti")
-    rest = [c for c in COLUMNS if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(f"row.{c}" for c in rest)).select(*COLUMNS)
+    rows = numbered(docs)
+    found = simhash.near_duplicates(rows, "row_id").filter("row_id != component_id")
+    links = found.select(F.col("row_id").alias("a"), F.col("component_id").alias("b")).unionByName(resemblance.similar(rows, "row_id"))
+    roots = connected_components(materialize(links, "alike")).withColumnRenamed("node", "row_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_id")
+    members = materialize(roots.join(rows.select("row_id", order.alias("order")).hint("merge"), "row_id"), "members")
+    first = members.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row_id").alias("row_id"))
+    gone = members.select("row_id").join(first.hint("merge"), "row_id", "left_anti")
+    # rows of all documents have no size bound: a merge join at every size, not a broadcast
+    return rows.join(gone.hint("merge"), "row_id", "left_anti").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +59,11 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mixture takes it; copies taken 0 times go."""
-    taken = materialize(mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
+    """Repeat each row as often as the mixture takes it, whatever its id; rows taken 0 times go."""
+    rows = numbered(docs)
+    taken = materialize(mixing.mix_sources(rows, "row_id").select("row_id", "copies"), "copies")
     times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-    return docs.select(*COLUMNS).join(taken.hint("merge"), "doc_id").select(*COLUMNS, times.alias("copy")).select(*COLUMNS)
+    return rows.join(taken.hint("merge"), "row_id").select(*COLUMNS, times.alias("copy")).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,3 +106,22 @@ def test_run_applies_all_stages(spark, small, empty):
 def test_stages_survive_odd_rows(spark, odd, clashing, small):
     for _, stage in pipeline.STAGES:
         assert stage(spark, clashing, small).count() == stage(spark, odd, small).count()
+
+
+def test_rows_of_null_and_repeated_ids_stay(spark, small):
+    """Different texts under a null id or under one id are rows of their own; equal texts are one."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None if k < 6 else 7 if k < 12 else k, text(k), "en", "ab"[k % 2], 1) for k in range(20)]
+    again = [(None, text(0), "en", "a", 1), (7, text(7), "en", "b", 1), (3, text(1), "en", "b", 1)]
+    docs = spark.createDataFrame(rows + again, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.keep_one_of_each(spark, docs, small).collect()
+    expected = Counter((3 if k == 1 else i, t) for k, (i, t, *_) in enumerate(rows))
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == expected
+    clean = spark.createDataFrame(rows, docs.schema)
+    assert Counter((r["doc_id"], r["text"]) for r in pipeline.redact_personal_data(spark, clean, small).collect()) == Counter((i, t) for i, t, *_ in rows)
+    mixed = Counter((r["doc_id"], r["text"]) for r in pipeline.mix_to_targets(spark, clean, small).collect())
+    assert set(mixed) == {(i, t) for i, t, *_ in rows}
+    taken = Counter()
+    for r in rows:
+        taken[r[3]] += 40 * mixed[r[:2]]
+    assert all(abs(taken[s] - t) <= 80 for s, t in brute_targets(Counter({"a": 400, "b": 400})).items())
