@@ -7,7 +7,8 @@ one against the smallest of the other, which gives windows of near-equal length.
 window count starts at the least possible and rises whenever a window exceeds its capacity.
 
 Defined cases: null or empty text is the closing id alone; equal rows are packed one by
-one; special-token strings in a text are ordinary text; an empty table gives no piece.
+one; the vocabulary's added tokens in a text become their own ids, as its tokenizer makes
+them by default; an empty table gives no piece.
 A window whose length is a power of two is left as it is, any other is padded to the full
 length by the reader.
 """
@@ -30,23 +31,30 @@ from provenir.llm.common import small_batches, table
 from provenir.runtime import materialize
 
 LENGTH, PIECE, CLOSING, BLOCK_PIECES = 2048, 512, 1, 3000
-#: The byte-level vocabulary as ranks; its ids are those of the JSON file of the same name
-#: (tests compare them), and encoding is about four times as fast.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The named tokenizer, and the same byte-level vocabulary as ranks: their ids are equal
+#: (tests compare them), and encoding by ranks is about four times as fast.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 @cache
-def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
-    """The public tokenizer, loaded once in each Python worker; name or path of its ranks."""
+def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS) -> Callable[[str], list[int]]:
+    """Ids of a text, loaded once in each Python worker; names or paths of the two files.
+
+    Added tokens come from the tokenizer's own file and cut the text first.
+    """
+    import json
     import os
 
     import public_tokenizers
     import tiktoken
 
-    path = vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary)
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    place = lambda name: name if os.path.isabs(name) else public_tokenizers.path(name)
+    with open(place(vocabulary), encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    with open(place(ranks), "rb") as f:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def cuts(total: int, length: int = LENGTH, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -131,11 +139,15 @@ def balanced(sizes: list[int], capacity: int = LENGTH) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = LENGTH, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces; blocks are bounded and independent."""
+    """Adds sequence_id and offset to the rows of a written table of pieces.
+
+    Blocks are bounded and independent: a piece's block follows from its place in the
+    table, so that equal rows spread over all blocks.
+    """
     blocks = max(1, -(-pieces.count() // block_pieces))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([id_col, "start", "ids_crc32"], ignore_index=True)
+        pdf = pdf.sort_values([id_col, "start", "ids_crc32", "place"], ignore_index=True)
         full = (pdf["length"] >= capacity).to_numpy()
         window = np.zeros(len(pdf), np.int64)
         rest = np.flatnonzero(~full)
@@ -145,11 +157,12 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = LENGTH, bloc
         pdf["sequence_id"] = (pdf["block"].to_numpy() << 32) + window
         by = pdf.groupby("sequence_id", sort=False)["length"]
         pdf["offset"] = by.cumsum() - pdf["length"]
-        return pdf.drop(columns="block")
+        return pdf.drop(columns=["block", "place"])
 
-    block = F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(blocks))
+    placed = pieces.withColumn("place", F.monotonically_increasing_id())
+    block = F.pmod(F.xxhash64("place"), F.lit(blocks))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.withColumn("block", block).groupBy("block").applyInPandas(place, f"{fields}, sequence_id long, offset long")
+    return placed.withColumn("block", block).groupBy("block").applyInPandas(place, f"{fields}, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

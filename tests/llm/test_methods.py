@@ -321,8 +321,7 @@ def test_tokens_are_those_of_the_named_vocabulary(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    odd = ["", " ", "<|endoftext|>", "日本語 😀\n\n\t x", "a" * 3000, "1 " * 900, "'s don't I'LL", "\u00a0 x\u2003y", "é" * 50]
+    odd = ["", " ", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|> x <|endoftext|", " <|endoftext|> \n", "日本語 😀\n\n\t x", "a" * 3000, "1 " * 900, "'s don't I'LL", "\u00a0 x\u2003y", "é" * 50]
     some = odd + list(texts.values())[:200]
     assert [e.ids for e in t.encode_batch(some, add_special_tokens=False)] == [packing.encoder()(x) for x in some]
 
