@@ -3,32 +3,39 @@
 The network (GRU, one per direction, byte embeddings folded into the input weights) labels
 every byte position of every window of a text; a document's probabilities are the mean of
 its positions' probabilities.  It is trained on the driver in numpy by backpropagation
-through time, on a sample bounded by ``per_language`` documents a language and
-``windows_each`` windows a document; scoring reads whole texts.
-
-Defined cases: null, empty or letterless text gives ``und`` with score 0; a table without
-labelled training rows gives ``und`` everywhere; ties go to the first language by code
-point; a window holds ``WINDOW`` bytes, the last one is masked.
+through time, on the whole texts of a sample of rows: about ``per_language`` of each
+language and about ``sample`` in all, at least one of each language however many there are.
+Scoring reads whole texts.
+
+Defined cases: a text without a letter (Unicode category L), an empty or a null one gives
+``und`` with score 0; a table without labelled training rows gives ``und`` everywhere; ties
+go to the first language by code point; rows with a null id and repeated rows are trained
+on and scored like any other; a window holds ``WINDOW`` bytes, the last one is masked.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.llm.common import crc_mod, small_batches, table, utf8
 
 WINDOW, HIDDEN, PAD = 128, 12, 256
-PER_LANGUAGE, WINDOWS_EACH, STEPS, BATCH, MAX_LANGUAGES = 600, 4, 320, 256, 256
-_LETTER = re.compile(r"[^\W\d_]")
-_ROWS = 2048
+PER_LANGUAGE, SAMPLE, STEPS, BATCH = 600, 20_000, 320, 256
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+#: Windows scored at a time, times the languages: bounds the memory of position probabilities.
+_ROWS = 16_384
+
+
+def has_letter(text: bytes) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or any(unicodedata.category(c)[0] == "L" for c in text.decode("utf-8", "replace"))
 
 
 @dataclass
@@ -127,15 +134,20 @@ class ByteGru:
             grads |= {"X" + d: dX, "U" + d: dU, "N" + d: dN}
         return loss, grads
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 3) -> list[float]:
-        """Adam on random batches of windows (n, WINDOW); returns the losses."""
+    def fit(self, windows: np.ndarray, firsts: np.ndarray, labels: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 3) -> list[float]:
+        """Adam on batches of windows (n, WINDOW), a random one of a random document each.
+
+        ``firsts`` are the places of the documents' first windows, ``labels`` their languages.
+        """
         rng = np.random.default_rng(seed)
+        sizes = np.diff(firsts, append=len(windows))
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.weights.items()}
         losses = []
         for i in range(1, steps + 1):
-            take = rng.integers(0, len(windows), batch)
-            loss, grads = self.gradients(np.ascontiguousarray(windows[take].T), labels[take])
+            doc = rng.integers(0, len(firsts), batch)
+            take = firsts[doc] + (rng.random(batch) * sizes[doc]).astype(np.int64)
+            loss, grads = self.gradients(np.ascontiguousarray(windows[take].T), labels[doc])
             losses.append(loss)
             norm = sum(float((g * g).sum()) for g in grads.values()) ** 0.5
             lr = rate * min(1.0, 2 * (1 - i / (steps + 1)))
@@ -148,70 +160,62 @@ class ByteGru:
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Pooled probabilities (documents, K) of whole texts; empty texts give zeros."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        counts = -(-sizes // WINDOW)
-        owner = np.repeat(np.arange(len(texts)), counts)
+        windows, first = windows_of(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(first, append=len(windows)))
         out = np.zeros((len(texts), len(self.languages)))
-        first = np.cumsum(counts) - counts
-        flat = np.full(int(counts.sum()) * WINDOW, PAD, np.int16)
-        for text, k in zip(texts, first, strict=True):
-            flat[k * WINDOW : k * WINDOW + len(text)] = np.frombuffer(text, np.uint8)
-        windows = flat.reshape(-1, WINDOW)
-        for i in range(0, len(windows), _ROWS):
-            steps = np.ascontiguousarray(windows[i : i + _ROWS].T)
+        rows = max(64, _ROWS // max(8, len(self.languages)))
+        for i in range(0, len(windows), rows):
+            steps = np.ascontiguousarray(windows[i : i + rows].T)
             p = self.positions(steps)
             p *= (steps != PAD)[..., None]
-            np.add.at(out, owner[i : i + _ROWS], p.sum(0))
-        return out / np.maximum(sizes, 1)[:, None]
-
-
-def windows_of(text: bytes, seed: int, count: int) -> list[bytes]:
-    """Up to ``count`` windows at pseudo-random places of a training text."""
-    span = max(1, len(text) - WINDOW + 1)
-    return [text[k : k + WINDOW] for k in sorted({zlib.crc32(f"{seed}/{i}".encode()) % span for i in range(count)})]
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", per_language: int = PER_LANGUAGE, steps: int = STEPS) -> ByteGru | None:
-    """Fit on a bounded sample of the rows with a language, the same share of each language's
-    documents being chosen by a hash of the id; None if there is no such row."""
-    small_batches(docs.sparkSession)
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+            np.add.at(out, owner[i : i + rows], p.sum(0))
+        return out / np.maximum(list(map(len, texts)), 1)[:, None]
+
+
+def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(all windows of whole texts, place of each text's first one); the last of a text is masked."""
+    counts = -(-np.array([len(t) for t in texts], np.int64) // WINDOW)
+    first = np.cumsum(counts) - counts
+    flat = np.full(int(counts.sum()) * WINDOW, PAD, np.int16)
+    for text, k in zip(texts, first.tolist(), strict=True):
+        flat[k * WINDOW : k * WINDOW + len(text)] = np.frombuffer(text, np.uint8)
+    return flat.reshape(-1, WINDOW), first
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, steps: int = STEPS) -> ByteGru | None:
+    """Fit on a bounded sample of the rows with a language and a text that isn't empty, chosen
+    by a hash of id and text; None if there is no such row."""
+    rows = docs.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select(id_col, "lang", "text")
+    # one row a language goes to the driver
+    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(_draw(id_col)).alias("least")).collect()}
     if not counts:
         return None
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, per_language / n) * (1 << 30))))))
-    chosen = rows.select(id_col, "lang", "text").filter(F.pmod(F.xxhash64(F.lit("lang"), id_col), F.lit(1 << 30)) < share[F.col("lang")])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, langs = batch.column(id_col).to_pylist(), batch.column("lang").to_pylist()
-            found = [(g, i, w) for t, g, i in zip(utf8(batch, "text"), langs, ids, strict=True) if t for w in windows_of(t, i or 0, WINDOWS_EACH)]
-            langs, ids, cuts = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.int64()), pa.array(cuts, pa.binary())], ["lang", "id", "cut"])
-
-    found = sorted((r["lang"], r["id"] or 0, bytes(r["cut"])) for r in chosen.mapInArrow(cut, "lang string, id long, cut binary").collect())
-    if not found:
-        return None
+    each = min(per_language, max(1, sample // len(counts)))
+    bounds = docs.sparkSession.createDataFrame([(k, max(least, int(min(1.0, each / n) * (1 << 30)))) for k, (n, least) in counts.items()], "lang string, bound long")
+    chosen = rows.join(bounds, "lang").filter(_draw(id_col) <= F.col("bound")).select("lang", id_col, "text").limit(2 * each * len(counts))
+    found = sorted((r["lang"], r[id_col] or 0, r["text"].encode()) for r in chosen.collect())
     languages = sorted(counts)
-    windows = np.full((len(found), WINDOW), PAD, np.int16)
-    for row, (_, _, cut_bytes) in zip(windows, found, strict=True):
-        row[: len(cut_bytes)] = np.frombuffer(cut_bytes, np.uint8)
+    place = {x: k for k, x in enumerate(languages)}
     net = ByteGru.fresh(languages)
-    net.fit(windows, np.array([languages.index(x[0]) for x in found]), steps)
+    net.fit(*windows_of([x[2] for x in found]), np.array([place[x[0]] for x in found]), steps)
     return net
 
 
+def _draw(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("lang"), id_col, "text"), F.lit(1 << 30))
+
+
 def predict(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, lang_pred, score, *keep) for every row; the text alone decides."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(net)  # about 100 KB, fixed by the network's shape
+    model = spark.sparkContext.broadcast(net)  # about 100 KB, and 100 bytes more a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
         for batch in batches:
             texts = utf8(batch, "text")
-            open_ = [bool(_LETTER.search(t.decode("utf-8", "replace"))) and net is not None for t in texts]
+            open_ = [net is not None and has_letter(t) for t in texts]
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             rows = [i for i, x in enumerate(open_) if x]
             if rows:
