@@ -32,34 +32,64 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:\G|(?<![0-9]))[0-9](?:[ -]?+[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: Further candidates: hexadecimal secrets, mail addresses spelled out, phones without a plus.
-SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}+(?![0-9A-Za-z])"
-SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(.] ?(?:dot|DOT)? ?[\])]? ?[A-Za-z0-9-]{2,63}+){1,4}"
+#: Further candidates: hexadecimal secrets, keys of letters and digits, mail addresses spelled out, phones without a plus.
+SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
+KEY = r"(?<![0-9A-Za-z_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[0-9A-Za-z_+/-]{20,}+"
+SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(.] ?(?:dot|DOT)? ?[\])]? ?[A-Za-z0-9-]{2,}+)++"
 LOCAL = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
-EXTRA = f"(?:{SECRET})|(?:{SPELLED})|(?:{LOCAL})"
+EXTRA = f"(?:{SECRET})|(?:{SPELLED})|(?:{LOCAL})|(?:{KEY})"
 #: Words that announce personal data.
 GAZETTEER = ("account", "address", "api", "auth", "call", "card", "contact", "email", "fax", "host", "ip", "key", "mail", "mobile", "passwd", "password", "phone", "secret", "server", "ssn", "tel", "telephone", "token", "visa")
-LABELERS, CONTEXT, DECIDE, ROUNDS = 5, 24, 0.5, 60
-_SPAN = "struct<kind:int,start:int,end:int,text:string>"
+LABELERS, CONTEXT, DECIDE, ROUNDS, CUT = 5, 24, 0.5, 60, 8192
+_SPAN = "struct<start:int,kind:int,end:int,text:string,before:string,after:string>"
 _NONE = f"array<{_SPAN}>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(x: Column) -> Column:
+    """An array cut into about as many chunks as each has entries: walks over it that append or
+    compare then cost the power 1.5 of its size, not the square."""
+    width = F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int")
+    most = F.greatest(F.ceil(F.size(x) / width).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), most), lambda k: F.slice(x, k * width + 1, width))
+
+
+def running(sizes: Column) -> Column:
+    """Sums of all entries up to each one, itself included."""
+    add = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    zero = F.array(F.lit(0))
+
+    def whole(inner: Column) -> Column:
+        before = F.aggregate(F.transform(inner, lambda p: F.element_at(p, -1)), zero, add)
+        return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda p, o: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda v: v + o)))
+
+    return _let(sizes, lambda x: _let(F.transform(_chunks(x), lambda c: F.aggregate(c, zero, add)), whole))
+
+
 def _found(text: Column, pattern: str, kind: Column | int, trigger: Column) -> Column:
-    """Leftmost non-overlapping matches as spans: the text between matches gives the offsets."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    joined = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("before")))
+    """Leftmost non-overlapping matches as spans: the text between matches gives the offsets.
+
+    What stands before and after a match is read off its neighbours as well: walking to a
+    place in the text would cost the text's length for every match.
+    """
     kind = kind if isinstance(kind, Column) else F.lit(kind)
+    none = F.lit("")
+    parts = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["before"]
-        end = start + F.length(x["m"])
-        span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def spans(x: Column) -> Column:
+        between = lambda i: F.coalesce(F.get(x["p"], i), none)
+        match = lambda i: F.coalesce(F.get(x["m"], i), none)
+        ends = running(F.transform(x["m"], lambda m, i: F.length(between(i)) + F.length(m)))
+        before = lambda i: F.right(F.concat(F.when(i > 0, match(i - 1)).otherwise(none), between(i)), F.lit(CONTEXT))
+        after = lambda i: F.left(F.concat(between(i + 1), match(i + 1)), F.lit(1))
+        span = lambda m, end, i: F.struct((end - F.length(m)).alias("start"), kind.alias("kind"), end.alias("end"), m.alias("text"), before(i).alias("before"), after(i).alias("after"))
+        return _let(ends, lambda e: F.transform(x["m"], lambda m, i: span(m, F.get(e, i), i)))
 
-    empty = F.array().cast(_NONE)
-    spans = F.aggregate(joined, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(trigger, spans).otherwise(empty)
+    return F.when(trigger, _let(parts, spans)).otherwise(F.array().cast(_NONE))
 
 
 def _digits(text: Column) -> Column:
@@ -93,28 +123,27 @@ def base_spans(text: Column) -> Column:
     ips = F.filter(_found(text, IP, 1, digit), lambda x: _ip_ok(x["text"]))
     cards = F.filter(_found(text, CARD, 2, digit), lambda x: F.when(card(x), luhn(_digits(x["text"]))).otherwise(False))
     phones = F.filter(_found(text, PHONE, 3, F.contains(text, F.lit("+"))), lambda x: F.length(_digits(x["text"])).between(9, 15))
-    return F.array_sort(F.transform(F.concat(emails, ips, cards, phones), lambda x: F.struct(x["start"], x["kind"], x["end"], x["text"])))
+    return F.array_sort(F.concat(emails, ips, cards, phones))
 
 
 def extra_spans(text: Column) -> Column:
-    kind = lambda m: F.when(m.rlike("^[0-9A-Fa-f]{32,}$"), 4).when(m.rlike("[\\[(] ?(?:at|AT)"), 0).otherwise(3)
+    kind = lambda m: F.when(m.rlike("^[0-9A-Fa-f]{32,}$"), 4).when(m.rlike("[\\[(] ?(?:at|AT)"), 0).when(m.rlike(f"^{LOCAL}$"), 3).otherwise(4)
     raw = _found(text, EXTRA, -1, text.rlike("[0-9]|[\\[(] ?(?:at|AT)"))
-    return F.transform(raw, lambda x: F.struct(x["start"], kind(x["text"]).alias("kind"), x["end"], x["text"]))
+    return F.transform(raw, lambda x: x.withField("kind", kind(x["text"])))
 
 
-def voted(text: Column, spans: Column) -> Column:
+def voted(spans: Column) -> Column:
     """Adds to each span its labelers' votes (0 against, 1 for, 2 abstains) and a length class."""
 
     def votes(x: Column) -> Column:
         m, kind = x["text"], x["kind"]
-        before = F.substr(text, F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)), F.least(x["start"], F.lit(CONTEXT)))
-        after = F.substr(text, x["end"] + 1, F.lit(1))
+        before, after = x["before"], x["after"]
         digits = F.length(_digits(m))
-        strict = F.when(kind == 0, m.contains("@")).when(kind == 3, m.startswith("+") | m.startswith("(")).when(kind == 4, F.length(m).isin(32, 40, 56, 64, 96, 128)).otherwise(F.lit(True))
+        strict = F.when(kind == 0, m.contains("@")).when(kind == 3, m.startswith("+") | m.startswith("(")).when(kind == 4, F.when(m.rlike("^[0-9A-Fa-f]+$"), F.length(m) % 8 == 0).otherwise(m.rlike("[0-9].*[0-9].*[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]"))).otherwise(F.lit(True))
         word = F.lower(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1))
         open_ = before.rlike(r"(^|[\s\"'=:<(\[,;|])$") & after.rlike(r"^($|[\s\"'>)\],;:.!?|%&*$#])")
         varied = F.size(F.array_distinct(F.split(m, ""))) >= 5
-        sized = F.when(kind == 0, F.length(m).between(6, 100)).when(kind == 1, F.length(m) >= 7).when(kind == 2, digits.between(13, 19)).when(kind == 3, digits.between(9, 15)).otherwise(F.length(m) <= 64)
+        sized = F.when(kind == 0, F.length(m).between(6, 100)).when(kind == 1, F.length(m) >= 7).when(kind == 2, digits.between(13, 19)).when(kind == 3, digits.between(9, 15)).otherwise(F.length(m) >= 24)
         bit = lambda c: F.when(c, 1).otherwise(0)
         return F.struct(bit(strict).alias("v0"), F.when(word.isin(*GAZETTEER), 1).otherwise(2).alias("v1"), bit(open_).alias("v2"), bit(varied).alias("v3"), bit(sized).alias("v4"), F.least(F.length(m) / 10, F.lit(7)).cast("int").alias("size"))
 
@@ -125,9 +154,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     """Adds ``base`` and ``extra``, arrays of voted spans, to rows with a ``text``."""
     rows = docs.withColumn("text_", F.coalesce("text", F.lit("")))
     rows = rows.withColumns({"base_": base_spans(F.col("text_")), "extra_": extra_spans(F.col("text_"))})
-    apart = lambda x: ~F.exists("base_", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    text = F.col("text_")
-    return rows.withColumns({"base": voted(text, F.col("base_")), "extra": voted(text, F.filter("extra_", apart))}).drop("text_", "base_", "extra_")
+    extra = F.col("extra_")
+    meets = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+    bounded = lambda c: F.struct(F.array_min(F.transform(c, lambda y: y["start"])).alias("start"), F.array_max(F.transform(c, lambda y: y["end"])).alias("end"), c.alias("spans"))
+    apart = lambda cs: F.filter(extra, lambda x: ~F.exists(cs, lambda c: meets(x, c) & F.exists(c["spans"], lambda y: meets(x, y))))
+    near = F.when(F.size("base_") > 0, F.transform(_chunks(F.col("base_")), bounded)).otherwise(F.array().cast(f"array<struct<start:int,end:int,spans:{_NONE}>>"))
+    clear = F.when(F.size(extra) > 0, _let(near, apart)).otherwise(extra)
+    return rows.withColumns({"base": voted(F.col("base_")), "extra": voted(clear)}).drop("text_", "base_", "extra_")
 
 
 def vote_patterns(found: DataFrame) -> list[tuple[tuple[int, ...], int]]:
@@ -212,16 +245,28 @@ def render(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlaps count once."""
+    """The text with every span replaced by its kind in brackets; overlaps count once.
+
+    A place in a text is found by walking to it, so the text is cut at every ``CUT`` code
+    points first, and each part is rewritten by the spans that touch it.
+    """
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        clear = F.substr(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        mark = F.when(x["start"] >= acc["at"], F.concat(F.lit("["), F.upper(name(x["kind"])), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], clear, mark).alias("out"))
+    def part(piece: Column, i: Column, spans: Column) -> Column:
+        first = i * CUT
+        end = first + F.length(piece)
+        cut = lambda a, b: F.substr(piece, a - first + 1, F.greatest(b - a, F.lit(0)))
+
+        def step(acc: Column, x: Column) -> Column:
+            mark = F.when(x["start"] >= acc["at"], F.concat(F.lit("["), F.upper(name(x["kind"])), F.lit("]"))).otherwise("")
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], cut(acc["at"], x["start"]), mark).alias("out"))
+
+        own = F.filter(spans, lambda x: (x["start"] < end) & (x["end"] > first))
+        start = F.struct(first.alias("at"), F.lit("").alias("out"))
+        return F.when(F.size(own) == 0, piece).otherwise(F.aggregate(own, start, step, lambda acc: F.concat(acc["out"], cut(acc["at"], end))))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    whole = _let(spans, lambda s: F.array_join(F.transform(pieces, lambda p, i: part(p, i, s)), ""))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
