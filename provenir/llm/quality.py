@@ -1,15 +1,18 @@
 """Quality classifier: similarity-weighted votes of labelled neighbours in a latent space.
 
 Terms are unigrams and bigrams of byte classes (each ASCII sign alone, letters by case,
-digits and non-ASCII bytes together), and one term for words that equal the word before
-them, all counted over whole texts.  A bounded sample of labelled documents gives idf weights and, by a truncated SVD,
-a latent-semantic basis; its vectors (at most ``SAMPLE`` x ``RANK`` floats, about 1 MB) are
-broadcast.  Every document is compared with every labelled vector by exact cosine, in
-blocks, and its ``NEIGHBOURS`` nearest vote with weight similarity**``POWER``.
+digits and non-ASCII bytes together), one term for words that equal the word before them,
+and the lower-cased words themselves, hashed; all are counted over whole texts.  A bounded
+sample of labelled documents gives idf weights and, by a truncated SVD, a latent-semantic
+basis; its vectors (at most twice ``SAMPLE`` x ``RANK`` floats, about 1 MB) are broadcast.
+Every document is compared with every labelled vector by exact cosine, in blocks, and its
+``NEIGHBOURS`` nearest vote with weight similarity**``POWER``.
 
 Defined cases: null or empty text has the zero vector and gets the sample's share of
-label 1; ties among neighbours are broken by the vectors' order (by id); without any
-labelled row every score is 0.5; a doc_id labelled twice takes its lowest label.
+label 1; similarities are rounded to six digits, and of equal ones the vectors' order (by
+id and label) decides, so that equal texts have equal scores and votes don't depend on the
+block; without any labelled row every score is 0.5; a doc_id labelled twice takes its
+lowest label, null ids and null labels are not learned from.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +57,22 @@ def _classes() -> tuple[np.ndarray, int]:
 
 
 CLASS_OF, CLASSES = _classes()
-TERMS = CLASSES + CLASSES * CLASSES + 1
+STYLE, WORDS = CLASSES + CLASSES * CLASSES + 1, 2048
+TERMS = STYLE + WORDS
 #: Weight of the term for repeated neighbours, which has no idf of its own kind.
 REPEAT_WEIGHT = 8.0
+#: Length of the words' part of a vector, where the style's part has length 1.
+WORD_PART = 0.3
 
 
 def term_counts(text: bytes) -> np.ndarray:
-    """Class unigram and bigram counts and repeated neighbours of a whole text (TERMS,)."""
+    """Class unigram and bigram counts, repeated neighbours and hashed words of a whole text (TERMS,)."""
     c = CLASS_OF[np.frombuffer(text, np.uint8)]
     pairs = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) if len(c) > 1 else np.zeros(CLASSES * CLASSES)
     words = text.split()
     repeats = sum(map(eq, words, words[1:]))
-    return np.concatenate([np.bincount(c, minlength=CLASSES), pairs, [repeats * len(text) // max(len(words), 1)]])
+    hashed = np.fromiter(map(crc32, text.lower().split()), np.int64) % WORDS
+    return np.concatenate([np.bincount(c, minlength=CLASSES), pairs, [repeats * len(text) // max(len(words), 1)], np.bincount(hashed, minlength=WORDS)])
 
 
 @dataclass
@@ -78,10 +86,9 @@ class NeighbourModel:
     @staticmethod
     def fit(counts: np.ndarray, labels: np.ndarray, rank: int = RANK) -> NeighbourModel:
         idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.2
-        idf[-1] = REPEAT_WEIGHT
+        idf[STYLE - 1] = REPEAT_WEIGHT
         x = _weighted(counts, idf)
-        values, vectors = np.linalg.eigh(x.T @ x)
-        basis = vectors[:, np.argsort(-values, kind="stable")[:rank]].astype(np.float32)
+        basis = truncated_basis(x, rank)
         return NeighbourModel(idf, basis, _unit(x @ basis), labels.astype(np.float32), float(labels.mean()))
 
     def scores(self, texts: list[bytes], neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -90,8 +97,8 @@ class NeighbourModel:
         for i in range(0, len(texts), BLOCK):
             block = texts[i : i + BLOCK]
             x = _unit(_weighted(np.stack([term_counts(t) for t in block]), self.idf) @ self.basis)
-            near = x @ self.vectors.T
-            top = np.argsort(-near, 1, kind="stable")[:, :k] if len(self.vectors) <= k else _top(near, k)
+            near = np.round(x @ self.vectors.T, 6)
+            top = nearest(near, k)
             weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** POWER
             total = weight.sum(1)
             vote = (weight * self.labels[top]).sum(1)
@@ -100,14 +107,33 @@ class NeighbourModel:
         return out
 
 
-def _top(near: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-near, k - 1, 1)[:, :k]
+def truncated_basis(x: np.ndarray, rank: int, extra: int = 16, rounds: int = 8) -> np.ndarray:
+    """Right singular vectors (terms, rank) of the largest singular values, by subspace iteration."""
+    q = np.random.default_rng(5).normal(size=(x.shape[1], min(rank + extra, x.shape[1]))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    turned = np.linalg.svd(x @ q, full_matrices=False)[2].T
+    return np.ascontiguousarray((q @ turned)[:, :rank], dtype=np.float32)
+
+
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k largest entries, by entry and then by place, ties at the border included."""
+    if near.shape[1] <= k:
+        return np.argsort(-near, 1, kind="stable")
+    border = np.partition(near, -k, 1)[:, -k][:, None]
+    over, equal = near > border, near == border
+    taken = over | (equal & (np.cumsum(equal, 1) <= k - over.sum(1, keepdims=True)))
+    places = np.nonzero(taken)[1].reshape(len(near), k)
+    order = np.argsort(-np.take_along_axis(near, places, 1), 1, kind="stable")
+    return np.take_along_axis(places, order, 1)
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit rows of log-damped shares times idf, so that a text's length plays no part."""
-    share = counts / np.maximum(counts[:, :CLASSES].sum(1, keepdims=True), 1)
-    return _unit((np.log1p(1000 * share) * idf).astype(np.float32))
+    style = counts[:, :STYLE] / np.maximum(counts[:, :CLASSES].sum(1, keepdims=True), 1)
+    words = counts[:, STYLE:] / np.maximum(counts[:, STYLE:].sum(1, keepdims=True), 1)
+    parts = [_unit((np.log1p(1000 * x) * w).astype(np.float32)) for x, w in ((style, idf[:STYLE]), (words, idf[STYLE:]))]
+    return _unit(np.concatenate([parts[0], WORD_PART * parts[1]], 1))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
