@@ -1,14 +1,15 @@
 """Quality rules: base counts of a text, then a hashed n-gram likelihood ratio.
 
-Everything runs as DataFrame expressions.  The verdict compares two multinomials over
-hashed unigrams and bigrams of word shapes (capitals, small letters and digits each become
-one sign, other signs stay): a trusted target, the documents labelled good, and the raw
-corpus.  A document's mean log ratio over its n-grams must reach ``FLOOR``; every document
-is thresholded alike, nothing is drawn.
+Everything runs as DataFrame expressions.  The verdict compares two multinomials, a trusted
+target, the documents labelled good, and the raw corpus, over three kinds of hashed
+n-grams: lower-cased words, pairs of them, and word shapes (capitals, small letters and
+digits each become one sign, other signs stay).  Each kind has buckets of its own.  A
+document's mean log ratio over its n-grams must reach ``FLOOR``; every document is
+thresholded alike, nothing is drawn.
 
 The raw counts cover all documents.  The target's rows are the labelled good documents, at
-most about ``TRUSTED`` of them, chosen by a hash of the id; both tables have ``BUCKETS``
-entries, whatever the input.
+most about ``TRUSTED`` of them, chosen by a hash of the id; both tables have ``SHAPES`` +
+2 * ``WORDS`` entries, whatever the input.
 
 Defined cases: null text counts as empty and fails for its few words; without labels the
 ratio is 0 everywhere and only the base rule decides; repeated rows are judged one by one.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from provenir.llm.common import SPACE, hash_share, table
 
-BUCKETS, TRUSTED, FLOOR, SMOOTH, WINDOW = 4096, 20_000, -0.3, 1.0, 8
+SHAPES, WORDS, TRUSTED, FLOOR, SMOOTH, WINDOW = 4096, 1 << 15, 20_000, -0.2, 1.0, 8
+BUCKETS = SHAPES + 2 * WORDS
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "[#*$%&|<>]"
 
@@ -72,25 +74,33 @@ def shapes(text: Column) -> Column:
     return words(F.regexp_replace(small, r"\p{N}+", "0"))
 
 
+def lower_words(text: Column) -> Column:
+    return words(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def bucket(*words_: Column) -> Column:
-    return F.pmod(F.xxhash64(*words_), F.lit(BUCKETS)).cast("int")
+    """Of a word, or of a word and the one behind it (null at the end)."""
+    return (F.pmod(F.xxhash64(*words_), F.lit(WORDS)) + F.lit(SHAPES + WORDS * (len(words_) - 1))).cast("int")
+
+
+def shape_bucket(shape: Column) -> Column:
+    return F.pmod(F.xxhash64(shape), F.lit(SHAPES)).cast("int")
 
 
-def _next(shape: Column) -> Column:
-    """The words behind each word; the last one pairs with the text's end."""
-    return F.slice(shape, 2, F.greatest(F.size(shape), F.lit(1)))
+def _next(array: Column) -> Column:
+    return F.slice(array, 2, F.greatest(F.size(array), F.lit(1)))
 
 
-def grams(shape: Column) -> Column:
-    """Buckets of all unigrams and bigrams."""
-    return F.concat(F.transform(shape, lambda x: bucket(x)), F.zip_with(shape, _next(shape), lambda x, y: bucket(x, y)))
+def grams(shape: Column, low: Column) -> Column:
+    """Buckets of all n-grams from a text's word shapes and lower-cased words."""
+    return F.concat(F.transform(shape, shape_bucket), F.transform(low, lambda x: bucket(x)), F.zip_with(low, _next(low), lambda x, y: bucket(x, y)))
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id") -> list[float]:
     """log(target share / raw share) of every bucket, smoothed; zeros without a target."""
     marked = trusted_ids.select(id_col, F.lit(True).alias("trusted"))
-    rows = docs.select(id_col, shapes(F.col("text")).alias("shape")).join(F.broadcast(marked), id_col, "left")
-    flat = rows.select("trusted", F.explode(grams(F.col("shape"))).alias("bucket"))
+    rows = docs.select(id_col, shapes(F.col("text")).alias("shape"), lower_words(F.col("text")).alias("low")).join(F.broadcast(marked), id_col, "left")
+    flat = rows.select("trusted", F.explode(grams(F.col("shape"), F.col("low"))).alias("bucket"))
     counted = flat.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("trusted").alias("target")).collect()  # BUCKETS rows
     raw, target = [SMOOTH] * BUCKETS, [SMOOTH] * BUCKETS
     for r in counted:
@@ -111,11 +121,13 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = TRUSTED)
 def judge(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """Adds the base counts, base_failed, ratio and kept to (.., text)."""
     lookup = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    out = base_counts(docs).withColumn("shape_", shapes(F.col("text")))
-    both = F.zip_with("shape_", _next(F.col("shape_")), lambda x, y: F.get(lookup, bucket(x)) + F.get(lookup, bucket(x, y)))
-    mean = F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(2 * F.size("shape_"), F.lit(1))
+    out = base_counts(docs).withColumns({"shape_": shapes(F.col("text")), "low_": lower_words(F.col("text"))})
+    low, add = F.col("low_"), lambda acc, x: acc + x
+    pairs = F.aggregate(F.zip_with(low, _next(low), lambda x, y: F.get(lookup, bucket(x)) + F.get(lookup, bucket(x, y))), F.lit(0.0), add)
+    total = pairs + F.aggregate("shape_", F.lit(0.0), lambda acc, x: acc + F.get(lookup, shape_bucket(x)))
+    mean = total / F.greatest(3 * F.size(low), F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "ratio": mean}).drop("shape_")
+    out = out.withColumns({"base_failed": failed, "ratio": mean}).drop("shape_", "low_")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= FLOOR))
 
 

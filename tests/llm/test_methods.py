@@ -511,10 +511,12 @@ def signed(x):
 
 def brute_grams(text):
     shape = re.sub(r"[^\W\d_]+", lambda m: re.sub("(A+)", "A", re.sub("(a+)", "a", "".join("A" if c.isupper() else "a" for c in m.group()))), text)
-    words = WORD.findall(re.sub(r"\d+", "0", shape))
-    one = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
-    two = [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(one, words[1:], strict=False)] + one[-1:]
-    return [signed(h) % rules.BUCKETS for h in one + two]
+    digest, low = xxhash.xxh64_intdigest, [w.encode() for w in WORD.findall(text.lower())]
+    one = [digest(w, 42) for w in low]
+    two = [digest(b, h) for h, b in zip(one, low[1:], strict=False)] + one[-1:]
+    shaped = [digest(w.encode(), 42) for w in WORD.findall(re.sub(r"\d+", "0", shape))]
+    tables = ((shaped, rules.SHAPES, 0), (one, rules.WORDS, rules.SHAPES), (two, rules.WORDS, rules.SHAPES + rules.WORDS))
+    return [signed(h) % n + first for hashes, n, first in tables for h in hashes]
 
 
 def test_rules_equal_brute_force(spark, texts):
@@ -525,7 +527,8 @@ def test_rules_equal_brute_force(spark, texts):
         for b in bs:
             raw[b] += 1
             target[b] += i in labels
-    ratio = [math.log(t / sum(target)) - math.log(r / sum(raw)) for t, r in zip(target, raw, strict=True)]
+    base = math.log(sum(raw)) - math.log(sum(target))
+    ratio = [math.log(t) - math.log(r) + base for t, r in zip(target, raw, strict=True)]
     for r in rules.op10_rules(spark, SMALL).collect():
         t = texts[r["doc_id"]]
         n, *rest = brute_base(t)
