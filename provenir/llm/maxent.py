@@ -1,28 +1,35 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-Words fall into ``CLASSES`` classes: frequent words by ranges of equal frequency mass, all
-others by their endings.  The model is P(word | history) = P(class | history) *
-P(word | class).  The class softmax has hashed features of the history (the word before,
-the two before as a bigram, and skips to the second and third before); within a class the
-softmax has the word itself as its only feature, whose maximum-entropy fit is the smoothed
-relative frequency.
+Words fall into ``CLASSES`` classes of ``SUBS`` sub-classes: each of the most frequent words
+has a sub-class of its own, all others fall into one by their ending and their hash.  The
+model is P(word | history) = P(class | history) * P(sub-class | class, history) *
+P(word | sub-class).  Both softmaxes have hashed features of the history: the word before,
+the two before as a bigram, and a skip to the second before; within a class the features
+are those of the history together with the class.  All share one table of ``FEATURES``
+rows.  Words that share a sub-class have the word as their only feature, whose
+maximum-entropy fit is the smoothed relative frequency.
 
 Training covers every training row: word counts in one pass, then ``ROUNDS`` rounds of
 distributed gradient updates, each over its own share of the rows.  In a round every task
-starts from the broadcast weights, makes sparse Adagrad steps over its partition and
-returns its change; changes are averaged by tokens.  Weights (FEATURES x CLASSES floats,
-2 MB) and the table of the at most ``TOP`` most frequent words are bounded broadcasts; all
-other words are joined with the counts.
+starts from the broadcast weights, makes sparse Adagrad steps over its partitions and
+returns the rows that it changed; a row's changes are averaged by how often each task met
+its feature, so that a rare feature keeps what it learned wherever it was met.  Texts are
+encoded once, as one number a token, and written; rounds and scores read that.
+
+Weights (FEATURES x CLASSES floats, 32 MB) and the table of the at most ``TOP`` most
+frequent words of up to ``WORD_BYTES`` bytes are bounded broadcasts; all other words are
+joined with the counts.
 
 Defined cases: null or empty text is the end token alone; a table without training rows
 gives uniform classes and counts of zero; repeated rows are scored one by one; equal texts
-have equal scores.
+have equal scores.  The weights depend on how rows fall into partitions, as averaged
+updates do: another layout of the same table gives slightly other values of ``score``;
+every other column is exact.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,13 +44,16 @@ from pyspark.sql import functions as F
 from provenir.llm.common import crc_mod, small_batches, table, utf8
 from provenir.runtime import materialize
 
-TOP, CLASSES, RANGED, FREQUENT, FEATURES, ROUNDS = 1 << 18, 64, 32, 2000, 1 << 13, 2
-ALPHA, RATE, STEP, ROW_BLOCK, ROW_SHARE = 0.1, 0.1, 512, 128, 64
+TOP, WORD_BYTES, CLASSES, SUBS, RANKED, FEATURES, ROUNDS = 1 << 18, 64, 32, 32, 16, 1 << 18, 2
+ALPHA, RATE, STEP, ROW_BLOCK, SPLITS_A_TASK = 0.1, 0.15, 1024, 4096, 4
+#: Rows behind those of the features: a bias of the classes, and one of each class's sub-classes.
+ROWS = FEATURES + 1 + CLASSES
+LEAVES = CLASSES * SUBS
 #: The end of a text as a token; no word is empty.
 END = b""
 _START = np.uint32(0x51ED270B)
-#: Odd multipliers of the history features: before, both before, second and third before.
 _MIX = tuple(np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32))
+_OTHER, _HASH_BITS = 1 << 30, 26
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -52,8 +62,15 @@ def tokens(text: bytes) -> list[bytes]:
     return found
 
 
-def ending_class(word: bytes) -> int:
-    return RANGED + zlib.crc32(word[-3:]) % (CLASSES - RANGED)
+def code(word: bytes) -> int:
+    """A word as a number: its ending's class and its hash."""
+    return _OTHER | zlib.crc32(word[-3:]) % (CLASSES - RANKED) << _HASH_BITS | zlib.crc32(word) & (1 << _HASH_BITS) - 1
+
+
+def leaf_of(codes: np.ndarray) -> np.ndarray:
+    """The sub-class of words that have none of their own."""
+    ending = (codes >> _HASH_BITS) & (CLASSES - RANKED - 1)
+    return (RANKED + ending) * SUBS + codes % SUBS
 
 
 def _partial_counts(seen: Counter) -> pa.RecordBatch:
@@ -86,15 +103,15 @@ class _Index(dict):
 
 @dataclass
 class Vocabulary:
-    """Exact counts of the most frequent words, totals of all, and class sums of all."""
+    """Exact counts of the most frequent words, totals of all, and sub-class sums of all."""
 
     words: list[bytes]
     counts: np.ndarray
-    floor: int
     total: int
     distinct: int
-    class_tokens: np.ndarray
-    class_words: np.ndarray
+    leaf_tokens: np.ndarray
+    leaf_words: np.ndarray
+    floor: int = 1
     index: dict[bytes, int] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -102,15 +119,13 @@ class Vocabulary:
 
     def _prepare(self) -> None:
         self.index = _Index(zip(self.words, range(len(self.words)), strict=True))
-        self.hashes = np.array([zlib.crc32(w) for w in self.words], np.uint32)
-        self.classes = np.array([ending_class(w) for w in self.words], np.int32)
-        n = min(FREQUENT, len(self.words))
-        if n:
-            mass = np.cumsum(self.counts[:n])
-            self.classes[:n] = np.minimum(RANGED - 1, (mass - self.counts[:n]) * RANGED // max(int(mass[-1]), 1))
+        self.codes = np.array([code(w) for w in self.words], np.int32)
+        self.leaves = leaf_of(self.codes)
+        n = min(RANKED * SUBS, len(self.words))
+        self.leaves[:n] = np.arange(n)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "hashes", "classes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "codes", "leaves")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -118,249 +133,271 @@ class Vocabulary:
 
 
 def vocabulary(counted: DataFrame, top: int = TOP) -> Vocabulary:
-    """Read off a materialized (word, n): all words counted at least ``floor`` times, where
-    the floor is the least that leaves at most ``top`` of them."""
+    """Read off a materialized (word, n): all words of up to WORD_BYTES counted at least
+    ``floor`` times, where the floor is the least that leaves at most ``top`` of them."""
+    short = counted.filter(F.length("word") <= WORD_BYTES)
     level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r["level"], r["words"], r["least"]) for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()), reverse=True)
+    sizes = sorted(((r["level"], r["words"], r["least"]) for r in short.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()), reverse=True)
     floor, held = None, 0
     for _, words, least in sizes:  # about a thousand levels at most
         if held + words > top:
             break
         floor, held = least, held + words
     floor = floor if floor is not None else 1 << 62
-    rows = counted.filter(F.col("n") >= floor).toArrow()
+    rows = short.filter(F.col("n") >= floor).toArrow()
     found = sorted(zip((-n for n in rows["n"].to_pylist()), rows["word"].to_pylist(), strict=True))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, CLASSES), np.int64)
+    def by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, LEAVES), np.int64)
         for batch in batches:
-            c = np.array([ending_class(w) for w in batch.column("word").to_pylist()], np.int64)
-            sums[0] += np.bincount(c, batch.column("n").to_numpy(), minlength=CLASSES).astype(np.int64)
-            sums[1] += np.bincount(c, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums[0]), pa.array(sums[1])], ["c", "n", "v"])
-
-    vocab = Vocabulary([w for _, w in found], np.array([-n for n, _ in found], np.int64), floor, int(total[0]), int(total[1]), np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64))
-    np.add.at(vocab.class_tokens, vocab.classes, vocab.counts)
-    np.add.at(vocab.class_words, vocab.classes, 1)
-    rest = counted.filter(F.col("n") < floor).mapInArrow(by_class, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+            leaf = leaf_of(np.array([code(w) for w in batch.column("word").to_pylist()], np.int64))
+            sums[0] += np.bincount(leaf, batch.column("n").to_numpy(), minlength=LEAVES).astype(np.int64)
+            sums[1] += np.bincount(leaf, minlength=LEAVES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEAVES)), pa.array(sums[0]), pa.array(sums[1])], ["leaf", "n", "v"])
+
+    vocab = Vocabulary([w for _, w in found], np.array([-n for n, _ in found], np.int64), int(total[0]), int(total[1]), np.zeros(LEAVES, np.int64), np.zeros(LEAVES, np.int64), floor)
+    np.add.at(vocab.leaf_tokens, vocab.leaves, vocab.counts)
+    np.add.at(vocab.leaf_words, vocab.leaves, 1)
+    rest = rare_words(counted, vocab).mapInArrow(by_leaf, "leaf long, n long, v long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     for r in rest.collect():
-        vocab.class_tokens[r["c"]] += r["n"]
-        vocab.class_words[r["c"]] += r["v"]
+        vocab.leaf_tokens[r["leaf"]] += r["n"]
+        vocab.leaf_words[r["leaf"]] += r["v"]
     return vocab
 
 
-@dataclass
-class Encoded:
-    """Tokens of several texts, one after the other, with their histories' features."""
-
-    owner: np.ndarray
-    index: np.ndarray
-    classes: np.ndarray
-    features: np.ndarray
-    sizes: np.ndarray
-    others: list[bytes]
+def rare_words(counted: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """The counted words that the broadcast table doesn't hold."""
+    return counted.filter((F.col("n") < vocab.floor) | (F.length("word") > WORD_BYTES))
 
 
-def encode(texts: list[bytes], vocab: Vocabulary) -> Encoded:
+def encode(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(a number for each token: its place in the vocabulary, or its code; tokens of each text; the words without a place)."""
     words: list[bytes] = []
     sizes = np.empty(len(texts), np.int64)
     for i, t in enumerate(texts):
         own = tokens(t)
         sizes[i] = len(own)
         words += own
-    index = np.fromiter(map(vocab.index.__getitem__, words), np.int32, len(words))
-    unknown = np.flatnonzero(index < 0)
+    found = np.fromiter(map(vocab.index.__getitem__, words), np.int32, len(words))
+    unknown = np.flatnonzero(found < 0)
     others = [words[i] for i in unknown.tolist()]
-    # an index of -1 reads the last entry here; those places are written next
+    found[unknown] = np.fromiter(map(code, others), np.int32, len(others))
+    return found, sizes, others
+
+
+def features_of(numbers: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the weights (2, tokens, 4), targets (2, tokens)): classes first, then sub-classes."""
+    known = numbers < _OTHER
+    codes, leaves = numbers.copy(), leaf_of(numbers)
     if len(vocab.words):
-        hashes, classes = vocab.hashes.take(index), vocab.classes.take(index)
-    else:
-        hashes, classes = np.zeros(len(index), np.uint32), np.zeros(len(index), np.int32)
-    hashes[unknown] = np.fromiter(map(zlib.crc32, others), np.uint32, len(others))
-    classes[unknown] = np.fromiter(map(ending_class, others), np.int32, len(others))
+        codes[known], leaves[known] = vocab.codes[numbers[known]], vocab.leaves[numbers[known]]
+    hashes = codes.view(np.uint32)
     starts = np.cumsum(sizes) - sizes
-    back = []
-    for k in (1, 2, 3):
-        h = np.empty_like(hashes)
+    one, two = np.empty_like(hashes), np.empty_like(hashes)
+    for k, h in ((1, one), (2, two)):
         h[k:] = hashes[: len(hashes) - k]
         for j in range(k):  # places with fewer than k words before them in their text
             h[starts[sizes > j] + j] = _START
-        back.append(h)
-    one, two, three = back
+    classes = leaves // SUBS
+    rows = np.empty((2, len(numbers), 4), np.int32)
+    rows[0, :, 3], rows[1, :, 3] = FEATURES, FEATURES + 1 + classes
+    salt = (classes.astype(np.uint32) + np.uint32(1)) * _MIX[1]
     with np.errstate(over="ignore"):
-        mixed = (one * _MIX[0], (one * _MIX[1]) ^ (two * _MIX[0]) * _MIX[2], two * _MIX[2], three * _MIX[3])
-        features = np.empty((len(index), len(mixed)), np.uint16)  # sorted by radix
-        for k, m in enumerate(mixed):
-            m ^= m >> np.uint32(15)
-            m *= _MIX[3]
-            features[:, k] = m >> np.uint32(32 - FEATURES.bit_length() + 1)
-    return Encoded(np.repeat(np.arange(len(texts)), sizes), index, classes, features, sizes, others)
+        for k, mixed in enumerate((one * _MIX[0], (one * _MIX[1]) ^ (two * _MIX[0]) * _MIX[2], two * _MIX[2])):
+            for level, m in enumerate((mixed, mixed ^ salt)):
+                m = (m ^ (m >> np.uint32(15))) * _MIX[3]
+                m = (m ^ (m >> np.uint32(13))) * _MIX[0]
+                rows[level, :, k] = m >> np.uint32(32 - FEATURES.bit_length() + 1)
+    return rows, np.stack([classes, leaves % SUBS])
 
 
 @dataclass
-class ClassModel:
-    """Weights of the class softmax: a bias, and a row of CLASSES for every hashed feature."""
+class Weights:
+    """One row of CLASSES (as many as SUBS) weights for every hashed feature and every bias."""
 
-    bias: np.ndarray
     rows: np.ndarray
 
     @staticmethod
-    def fresh() -> ClassModel:
-        return ClassModel(np.zeros(CLASSES, np.float32), np.zeros((FEATURES, CLASSES), np.float32))
+    def fresh(vocab: Vocabulary | None = None) -> Weights:
+        """No feature weighs; the biases are the relative frequencies of classes and sub-classes."""
+        out = Weights(np.zeros((ROWS, CLASSES), np.float32))
+        if vocab is not None:
+            tokens_ = vocab.leaf_tokens.reshape(CLASSES, SUBS) + ALPHA * (vocab.leaf_words.reshape(CLASSES, SUBS) + 1)
+            out.rows[FEATURES] = np.log(tokens_.sum(1) / tokens_.sum())
+            out.rows[FEATURES + 1 :] = np.log(tokens_ / tokens_.sum(1, keepdims=True))
+        return out
 
-    def logits(self, features: np.ndarray) -> np.ndarray:
+    def logits(self, rows: np.ndarray) -> np.ndarray:
         """Sums of weights (tokens, CLASSES), kept where exp can't overflow."""
-        out = self.rows.take(features[:, 0], 0)
-        for k in range(1, features.shape[1]):
-            out += self.rows.take(features[:, k], 0)
-        out += self.bias
+        out = self.rows.take(rows[:, 0], 0)
+        for k in range(1, rows.shape[1]):
+            out += self.rows.take(rows[:, k], 0)
         return np.clip(out, -60, 60, out=out)
 
-    def chosen(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Natural log of each token's class probability."""
-        out = np.empty(len(classes))
-        for i in range(0, len(classes), STEP):
-            part = slice(i, i + STEP)
-            z = self.logits(features[part])
-            own = z[np.arange(len(z)), classes[part]]
-            out[part] = own - np.log(np.exp(z, out=z).sum(1))
+    def chosen(self, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log of each target's probability."""
+        out = np.empty(len(targets))
+        for i in range(0, len(targets), STEP):
+            z = self.logits(rows[i : i + STEP])
+            own = z[np.arange(len(z)), targets[i : i + STEP]]
+            out[i : i + STEP] = own - np.log(np.exp(z, out=z).sum(1))
         return out
 
-    def update(self, features: np.ndarray, classes: np.ndarray, seen: ClassModel, rate: float = RATE) -> None:
-        """One Adagrad step on a batch, with one step size a feature row; ``seen`` holds the
-        sums of mean squared gradients (in the first column of its rows)."""
-        p = self.logits(features)
+    def update(self, rows: np.ndarray, targets: np.ndarray, seen: np.ndarray, met: np.ndarray, rate: float = RATE) -> None:
+        """One Adagrad step on a batch, with one step size a row; ``seen`` holds the rows' sums
+        of squared gradients, ``met`` how often each was met."""
+        p = self.logits(rows)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(classes)), classes] -= 1
-        g = p.sum(0)
-        seen.bias += g * g
-        self.bias -= rate * g / np.sqrt(seen.bias + 1)
-        k = features.shape[1]
-        flat = features.ravel()
-        order = np.argsort(flat, kind="stable")
+        p[np.arange(len(targets)), targets] -= 1
+        k = rows.shape[1] - 1  # biases stay as they are
+        flat = rows[:, :k].ravel()
+        # two passes of 16-bit keys, which numpy sorts by radix
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        order = order.take(np.argsort((flat >> 16).astype(np.uint16).take(order), kind="stable"))
         ordered = flat.take(order)
         at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         touched = ordered.take(at)
+        met[touched] += np.diff(at, append=len(ordered))
         # two floats in one complex number halve the work of the segmented sum
         g = np.add.reduceat(p.take(order // k, 0).view(np.complex64), at, 0).view(np.float32)
-        squares = seen.rows[touched, 0] + np.einsum("ij,ij->i", g, g) / ROW_SHARE
-        seen.rows[touched, 0] = squares
-        g *= (-rate / np.sqrt(squares + ROW_SHARE / CLASSES))[:, None]
+        squares = seen[touched] + np.einsum("ij,ij->i", g, g)
+        seen[touched] = squares
+        g *= (-rate / np.sqrt(squares / CLASSES + 0.02))[:, None]
         g += self.rows.take(touched, 0)
         self.rows[touched] = g
 
 
-def train_round(docs: DataFrame, vocab, model: ClassModel) -> ClassModel:
-    """One round: every partition's change of the weights, averaged by its tokens."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    size = 4 * ROW_BLOCK * CLASSES
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Changes of one block of rows, averaged by how often each task met the rows."""
+    met = [np.frombuffer(x, "<f4").astype(np.float64) for x in pdf["met"]]
+    total = np.maximum(sum(met), 1e-9)
+    change = sum(np.frombuffer(x, "<f2").reshape(len(total), CLASSES) * (n / total)[:, None] for n, x in sorted(zip(met, pdf["change"], strict=True), key=lambda x: x[1]))
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": [0], "met": [sum(met).astype("<f4").tobytes()], "change": [change.astype("<f2").tobytes()]})
+
+
+def train_round(encoded: DataFrame, vocab, weights: Weights) -> Weights:
+    """One round: every task's changes of the rows that it met, averaged row by row."""
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ClassModel(shared.value.bias.copy(), shared.value.rows.copy())
-        seen = ClassModel.fresh()
-        count = 0
+        own, seen, met = Weights(shared.value.rows.copy()), np.zeros(ROWS, np.float32), np.zeros(ROWS, np.int64)
         for batch in batches:
-            x = encode(utf8(batch, "text"), vocab.value)
-            for i in range(0, len(x.classes), STEP):
-                own.update(x.features[i : i + STEP], x.classes[i : i + STEP], seen)
-            count += len(x.classes)
-        if count:
-            change = np.concatenate([own.rows - shared.value.rows, (own.bias - shared.value.bias)[None]])
-            change = np.concatenate([change, np.zeros((-len(change) % ROW_BLOCK, CLASSES), np.float32)]) * count
-            data = change.astype("<f4").tobytes()
-            blocks = len(data) // size
-            task = uuid.uuid5(uuid.NAMESPACE_OID, f"{count}/{zlib.crc32(data)}").int & 0xFFFF
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), pa.array(np.full(blocks, task)), pa.array(np.full(blocks, count)), pa.array([data[k * size : (k + 1) * size] for k in range(blocks)], pa.binary())], ["block", "task", "n", "change"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<f4").astype(np.float64) for c in sorted(pdf["change"]))
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": [0], "n": [pdf["n"].sum()], "change": [total.astype("<f4").tobytes()]})
-
-    schema = "block long, task long, n long, change binary"
-    changes = docs.select("text").mapInArrow(run, schema)
-    # changes are added in two steps, so that no group grows with the number of tasks
-    halves = changes.withColumn("part", F.col("task") % 64).groupBy("block", "part").applyInPandas(add, schema)
-    summed = halves.groupBy("block").applyInPandas(add, schema).collect()
-    if not summed:
-        return model
-    parts = [np.frombuffer(r["change"], "<f4").reshape(-1, CLASSES) / r["n"] for r in sorted(summed, key=lambda r: r["block"])]
-    change = np.concatenate(parts)
-    return ClassModel(model.bias + change[FEATURES], model.rows + change[:FEATURES])
-
-
-def score(docs: DataFrame, counted: DataFrame, vocab, model: ClassModel, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
-
-    Frequent words are scored where the text is read; a text's other words leave as a list
-    and meet their counts in a join.
+            rows, targets = features_of(*_numbers(batch), vocab.value)
+            for i in range(0, rows.shape[1], STEP):
+                part = slice(i, i + STEP)
+                own.update(rows[:, part].reshape(-1, 4), targets[:, part].ravel(), seen, met)
+        if met.any():
+            change = (own.rows - shared.value.rows).astype("<f2")
+            for k in range(0, ROWS, ROW_BLOCK):
+                if met[k : k + ROW_BLOCK].any():
+                    data, n = change[k : k + ROW_BLOCK].tobytes(), met[k : k + ROW_BLOCK].astype("<f4").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k // ROW_BLOCK]), pa.array([zlib.crc32(data) & 0xFFFF]), pa.array([n], pa.binary()), pa.array([data], pa.binary())], ["block", "task", "met", "change"])
+
+    schema = "block long, task long, met binary, change binary"
+    slim = encoded.select("numbers")
+    changes = slim.coalesce(max(1, -(-slim.rdd.getNumPartitions() // SPLITS_A_TASK))).mapInArrow(run, schema)
+    # changes are merged in two steps, so that no group grows with the number of tasks
+    halves = changes.withColumn("part", F.col("task") % 64).groupBy("block", "part").applyInPandas(_merged, schema)
+    out = weights.rows.copy()
+    for r in halves.groupBy("block").applyInPandas(_merged, schema).collect():  # one table of weights
+        change = np.frombuffer(r["change"], "<f2").reshape(-1, CLASSES)
+        out[r["block"] * ROW_BLOCK :][: len(change)] += change
+    return Weights(out)
+
+
+def _numbers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all tokens, tokens of each text) of a batch of encoded texts."""
+    column = batch.column("numbers")
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).astype(np.int64)
+
+
+def encoded_texts(docs: DataFrame, vocab, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(uid, *keep, n_tokens, known, frequent, numbers, others, times) for every row, written.
+
+    ``frequent`` sums log10 of the smoothed counts of words in the broadcast table; a text's
+    other words come out as a list with their counts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
-        base_norm = math.log10(v.total + ALPHA * (v.distinct + 1))
-        class_norm = np.log10(v.class_tokens + ALPHA * (v.class_words + 1))
-        logs = np.log10(v.counts + ALPHA)
+        logs = np.append(np.log10(vocab.value.counts + ALPHA), 0)
         for batch in batches:
-            texts = utf8(batch, "text")
-            x = encode(texts, v)
-            n = len(texts)
-            known = x.index >= 0
-            own = np.zeros(len(x.index))
-            own[known] = logs[x.index[known]]
-            frequent = np.bincount(x.owner, own, n)
-            in_class = shared.value.chosen(x.features, x.classes) / math.log(10) - class_norm[x.classes]
-            cuts = np.searchsorted(x.owner[~known], np.arange(n + 1)).tolist()
+            numbers, sizes, others = encode(utf8(batch, "text"), vocab.value)
+            n = len(sizes)
+            known = numbers < _OTHER
+            owner = np.repeat(np.arange(n), sizes)
+            frequent = np.bincount(owner, logs[np.where(known, numbers, -1)], n)
+            cuts = np.searchsorted(owner[~known], np.arange(n + 1)).tolist()
             words, times, offsets = [], [], [0]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                seen = Counter(x.others[a:b])
+                seen = Counter(others[a:b])
                 words += seen
                 times += seen.values()
                 offsets.append(len(words))
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), v) for v in (pa.array(words, pa.binary()), pa.array(times, pa.int64()))]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_col),
-                    pa.array(x.sizes),
-                    pa.array(np.bincount(x.owner[known], minlength=n)),
-                    pa.array(frequent - x.sizes * base_norm),
-                    pa.array(frequent + np.bincount(x.owner, in_class, n)),
-                    *lists,
-                ],
-                [id_col, "n_tokens", "known", "base", "model", "others", "times"],
+                [*(batch.column(c) for c in keep), pa.array(sizes), pa.array(np.bincount(owner[known], minlength=n)), pa.array(frequent), pa.ListArray.from_arrays(ends, pa.array(numbers, pa.int32())), *lists],
+                [*keep, "n_tokens", "known", "frequent", "numbers", "others", "times"],
             )
 
-    schema = f"{id_col} long, n_tokens long, known long, base double, model double, others array<binary>, times array<bigint>"
-    rows = materialize(docs.select(id_col, "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "scored")
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = "".join(f"`{c}` {fields[c]}, " for c in keep) + "n_tokens long, known long, frequent double, numbers array<int>, others array<binary>, times array<bigint>"
+    rows = docs.select(*keep, "text").mapInArrow(run, schema)
+    return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "encoded")
+
+
+def score(encoded: DataFrame, counted: DataFrame, vocab, weights: Weights, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, n_tokens, n_known, train_tokens, base_score, score) for every encoded row.
+
+    Frequent words are scored where the text is read; a text's other words meet their
+    counts in a join.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(weights)
+    v = vocab.value
+    base_norm = math.log10(v.total + ALPHA * (v.distinct + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norm = np.log10(vocab.value.leaf_tokens + ALPHA * (vocab.value.leaf_words + 1))
+        for batch in batches:
+            numbers, sizes = _numbers(batch)
+            rows, targets = features_of(numbers, sizes, vocab.value)
+            each = sum(shared.value.chosen(r, t) for r, t in zip(rows, targets, strict=True)) / math.log(10) - norm[targets[0] * SUBS + targets[1]]
+            model = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model)], [*names, "model"])
+
+    names = ("uid", *keep, "n_tokens", "known", "frequent")
+    fields = {f.name: f.dataType.simpleString() for f in encoded.schema}
+    schema = "".join(f"`{c}` {fields[c]}, " for c in names) + "model double"
+    rows = encoded.select(*names, "numbers").mapInArrow(run, schema)
     # each text's words came out once, with their counts
-    rest = rows.select("uid", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("tf"))).alias("x")).select("uid", "x.word", "x.tf")
-    rare = counted.filter(F.col("n") < vocab.value.floor)
-    met = rest.join(rare, "word", "left")
+    rest = encoded.select("uid", F.explode(F.arrays_zip(F.col("others").alias("word"), F.col("times").alias("tf"))).alias("x")).select("uid", "x.word", "x.tf")
+    met = rest.join(rare_words(counted, v), "word", "left")
     logs = F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(ALPHA)) * F.col("tf")
     sums = met.groupBy("uid").agg(F.sum(logs).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("more"))
-    log, more = F.coalesce("log", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    out = rows.drop("others", "times").join(sums, "uid", "left")
-    return out.select(id_col, "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(vocab.value.total).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("model") + log).alias("score"))
+    log, more = F.col("frequent") + F.coalesce("log", F.lit(0.0)), F.coalesce("more", F.lit(0))
+    base = log - F.col("n_tokens") * F.lit(base_norm)
+    return rows.join(sums, "uid", "left").select(*keep, "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + log).alias("score"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", rounds: int = ROUNDS, top: int = TOP):
-    """(counts, broadcast vocabulary, model) from all rows of ``docs``."""
+def fit(docs: DataFrame, train, keep: tuple[str, ...] = ("doc_id",), rounds: int = ROUNDS, top: int = TOP):
+    """(encoded rows, counts, broadcast vocabulary, weights); ``train`` marks the training rows of ``docs``."""
     spark = docs.sparkSession
-    counted = materialize(count_words(docs), "words")
+    counted = materialize(count_words(docs.filter(train)), "words")
     vocab = spark.sparkContext.broadcast(vocabulary(counted, top))
-    model = ClassModel.fresh()
+    marked = docs.select(*keep, "text", train.alias("train"))
+    encoded = encoded_texts(marked, vocab, (*keep, "train"))
+    weights = Weights.fresh(vocab.value)
     for r in range(rounds):
-        model = train_round(docs.filter(F.pmod(F.xxhash64(F.lit("round"), id_col), F.lit(rounds)) == r), vocab, model)
-    return counted, vocab, model
+        weights = train_round(encoded.filter("train").filter(F.pmod(F.xxhash64(F.lit("round"), "uid"), F.lit(rounds)) == r), vocab, weights)
+    return encoded, counted, vocab, weights
 
 
 def op6_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counted, vocab, model = fit(docs.filter(crc_mod("doc_id", 10) != 0))
-    held = (crc_mod("doc_id", 10) == 0).alias("held_out")
-    return score(docs, counted, vocab, model).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    fold = crc_mod("doc_id", 10)
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold == 0).alias("held_out"), "text")
+    keep = ("doc_id", "held_out")
+    return score(*fit(docs, ~F.col("held_out"), keep), keep)

@@ -44,14 +44,33 @@ def clashing(spark, odd):
     return odd.select("*", *(F.lit("z").alias(n) for n in names))
 
 
+@pytest.fixture(scope="session")
+def clashing_pages(spark):
+    from pyspark.sql import functions as F
+
+    names = ("host", "path", "rule", "verdict", "hit", "words", "word", "n", "name", "buckets", "class", "count", "known")
+    return spark.createDataFrame(PAGES, "page_id long, url string, html string").select("*", *(F.lit("z").alias(n) for n in names))
+
+
+PAGES = [
+    (1, "http://www.CheapPills.example.com/en/5", "<p>cheap pills cheap pills</p>"),
+    (2, None, None),
+    (3, "no scheme", ""),
+    (4, "x://example.net/en/1?q#f", "<b>x"),
+    (5, "https://a.b.org", "x"),
+    (5, "https://a.b.org", "x"),
+    (6, "https://été.example.org/fr/a", "long " * 200_000),
+    (None, "http://", "y"),
+]
+
+
 @pytest.fixture(scope="session")
 def small(tmp_path_factory, spark, odd):
     """A folder of tables with odd documents and pages, and empty labels."""
     path = str(tmp_path_factory.mktemp("odd"))
     odd.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (4, 0, 0), (4, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
-    pages = [(1, "http://www.CheapPills.example.com/en/5", "<p>cheap pills cheap pills</p>"), (2, None, None), (3, "no scheme", ""), (4, "x://example.net/en/1?q#f", "<b>x"), (5, "https://a.b.org", "x"), (None, "http://", "y")]
-    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     return path
 
 
