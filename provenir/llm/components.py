@@ -11,10 +11,10 @@ from provenir.runtime import materialize
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over directed pairs (a, b): everything next to a is hung on a's least.
 
-    The minimum is a partial aggregate joined back, so that a hub's row group never has
-    to meet in one task.
+    The minimum is a partial aggregate, written and joined back: a hub's rows never have to
+    meet in one task, since Spark can split a busy key of that join.  ``edges`` is written.
     """
-    least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     met = edges.join(least, "a")
     if large:
         return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -31,7 +31,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hung = _star(both, True).filter("a != b").distinct()
+        hung = materialize(_star(both, True).filter("a != b").distinct(), "hung")
         # small stars look at each node's lower neighbours only
         edges = materialize(_star(hung, False).filter("a != b").distinct(), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

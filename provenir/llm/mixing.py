@@ -150,12 +150,17 @@ def cube_sample(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, size, source_size, target, copies, taken) per row of ``docs``."""
     small_batches(docs.sparkSession, 10_000)
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sizes = materialize(docs.select(F.col(id_col).alias("id"), "source", size.alias("size"), F.spark_partition_id().alias("part")), "sizes")
     targets = materialize(source_targets(sizes), "targets")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    # one unit per distinct (id, source, size); repeated rows get a running number
-    repeats = Window.partitionBy("id", "source", "size").orderBy(F.lit(1))
-    rows = sizes.withColumn("nth", F.row_number().over(repeats)).withColumn("stratum", key)
+    # one unit per distinct (id, source, size); repeated rows get a running number.  They are
+    # counted in the part that they were read in and made again from the counts, so that
+    # rows of one key (null ids, say) never have to meet: only one count a part does
+    counted = sizes.groupBy("id", "source", "size", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("id", "source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    rows = counted.select("id", "source", "size", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("nth")).withColumn("stratum", key)
     rows = rows.withColumn("uid", F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("null")), "size", "nth", "stratum"))
     ratio = targets.withColumn("stratum", key).select("stratum", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("ratio"))
     rows = rows.join(ratio, "stratum")
