@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open_scratch: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
@@ -37,4 +41,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _open_scratch:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialize`` writes inside the block, once the block has written its result.
+
+    The result is taken out of the block by ``keep``: nothing else that was made inside may
+    be read afterwards.
+    """
+    made: list[str] = []
+    _open_scratch.append(made)
+    try:
+        yield
+    finally:
+        _open_scratch.remove(made)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for the result of a ``scratch`` block, which stays."""
+    held = _open_scratch.pop() if _open_scratch else None
+    try:
+        return materialize(df, name)
+    finally:
+        if held is not None:
+            _open_scratch.append(held)
