@@ -11,19 +11,27 @@ from pyspark.sql import functions as F
 
 from provenir.llm import language, mixing, packing, pii, resemblance, simhash
 from provenir.llm.components import connected_components
-from provenir.runtime import materialize
+from provenir.runtime import keep, materialize, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least pooled probability that keeps a document in the language stage: short texts and
-#: texts in two languages stay, only what looks alike in all of them goes.
-SURE = 0.34
+#: How far the best language's pooled probability must lie between chance and certainty:
+#: short texts and texts in two languages stay, only what looks alike in all of them goes.
+SURE = 0.12
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters and those whose language stays unclear."""
+    """Drop documents without letters and those whose language stays unclear.
+
+    The bound follows the number of languages; where fewer than two can be learned, all
+    documents with a letter stay.  Null and empty texts have no letter; ids, sources and
+    repeated rows play no part.
+    """
     net = language.train(docs)
+    if net is None or len(net.languages) < 2:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    chance = 1 / len(net.languages)
     judged = language.predict(docs, net, keep=COLUMNS[1:])
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*COLUMNS)
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= chance + SURE * (1 - chance))).select(*COLUMNS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -51,15 +59,23 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace each span of personal data by its kind; no document is dropped."""
-    found = pii.candidates(docs.select(*COLUMNS))
+    """Replace each span of personal data by its kind; no document is dropped.
+
+    A null text stays null, and so does its n_chars; rows with null or repeated
+    ids and equal texts are rewritten one by one, alike.
+    """
+    found = materialize(pii.candidates(docs.select(*COLUMNS)), "candidates")
     spans = pii.detect(found, pii.fit(found))
     clean = spans.withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each row as often as the mixture takes it, whatever its id; rows taken 0 times go."""
+    """Repeat each row as often as the mixture takes it, whatever its id; rows taken 0 times go.
+
+    Null sources are a source of their own; a row without words is taken as often as its
+    source's target is a whole multiple of its size; equal rows are drawn one by one.
+    """
     rows = numbered(docs)
     taken = materialize(mixing.mix_sources(rows, "row_id").select("row_id", "copies"), "copies")
     times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
@@ -84,7 +100,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage wrote for itself goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = keep(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
