@@ -192,7 +192,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", per_language: int = PER_LANGU
         return None
     each = min(per_language, max(1, sample // len(counts)))
     bounds = docs.sparkSession.createDataFrame([(k, max(least, int(min(1.0, each / n) * (1 << 30)))) for k, (n, least) in counts.items()], "lang string, bound long")
-    chosen = rows.join(bounds, "lang").filter(_draw(id_col) <= F.col("bound")).select("lang", id_col, "text").limit(2 * each * len(counts))
+    # one row a language, as in the model itself, which is broadcast too
+    chosen = rows.join(F.broadcast(bounds), "lang").filter(_draw(id_col) <= F.col("bound")).select("lang", id_col, "text").limit(2 * each * len(counts))
     found = sorted((r["lang"], r[id_col] or 0, r["text"].encode()) for r in chosen.collect())
     languages = sorted(counts)
     place = {x: k for k, x in enumerate(languages)}
