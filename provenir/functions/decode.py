@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from provenir.functions.text import GRADES
 
+#: The states and kinds of the wire format, whose field names stand below.
 _STATES = ("cold_start", "no_edge", "squash_resolved", "turns")
 _KINDS = ("exact", "probable")
 _STRINGS = "array<string>"

@@ -54,6 +54,11 @@ def settle_delay_ms(budget: Column, configured: Column | None = None) -> Column:
     return F.least(wanted, F.floor(budget * SETTLE_SHARE)).cast("long")
 
 
+def spawn_budget_ms(budget: Column) -> Column:
+    """The share of the hook's budget in which processes may be started."""
+    return F.floor(budget * SPAWN_SHARE).cast("long")
+
+
 def spawn_timeout_ms(remaining: Column, ceiling: Column) -> Column:
     """Null where too little time is left to start a process."""
     return F.when(remaining >= SPAWN_FLOOR_MS, F.least(ceiling, remaining)).cast("long")

@@ -32,7 +32,9 @@ def relative_age(then_ms: Column, now_ms: Column) -> Column:
 
 
 def utc_day(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    """The day in UTC whatever the session's zone; a timestamp without a zone is in UTC."""
+    here = ts.cast("timestamp_ntz")
+    return F.date_format(F.when(F.typeof(ts) == "timestamp_ntz", here).otherwise(F.convert_timezone(None, F.lit("UTC"), here)), "yyyy-MM-dd")
 
 
 def author_date(epoch: Column, offset: Column) -> Column:
@@ -132,6 +134,9 @@ def valid_since(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
 
 
+# The sentences below are the client's wording.
+
+
 def no_commits(ref: Column, window: Column) -> Column:
     return F.format_string("No commits on %s in %s.", ref, window)
 

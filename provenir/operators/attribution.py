@@ -71,3 +71,25 @@ def shown_turns(turns: DataFrame, by: list[str], shown: int) -> DataFrame:
     """The turns inside the display window, in order of position (cut before the shuffle)."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy("position"))
     return turns.withColumn("place", place).filter(F.col("place") <= shown)
+
+
+def same_patch(commits: DataFrame) -> DataFrame:
+    """Probable successors (repo, new_sha, old_sha, match_kind): each commit whose exported
+    patch id an earlier commit of its repository has, linked to the earliest one.
+
+    commits is (repo, sha, patch_id, committed_at); a null patch id (a merge, an empty
+    commit) matches nothing.  One partial aggregate and a join, never the pairs of a group.
+    """
+    known = commits.filter("patch_id is not null")
+    first = known.groupBy("repo", "patch_id").agg(F.min(F.struct("committed_at", "sha")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    met = known.join(first, ["repo", "patch_id"]).filter("sha != first.sha")
+    return met.select("repo", F.col("sha").alias("new_sha"), F.col("first.sha").alias("old_sha"), F.lit("probable").alias("match_kind"))
+
+
+def files_without_turn(touched: DataFrame, turns: DataFrame) -> DataFrame:
+    """(repo, sha, missing): how many files of each commit have no linked turn; none gives no row.
+
+    Both are (repo, sha, file).
+    """
+    key = ["repo", "sha", "file"]
+    return touched.select(*key).distinct().join(turns.select(*key), key, "left_anti").groupBy("repo", "sha").agg(F.count("*").alias("missing"))

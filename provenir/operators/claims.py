@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenir.runtime import materialize
+
 _ALL = ("why", "report", "help", "status", "connect", "off")
 #: Phrase -> surfaces on which it is blocked.
 BLOCKED = (
@@ -47,8 +49,8 @@ BLOCKED = (
     ("protected", ("connect",)),
     ("encrypted", ("connect",)),
 )
-#: Phrase rows that are broadcast at most; beyond, the groups that a surface's texts are dealt to.
-BOUND, SALTS = 100_000, 64
+#: Phrase rows that are broadcast at most; more of them are joined on their keys.
+BOUND = 100_000
 #: Java's \b knows Unicode letters; the boundary here is ASCII's.
 BOUNDARY = r"(?iu)(^|[^A-Za-z0-9_])"
 
@@ -61,19 +63,48 @@ def matches(text: Column, phrase: Column) -> Column:
     return F.rlike(text, F.concat(F.lit(BOUNDARY + r"\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
 
 
+def phrase_key(phrase: Column) -> Column:
+    """A run of word signs that every text with the phrase holds: its longest one, whole.
+
+    Where the phrase's only run is its end, a text may go on behind it: the key is then a
+    prefix, marked by its length.  Null for a phrase without any run.
+    """
+    low = F.lower(phrase)
+    runs = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0))
+    open_end = low.rlike("[a-z0-9_]$")
+    inner = F.when(open_end, F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0)))).otherwise(runs)
+    longest = F.array_max(F.transform(inner, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    last = F.element_at(runs, -1)
+    return F.when(F.size(inner) > 0, longest).when(F.size(runs) > 0, F.concat(F.length(last).cast("string"), F.lit(":"), last))
+
+
 def scan(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(every column of texts, phrase) for each violation.
 
-    texts has (surface, text), phrases (phrase, surfaces).  All texts may share one surface,
-    so texts never move by it: up to BOUND phrase rows, counted first, are broadcast; more
-    of them meet the texts in salted groups.  A case-folded containment test, which is
-    cheap, goes before the pattern.
+    texts has (surface, text), phrases (phrase, surfaces).  A text meets only the phrases
+    whose key is among its distinct words (or their prefixes, of the lengths that occur):
+    an equi-join on (surface, key), whose cost is the texts' words plus true and near hits.
+    What meets is verified by containment and then by the pattern.  Up to BOUND phrase rows,
+    counted first, are broadcast; more of them are joined, texts numbered and read twice.
+    Phrases without an ASCII word are compared with every text of their surface.
     """
-    rows = phrases.select("phrase", F.explode("surfaces").alias("surface"))
-    if rows.limit(BOUND + 1).count() <= BOUND:
-        met = texts.join(F.broadcast(rows), "surface")
+    rows = phrases.select("phrase", F.explode("surfaces").alias("surface")).distinct().withColumn("key_", phrase_key(F.col("phrase")))
+    prefixes = rows.filter(F.contains("key_", F.lit(":"))).select(F.substring_index("key_", ":", 1).cast("int").alias("n")).distinct()
+    lengths = sorted(r["n"] for r in prefixes.collect())  # one row a length
+    words = F.array_distinct(F.split("low_", "[^a-z0-9_]+"))
+    cut = lambda n: F.transform(F.filter("words_", lambda w: F.length(w) >= n), lambda w: F.concat(F.lit(f"{n}:"), F.left(w, F.lit(n))))
+    keys = F.array_distinct(F.concat("words_", *map(cut, lengths)))
+    # the empty word stands for phrases without a key
+    keyed = rows.withColumn("key_", F.coalesce("key_", F.lit("")))
+    own = texts.columns
+    few = keyed.limit(BOUND + 1).count() <= BOUND
+    if not few:
+        texts = materialize(texts.withColumn("uid_", F.monotonically_increasing_id()), "texts")
+    spread = texts.withColumn("low_", F.lower("text")).withColumn("words_", F.array_union(words, F.array(F.lit(""))))
+    spread = spread.select(*texts.columns, "low_", F.explode(keys).alias("key_"))
+    if few:
+        met = spread.join(F.broadcast(keyed), ["surface", "key_"])
     else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salted = texts.withColumn("salt_", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
-        met = salted.join(rows.withColumn("salt_", salts), ["surface", "salt_"]).drop("salt_")
-    return met.filter(F.contains(F.lower("text"), F.lower("phrase"))).filter(matches(F.col("text"), F.col("phrase")))
+        pairs = spread.select("uid_", "surface", "key_").join(keyed, ["surface", "key_"]).select("uid_", "phrase")
+        met = texts.withColumn("low_", F.lower("text")).join(pairs, "uid_")
+    return met.filter(F.contains("low_", F.lower("phrase"))).filter(matches(F.col("text"), F.col("phrase"))).select(*own, "phrase")

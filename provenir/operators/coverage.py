@@ -9,26 +9,71 @@ from provenir.functions.text import percent
 from provenir.runtime import materialize
 
 
-def reachable(starts: DataFrame, parents: DataFrame, rounds: int = 10_000, cut_every: int = 4) -> DataFrame:
-    """(root, node): every ancestor of each start, itself included.
+def paths_of(parents: DataFrame) -> DataFrame:
+    """(node, path, depth): the graph's nodes in disjoint paths along first parents.
 
-    starts is (root, node), parents (child, parent).  A frontier is expanded per round and
-    reduced to nodes not seen before, so that merges don't multiply paths; lineage is cut
-    in the shared folder every few rounds.  An unfinished closure raises: unknown is not
-    "not reachable".
+    A node's first parent is its least one, and each parent continues the path of its least
+    such child, so every node lies on one path; ``path`` is the node where it ends and
+    ``depth`` the steps to there.  Pointers double, so the rounds are the log of the longest
+    path, and no path ever meets in one task.
     """
-    seen = materialize(starts.select("root", "node").distinct(), "reach")
-    frontier, parts = seen, [seen]
-    for k in range(rounds):
-        step = frontier.join(parents, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node")).distinct()
-        frontier = materialize(step.join(seen, ["root", "node"], "left_anti"), "frontier")
-        if frontier.isEmpty():
-            return seen
-        parts.append(frontier)
-        seen = seen.unionByName(frontier)
-        if k % cut_every == cut_every - 1:
-            seen = materialize(seen, "reach")
-    raise RuntimeError(f"the commit graph is deeper than {rounds} rounds")
+    first = parents.groupBy("child").agg(F.min("parent").alias("parent"))
+    up = first.groupBy("parent").agg(F.min("child").alias("node")).select("node", F.col("parent").alias("path"))
+    nodes = parents.select(F.col("child").alias("node")).unionByName(parents.select(F.col("parent").alias("node"))).distinct()
+    depth = F.when(F.col("path").isNull(), 0).otherwise(1).cast("long")
+    jumps = materialize(nodes.join(up, "node", "left").select("node", F.coalesce("path", "node").alias("path"), depth.alias("depth")), "paths")
+    while True:
+        far = jumps.select(F.col("node").alias("path"), F.col("path").alias("end"), F.col("depth").alias("more"))
+        met = materialize(jumps.join(far, "path").select("node", F.col("end").alias("path"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "paths")
+        if met.filter("moved").isEmpty():
+            return met.drop("moved")
+        jumps = met.drop("moved")
+
+
+def reachable(starts: DataFrame, parents: DataFrame, steps: int = 4) -> DataFrame:
+    """(root, node): every ancestor of each start, itself included, at any depth.
+
+    starts is (root, node), parents (child, parent).  Along a path of first parents all
+    nodes below a reached one are reached, so a root's state is one depth a path; rounds
+    follow the edges that leave a path, ``steps`` of them between two writes, until no
+    state moves.  A history as long as the input costs the log of its length, and its
+    merges as many rounds as lie on one way through them.
+    """
+    starts, parents = starts.select("root", "node").distinct(), materialize(parents.select("child", "parent").distinct(), "parents")
+    paths = paths_of(parents)
+    at = lambda c: paths.select(F.col("node").alias(c), F.col("path").alias(f"{c}_path"), F.col("depth").alias(f"{c}_depth"))
+    crossing = parents.join(at("child"), "child").join(at("parent"), "parent").filter("child_path != parent_path")
+    crossing = materialize(crossing.groupBy("child_path", "parent_path", "child_depth").agg(F.max("parent_depth").alias("parent_depth")), "crossing")
+    # a start that no edge knows is a path of its own
+    state = starts.join(paths, "node", "left").select("root", F.coalesce("path", "node").alias("path"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    state, last = materialize(state.groupBy("root", "path").agg(F.max("depth").alias("depth")), "state"), None
+    while True:
+        # a way through k crossings takes k steps; depths only grow
+        total = state.agg(F.count("*"), F.sum(F.col("depth").cast("decimal(38,0)"))).first()
+        if total == last:
+            break
+        last = total
+        for _ in range(steps):
+            left = state.join(crossing, F.col("path") == F.col("child_path")).filter("child_depth <= depth")
+            state = state.unionByName(left.select("root", F.col("parent_path").alias("path"), F.col("parent_depth").alias("depth")))
+            state = state.groupBy("root", "path").agg(F.max("depth").alias("depth"))
+        state = materialize(state, "state")
+    found = state.withColumnRenamed("depth", "reached").join(paths, "path").filter("depth <= reached").select("root", "node")
+    return found.unionByName(starts).distinct()
+
+
+def with_reachability(captured: DataFrame, refs: DataFrame, parents: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds ``reachable`` to captured (ref, sha): true, false, or null where it can't be told.
+
+    refs is (ref, sha), parents (child, parent), known (sha) the commits that are there.  A
+    commit in a ref's closure is reachable.  Any other one is not, unless the closure meets
+    a commit that isn't there: behind it may be anything, and unknown is not "no".
+    """
+    closure = materialize(reachable(refs.select(F.col("ref").alias("root"), F.col("sha").alias("node")), parents), "closure")
+    cut = closure.join(known.select(F.col("sha").alias("node")), "node", "left_anti").select(F.col("root").alias("ref")).distinct().withColumn("cut_", F.lit(True))
+    inside = closure.select(F.col("root").alias("ref"), F.col("node").alias("sha"), F.lit(True).alias("inside_"))
+    answer = F.coalesce("inside_", F.when(F.col("cut_").isNull(), F.lit(False)))
+    return captured.join(inside, ["ref", "sha"], "left").join(cut, "ref", "left").withColumn("reachable", answer).drop("inside_", "cut_")
 
 
 def coverage(commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,7 +81,8 @@ def coverage(commits: DataFrame, edges: DataFrame) -> DataFrame:
 
     commits is (ref, sha, in_window, reachable, successor) with successor exact, probable or
     null; edges (sha, grade).  The window selects only the empty state; the rate covers the
-    whole ref.  Edges are reduced to one row per commit before they meet the commits.
+    whole ref.  Edges are reduced to one row per commit before they meet the commits.  A
+    captured commit whose reachability is null refuses the ref: state ``unknown``, no rate.
     """
     count = lambda g: F.count_if(F.col("grade") == g)
     held = edges.groupBy("sha").agg(count("derived").alias("derived"), count("observed").alias("observed"), count("declared").alias("declared"))
@@ -46,12 +92,15 @@ def coverage(commits: DataFrame, edges: DataFrame) -> DataFrame:
         F.count_if("in_window").alias("window_commits"),
         F.count_if(captured).alias("edges_held"),
         F.count_if(captured & F.col("reachable")).alias("reachable"),
+        F.count_if(captured & F.col("reachable").isNull()).alias("unknown"),
         F.count_if(captured & (F.col("successor") == "exact")).alias("exact_successors"),
         F.count_if(captured & (F.col("successor") == "probable")).alias("probable_count"),
         *(F.coalesce(F.sum(g), F.lit(0)).alias(f"grade_{g}") for g in ("derived", "observed", "declared")),
     )
+    told = F.col("unknown") == 0
+    unit = unit.withColumn("reachable", F.when(told, F.col("reachable"))).drop("unknown")
     counted = F.col("reachable") + F.col("exact_successors")
-    state = F.when(F.col("window_commits") == 0, "no_commits").when(F.col("edges_held") == 0, "no_sessions").when(counted > F.col("edges_held"), "malformed").otherwise("coverage")
+    state = F.when(F.col("window_commits") == 0, "no_commits").when(F.col("edges_held") == 0, "no_sessions").when(F.col("reachable").isNull(), "unknown").when(counted > F.col("edges_held"), "malformed").otherwise("coverage")
     return unit.withColumns({"counted": counted, "percent": percent(counted, F.col("edges_held")), "state": state})
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenir.functions.policy import CAP_AGE_MS, CAP_BYTES, CAP_ENTRIES
+from provenir.functions.policy import CAP_AGE_MS, CAP_BYTES, CAP_ENTRIES, START_FLOOR_MS
 
 
 @dataclass
@@ -156,3 +156,40 @@ def pending_files(files: DataFrame, ledger: DataFrame, most: int = 8) -> DataFra
     behind = files.join(ledger, ["session", "file"], "left").withColumn("sent", sent).filter("sent < size")
     place = F.row_number().over(Window.partitionBy("session").orderBy("mtime", "file"))
     return behind.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def started_files(pending: DataFrame, budget_ms: int, floor_ms: int = START_FLOOR_MS) -> DataFrame:
+    """The pending files of each session that are started: a file needs ``floor_ms`` of what
+    the files before it left of the budget, and none is started behind one that wasn't.
+
+    pending is (session, file, place, cost_ms), as ``pending_files`` gives it.  At most eight
+    rows a session, so the window is small whatever the input.
+    """
+    before = Window.partitionBy("session").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(budget_ms) - F.coalesce(F.sum("cost_ms").over(before), F.lit(0))
+    return pending.withColumn("left_ms", left.cast("long")).filter(F.col("left_ms") >= floor_ms)
+
+
+def session_end_gaps(ledger: DataFrame, files: DataFrame, ended: DataFrame) -> DataFrame:
+    """The ledger after sessions ended: what a sub-agent file still lacks becomes a gap.
+
+    ledger is (session, file, sent, gap_bytes, gap_count), files (session, file, size), ended
+    (session).  The main file is left as it is, and so are sessions that go on; a file that
+    the ledger doesn't know was never started and lacks everything.
+    """
+    closed = files.join(ended.select("session").distinct(), "session", "left_semi").select("session", "file", "size")
+    met = ledger.join(closed, ["session", "file"], "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    sent, lacks = zero(F.col("sent")), (F.col("file") != "main") & (F.col("size") > zero(F.col("sent")))
+    gap = F.when(lacks, F.col("size") - sent).otherwise(0)
+    return met.select("session", "file", F.when(lacks, F.col("size")).otherwise(sent).alias("sent"), (zero(F.col("gap_bytes")) + gap).alias("gap_bytes"), (zero(F.col("gap_count")) + F.when(lacks, 1).otherwise(0)).alias("gap_count"))
+
+
+def all_deliveries(main: DataFrame, subagents: DataFrame) -> DataFrame:
+    """Deliveries of a session's main file and of its sub-agents' as one table.
+
+    Both are (session, file, ..); observed commits (``shas``) and the head belong to the main
+    delivery only, or one commit would count once for each file.
+    """
+    bare = subagents.drop("shas", "head_sha", "branch")
+    return main.unionByName(bare, allowMissingColumns=True)

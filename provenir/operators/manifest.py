@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +17,37 @@ def diff(measured: DataFrame, pinned: DataFrame) -> DataFrame:
     return m.join(p, "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 
 
-def measure(tree: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Files, bytes and digest: sha256 over '<hash>  <path>' lines in order of path.
+def measure(tree: DataFrame, by: str | None = None) -> DataFrame:
+    """Files, bytes and digest of each bundle (without ``by``: of the whole tree): sha256 over '<hash>  <path>' lines in order of path.
 
-    One digest needs its lines together; they are hashes and paths of one bundle, not contents.
+    tree is (bundle, path, sha256, length).  A digest needs its lines one after the other:
+    Spark deals them by bundle and sorts them, and each task feeds its partition through
+    the hash in batches, so a bundle of any size fits.  A null bundle is one of its own.
     """
-    lines = F.array_sort(F.collect_list(F.struct("path", "sha256")))
-    text = F.array_join(F.transform(lines, lambda x: F.concat(x["sha256"], F.lit("  "), x["path"], F.lit("\n"))), "")
-    return tree.groupBy(*(by or [])).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    if by is None:
+        return measure(tree.withColumn("bundle", F.lit("")), "bundle").drop("bundle")
+    kind = tree.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        began, now, digest, files, size, kind_ = False, None, hashlib.sha256(), 0, 0, pa.null()
+        for batch in batches:
+            kind_ = batch.column(by).type
+            for bundle, path, sha, length in zip(*(batch.column(c).to_pylist() for c in (by, "path", "sha256", "length")), strict=True):
+                if not began or bundle != now:
+                    if began:
+                        done.append((now, files, size, digest.hexdigest()))
+                    began, now, digest, files, size = True, bundle, hashlib.sha256(), 0, 0
+                digest.update(f"{sha}  {path}\n".encode())
+                files, size = files + 1, size + (length or 0)
+        if began:
+            done.append((now, files, size, digest.hexdigest()))
+        if done:
+            types = (kind_, pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], [by, "files", "bytes", "digest"])
+
+    rows = tree.select(by, "path", "sha256", "length").repartition(by).sortWithinPartitions(by, "path", "sha256")
+    return rows.mapInArrow(run, f"`{by}` {kind}, files long, bytes long, digest string")
 
 
 def unresolved_imports(imports: DataFrame, tree: DataFrame) -> DataFrame:
@@ -42,8 +69,9 @@ def mentions(lines: DataFrame, needle: str) -> DataFrame:
 
 
 def drift(before: DataFrame, after: DataFrame, key: str = "bundle") -> DataFrame:
-    """Whether content, commit and digest moved together; from (key, content, commit, digest)."""
+    """Whether content, commit and digest moved together, from (key, content, commit, digest):
+    content must move with the digest and with the commit, neither alone."""
     b, a = before.alias("b"), after.alias("a")
     moved = {x: (~F.col(f"b.{x}").eqNullSafe(F.col(f"a.{x}"))).alias(f"{x}_moved") for x in ("content", "commit", "digest")}
     out = b.join(a, key).select(key, *moved.values())
-    return out.withColumn("drifted", (F.col("content_moved") != F.col("digest_moved")) | (F.col("content_moved") & ~F.col("commit_moved")))
+    return out.withColumn("drifted", (F.col("content_moved") != F.col("digest_moved")) | (F.col("content_moved") != F.col("commit_moved")))

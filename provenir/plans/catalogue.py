@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.functions import decode, identity, policy, text
 from provenir.operators import attribution, claims, coverage, keyed, ledger, manifest
-from provenir.plans.standins import STATUS, attempts, edges, load, mapped, ref_commits
+from provenir.plans.registry import ORACLE_SQL, QUERIES, query
+from provenir.plans.standins import GRADE, STATUS, attempts, edges, load, mapped, ref_commits
 from provenir.streaming import delivery
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _GRADE_SQL = "CASE l_returnflag WHEN 'A' THEN 'derived' WHEN 'N' THEN 'observed' WHEN 'R' THEN 'declared' END"
 _STATUS_SQL = "CASE event_type WHEN 'view' THEN 200 WHEN 'purchase' THEN 200 WHEN 'click' THEN 503 WHEN 'signup' THEN 413 WHEN 'error' THEN 401 END"
 _CLASS_SQL = "CASE event_type WHEN 'view' THEN 'ok' WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'later' WHEN 'signup' THEN 'never' WHEN 'error' THEN 'fatal' ELSE 'later' END"
@@ -77,7 +62,7 @@ def status_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "status", policy.classify_status(F.col("status")).alias("class"))
 
 
-@query(f"""
+_FOLD_SQL = f"""
 WITH a AS ({_ATTEMPTS_SQL}),
 b AS (SELECT *, coalesce(max(CASE WHEN outcome = 'fatal' THEN 1 END) OVER (PARTITION BY key, fingerprint ORDER BY happened, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS attempted FROM a),
 c AS (SELECT *, coalesce(max(CASE WHEN attempted AND outcome IN ('ok', 'never') THEN eof END) OVER (PARTITION BY key ORDER BY happened, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_before FROM b)
@@ -85,7 +70,10 @@ SELECT key, count(*) FILTER (attempted) AS seq,
        coalesce(max(CASE WHEN attempted AND outcome IN ('ok', 'never') THEN eof END), 0) AS sent,
        CAST(coalesce(sum(CASE WHEN attempted AND outcome = 'never' THEN eof - sent_before END), 0) AS BIGINT) AS gap_bytes,
        count(*) FILTER (attempted AND outcome = 'never') AS gap_count
-FROM c GROUP BY key""")
+FROM c GROUP BY key"""
+
+
+@query(_FOLD_SQL)
 def ledger_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ledger_window(attempts(spark, sf_dir))
 
@@ -96,11 +84,11 @@ def ledger_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ledger_fold(attempts(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT CAST(key AS VARCHAR) AS key, * EXCLUDE (key) FROM ({_FOLD_SQL})")
 def ledger_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold without caps; tests hold it against ledger_window."""
+    """The ordered fold without caps gives what the windows give."""
     inf = float("inf")
-    return ledger.ledger_fold(attempts(spark, sf_dir), (inf, inf, inf))
+    return ledger.ledger_fold(attempts(spark, sf_dir), (inf, inf, inf)).select("key", "seq", "sent", "gap_bytes", "gap_count")
 
 
 _FILES_SQL = """
@@ -305,17 +293,15 @@ def claims_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.scan(docs, phrases).select("doc_id", "phrase")
 
 
-_MANIFEST_SQL = "SELECT CAST(doc_id // 20 AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents WHERE source = '{}'"
-
-
-@query(f"""
-SELECT coalesce(m.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN m.path IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM ({_MANIFEST_SQL.format('src0')}) m FULL OUTER JOIN ({_MANIFEST_SQL.format('src1')}) p ON m.path = p.path
-WHERE p.path IS NULL OR m.path IS NULL OR m.sha256 <> p.sha256""")
+@query("""
+WITH m AS (SELECT doc_id AS path, sha256(coalesce(source, '')) AS h FROM documents), p AS (SELECT doc_id + 7 AS path, sha256(coalesce(source, '')) AS h FROM documents)
+SELECT CAST(coalesce(m.path, p.path) AS VARCHAR) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN m.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM m FULL OUTER JOIN p ON m.path = p.path WHERE p.path IS NULL OR m.path IS NULL OR m.h <> p.h""")
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a tree, against the same tree with its paths moved by seven."""
     d = load(spark, sf_dir, "documents")
-    tree = lambda s: d.filter(F.col("source") == s).select(F.floor(F.col("doc_id") / 20).cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    return manifest.diff(tree("src0"), tree("src1"))
+    tree = lambda moved: d.select((F.col("doc_id") + moved).cast("string").alias("path"), F.sha2(F.coalesce("source", F.lit("")).cast("binary"), 256).alias("sha256"))
+    return manifest.diff(tree(0), tree(7))
 
 
 @query("""
@@ -325,7 +311,7 @@ FROM (SELECT source, n_chars, text, CAST(doc_id AS VARCHAR) AS path FROM documen
 def manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     tree = d.select("source", F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("n_chars").alias("length"))
-    return manifest.measure(tree, ["source"])
+    return manifest.measure(tree, "source")
 
 
 @query("""SELECT conv_id, turn, role FROM conversations WHERE conv_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
@@ -372,20 +358,50 @@ def length_preserving_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.octet_length("r").cast("long").alias("redacted_bytes"), F.col("r").startswith("[OUT-OF-TREE: ").alias("long_form"))
 
 
-@query("""
+_CLOSURE_SQL = """
 WITH RECURSIVE r(root, node) AS (
   SELECT root, root FROM (SELECT max(p_partkey) AS root FROM part UNION ALL SELECT max(p_partkey) // 3 FROM part)
   UNION SELECT r.root, e.parent FROM r JOIN (
     SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey // 2 > 0
-    UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey // 3 > 0) e ON e.child = r.node)
-SELECT root, node FROM r""")
-def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as commits; the parents of k are k div 2 and k div 3, so that histories merge."""
+    UNION ALL SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey // 3 > 0) e ON e.child = r.node)"""
+
+
+def commit_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(starts, parents): parts as commits; the parents of k are k div 2 and k div 3, so that histories merge."""
     k = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("child"))
     parents = k.select("child", F.explode(F.array(F.floor(F.col("child") / 2), F.floor(F.col("child") / 3))).alias("parent")).filter("parent > 0")
     top = k.agg(F.max("child").alias("m"))
-    starts = top.select(F.explode(F.array(F.col("m"), F.floor(F.col("m") / 3))).alias("root")).select("root", F.col("root").alias("node"))
-    return coverage.reachable(starts, parents)
+    starts = top.select(F.posexplode(F.array(F.col("m"), F.floor(F.col("m") / 3))).alias("slot", "root"))
+    return starts.select("slot", "root", F.col("root").alias("node")), parents
+
+
+@query(f"{_CLOSURE_SQL} SELECT root, node FROM r")
+def reachable_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.reachable(*commit_graph(spark, sf_dir))
+
+
+@query(f"""{_CLOSURE_SQL},
+broken AS (SELECT root, count(*) FILTER (node = (SELECT max(p_partkey) // 2 FROM part)) > 0 AS broken FROM r GROUP BY root),
+c AS (SELECT DISTINCT l_partkey AS sha, CASE WHEN l_linestatus = 'O' THEN (SELECT max(p_partkey) FROM part) ELSE (SELECT max(p_partkey) // 3 FROM part) END AS ref FROM lineitem),
+j AS (SELECT c.ref, c.sha, CASE WHEN r.node IS NOT NULL THEN TRUE WHEN b.broken THEN NULL ELSE FALSE END AS reachable
+      FROM c JOIN broken b ON b.root = c.ref LEFT JOIN r ON r.root = c.ref AND r.node = c.sha)
+SELECT ref, count(*) AS edges_held, CASE WHEN count(reachable) = count(*) THEN count(*) FILTER (reachable) END AS reachable,
+       CASE WHEN count(reachable) = count(*) THEN CAST(floor(count(*) FILTER (reachable) / count(*) * 100 + 0.5) AS BIGINT) END AS percent,
+       CASE WHEN count(reachable) = count(*) THEN 'coverage' ELSE 'unknown' END AS state FROM j GROUP BY ref""")
+def coverage_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured commits (parts of line items, by line status) against the closure of two refs, one of which
+    has a commit that isn't there: what it doesn't reach is unknown and refuses its rate."""
+    starts, parents = commit_graph(spark, sf_dir)
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("sha"))
+    known = part.join(part.agg(F.floor(F.max("sha") / 2).alias("sha")), "sha", "left_anti")
+    refs = starts.select("slot", F.col("root").alias("ref"), F.col("node").alias("sha"))
+    li = load(spark, sf_dir, "lineitem")
+    edge = li.select(F.col("l_partkey").alias("sha"), mapped("l_returnflag", GRADE).alias("grade"))
+    slot = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
+    captured = li.select(F.col("l_partkey").alias("sha"), slot.alias("slot")).distinct().join(refs.select("slot", "ref"), "slot").drop("slot")
+    met = coverage.with_reachability(captured, refs, parents, known)
+    commits = met.select("ref", "sha", F.lit(True).alias("in_window"), "reachable", F.lit(None).cast("string").alias("successor"))
+    return coverage.coverage(commits, edge).select("ref", "edges_held", "reachable", "percent", "state")
 
 
 @query(r"""
@@ -438,14 +454,22 @@ def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.unresolved_imports(d, tree).select("doc_id")
 
 
-@query()
+@query("""
+SELECT to_json({schema: 1, verb: 'report', outcome: 'coverage', l_orderkey: l_orderkey, l_linenumber: l_linenumber, l_returnflag: CASE WHEN l_linestatus = 'O' THEN l_returnflag END, l_partkey: l_partkey}) AS value FROM lineitem""")
 def machine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The coverage report as one-line documents; JSON text, so rows only."""
-    return delivery.machine_documents(coverage_report(spark, sf_dir), "report", "coverage")
+    """Line items as one-line documents; what is absent is written as null."""
+    li = load(spark, sf_dir, "lineitem")
+    rows = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("l_returnflag"), "l_partkey")
+    return delivery.machine_documents(rows, "report", "coverage")
 
 
-@query()
+@query(r"""
+SELECT conv_id, turn, coalesce(list_reduce(list_prepend('', list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')),
+  lambda a, w: CASE WHEN a = '' THEN '  ' || w WHEN length(regexp_extract(a, '[^\n]*$')) + 1 + length(w) > 80 THEN a || chr(10) || '  ' || w ELSE a || ' ' || w END), '') AS lines FROM conversations""")
 def wrapped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation texts wrapped to the screen; tests hold the fold against a plain loop."""
+    """Conversation texts wrapped to the screen, the lines joined."""
     c = load(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", text.wrap(F.col("text"), 2).alias("lines"))
+    return c.select("conv_id", "turn", F.array_join(text.wrap(F.col("text"), 2), "\n").alias("lines"))
+
+
+from provenir.plans import records  # noqa: E402, F401  registers the queries over records and files

@@ -26,9 +26,15 @@ def transcript_listing(spark: SparkSession, path: str, pattern: str = "*.jsonl")
 
 
 def subagent_files(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty agent-*.jsonl files with their keys; oldest first when sorted by (mtime, path)."""
-    found = transcript_listing(spark, path, "agent-*.jsonl").filter("length > 0")
-    return found.withColumn("file_key", identity.subagent_file_key(F.col("path"))).filter("file_key is not null")
+    """Non-empty agent-*.jsonl files below a folder with their keys."""
+    return subagents_of(transcript_listing(spark, path, "agent-*.jsonl"))
+
+
+def subagents_of(listing: DataFrame, root: Column | None = None) -> DataFrame:
+    """The non-empty sub-agent files of a listing (path, modificationTime, length) with their
+    keys; with ``root`` only those inside it.  Oldest first when sorted by (mtime, path)."""
+    found = listing.filter("length > 0").withColumn("file_key", identity.subagent_file_key(F.col("path"))).filter("file_key is not null")
+    return found if root is None else found.filter(identity.is_inside(root, F.col("path")))
 
 
 def current_transcript(listing: DataFrame) -> DataFrame:
@@ -38,14 +44,19 @@ def current_transcript(listing: DataFrame) -> DataFrame:
     return listing.filter("length > 0").groupBy(folder.alias("folder")).agg(newest.alias("f")).select("folder", "f.*")
 
 
-def read_spans(spark: SparkSession, path: str, spans: DataFrame, pattern: str = "*.jsonl") -> DataFrame:
+def read_spans(spark: SparkSession, path: str, spans: DataFrame, pattern: str = "*.jsonl", root: str | None = None) -> DataFrame:
     """Bytes [from_off, to_off) of files, joined by path; a short file gives what there is.
 
-    ``spans`` is (path, from_off, to_off).
+    ``spans`` is (path, from_off, to_off).  A path outside ``root`` (by default ``path``
+    itself) is never opened: its body is null, like that of a file that isn't there.  Files
+    are read as binary records, each whole in one task and up to 2 GiB; a span that starts
+    behind that is null.
     """
+    inside = identity.is_inside(F.lit(root or path), F.regexp_replace("path", "^file:(//)?", ""))
     files = spark.read.schema(_BINARY).format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    cut = F.substring(F.col("content"), (F.col("from_off") + 1).cast("int"), (F.col("to_off") - F.col("from_off")).cast("int"))
-    return spans.join(files.select("path", "content"), "path").select("path", "from_off", "to_off", cut.alias("body"))
+    size = F.least(F.greatest(F.col("to_off") - F.col("from_off"), F.lit(0)), F.lit(2**31 - 1))
+    cut = F.when(F.col("from_off") < 2**31 - 1, F.substring(F.col("content"), F.least(F.col("from_off") + 1, F.lit(2**31 - 1)).cast("int"), size.cast("int")))
+    return spans.withColumn("open_", inside).join(files.select("path", "content").withColumn("open_", F.lit(True)), ["path", "open_"], "left").select("path", "from_off", "to_off", cut.alias("body"))
 
 
 def spool(spark: SparkSession, path: str) -> DataFrame:

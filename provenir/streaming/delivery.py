@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from provenir.functions.policy import CAP_AGE_MS, CAP_BYTES, CAP_ENTRIES
@@ -95,20 +96,32 @@ def header_rows(sent: DataFrame) -> DataFrame:
 
 
 def idempotent_sink(path: str, key: list[str], partitions: int | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: a batch that is run again replaces what it wrote before.
+    """foreachBatch writer: the table below ``path`` holds one row a key, whatever is redelivered.
 
     Delivery is at least once and the receiver keeps one row per (repo, session, file,
-    offset); here each batch has a folder of its own and is reduced to one row a key.
+    offset).  A batch is reduced to one row a key and to the keys that no other batch wrote;
+    a batch that is run again replaces its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = batch.dropDuplicates(key)
+        if _batches(spark, path):
+            known = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path)
+            rows = rows.join(known.filter(F.col("batch") != batch_id).select(*key), key, "left_anti")
         rows = rows if partitions is None else rows.coalesce(partitions)
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def _batches(spark: SparkSession, path: str) -> bool:
+    """Whether any batch has a folder yet."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/*.parquet")
+    hits = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+    return hits is not None and len(hits) > 0
+
+
 def documents_sink(rows: DataFrame, verb: str, outcome: str, path: str) -> None:
     """One-line JSON documents with schema and verb first; nulls are written, not dropped."""
     machine_documents(rows, verb, outcome).write.mode("overwrite").text(path)

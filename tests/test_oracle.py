@@ -31,12 +31,6 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert text_rows(df.select(*names).collect()) == text_rows(found)
 
 
-def test_fold_without_caps_equals_the_window_form(spark, sf):
-    a = QUERIES["ledger_uncapped"](spark, sf).select("key", "seq", "sent", "gap_bytes", "gap_count").collect()
-    b = QUERIES["ledger_window"](spark, sf).select("key", "seq", "sent", "gap_bytes", "gap_count").collect()
-    assert text_rows(a) == text_rows(b)
-
-
 def test_flagship_has_rows(spark):
     df = entry.entry(spark)
     assert df.count() == 5 and "percent" in df.columns
@@ -53,7 +47,15 @@ def test_plans_prune_columns_and_push_filters(spark, sf):
     assert "EqualTo(event_type,purchase)" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("ledger_stateful", "ledger_uncapped")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("ledger_stateful", "ledger_uncapped", "manifest_digest")])
 def test_no_python_on_the_hot_path(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_claims_beyond_the_broadcast_bound(spark, sf, monkeypatch):
+    from provenir.operators import claims
+
+    few = text_rows(QUERIES["claims_scan"](spark, sf).collect())
+    monkeypatch.setattr(claims, "BOUND", 3)
+    assert text_rows(QUERIES["claims_scan"](spark, sf).collect()) == few != []

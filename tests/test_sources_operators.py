@@ -1,6 +1,8 @@
 import os
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provenir.operators import attribution, claims, coverage, keyed, manifest
@@ -65,8 +67,6 @@ def test_closure_handles_diamonds_and_depth(spark):
     parents = spark.createDataFrame([("d", "b"), ("d", "c"), ("b", "a"), ("c", "a"), ("x", "y")], "child string, parent string")
     starts = spark.createDataFrame([("main", "d"), ("other", "b")], "root string, node string")
     assert sorted(map(tuple, coverage.reachable(starts, parents).collect())) == [("main", "a"), ("main", "b"), ("main", "c"), ("main", "d"), ("other", "a"), ("other", "b")]
-    with pytest.raises(RuntimeError):
-        coverage.reachable(starts, parents, rounds=1).collect()
 
 
 def test_coverage_states(spark):
@@ -115,3 +115,69 @@ def test_squash_and_documents(spark):
     sent = spark.createDataFrame([("s", 1, 0, "main", "o/r", "1", "", "main", []), ("s", 2, 5, "main", "o/r", "1", "h", None, ["a", "b"])], "session string, seq long, offset long, file string, repo_slug string, client_version string, head_sha string, branch string, shas array<string>")
     rows = [(r["head_sha"], r["branch"], r["shas"]) for r in delivery.header_rows(sent).orderBy("seq").collect()]
     assert rows == [(None, "main", None), ("h", None, "a,b")]
+
+
+def test_a_long_history_closes_in_few_rounds(spark):
+    n = 100_000
+    parents = spark.range(1, n).selectExpr("id as child", "id - 1 as parent")
+    starts = spark.createDataFrame([("a", n - 1), ("b", 7), ("c", -5)], "root string, node long")
+    found = {r["root"]: (r["n"], r["low"]) for r in coverage.reachable(starts, parents).groupBy("root").agg(F.count("*").alias("n"), F.min("node").alias("low")).collect()}
+    assert found == {"a": (n, 0), "b": (8, 0), "c": (1, -5)}
+
+
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=40), st.lists(st.integers(0, 14), min_size=1, max_size=3))
+@settings(max_examples=8, deadline=None)
+def test_closure_of_random_histories(spark, pairs, roots):
+    up = {(max(a, b), min(a, b)) for a, b in pairs if a != b}
+    expected = set()
+    for r in roots:
+        todo = [r]
+        while todo:
+            x = todo.pop()
+            if (r, x) not in expected:
+                expected.add((r, x))
+                todo += [b for a, b in up if a == x]
+    parents = spark.createDataFrame(sorted(up), "child long, parent long")
+    found = coverage.reachable(spark.createDataFrame([(r, r) for r in roots], "root long, node long"), parents, steps=2)
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+
+
+def test_unknown_reachability_refuses_the_rate(spark):
+    commits = spark.createDataFrame([("x", 1, True, True, None), ("x", 2, True, None, None), ("y", 3, True, True, None), ("y", 9, True, None, None)], "ref string, sha long, in_window boolean, reachable boolean, successor string")
+    edges = spark.createDataFrame([(1, "derived"), (2, "observed"), (3, "declared")], "sha long, grade string")
+    found = {r["ref"]: (r["state"], r["percent"]) for r in coverage.coverage(commits, edges).collect()}
+    assert found == {"x": ("unknown", None), "y": ("coverage", 100)}
+
+
+def test_utc_day_in_another_zone(spark):
+    from provenir.functions import text
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("select timestamp'2026-01-02 03:00:00 UTC' as a, timestamp_ntz'2026-01-02 23:00:00' as b")
+        assert tuple(df.select(text.utc_day(F.col("a")), text.utc_day(F.col("b"))).first()) == ("2026-01-02", "2026-01-02")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_sink_keeps_one_row_a_key_over_all_batches(spark, tmp_path):
+    from provenir.streaming.delivery import idempotent_sink
+
+    write = idempotent_sink(str(tmp_path / "sent"), ["k"])
+    batch = lambda *rows: spark.createDataFrame(rows, "k long, v string")
+    write(batch((1, "a"), (1, "a"), (2, "b")), 0)
+    write(batch((2, "b"), (3, "c")), 1)
+    write(batch((2, "b"), (3, "c")), 1)
+    assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "sent")).collect()) == [1, 2, 3]
+
+
+def test_spans_outside_the_root_are_not_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_bytes(b"0123456789")
+    (tmp_path / "b.jsonl").write_bytes(b"secret")
+    rows = [(f"file:{tmp_path}/in/a.jsonl", 2, 5), (f"file:{tmp_path}/in/a.jsonl", 8, 50), (f"file:{tmp_path}/in/a.jsonl", 2**33, 2**33 + 5), (f"file:{tmp_path}/in/none.jsonl", 0, 3), (f"file:{tmp_path}/b.jsonl", 0, 3)]
+    spans = spark.createDataFrame(rows, "path string, from_off long, to_off long")
+    found = {(r["path"].rsplit("/", 1)[1], r["from_off"]): r["body"] for r in files.read_spans(spark, f"{tmp_path}/in", spans).collect()}
+    assert {k: v and bytes(v) for k, v in found.items()} == {("a.jsonl", 2): b"234", ("a.jsonl", 8): b"89", ("a.jsonl", 2**33): None, ("none.jsonl", 0): None, ("b.jsonl", 0): None}
