@@ -136,13 +136,26 @@ def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
     further = sorted(r["n"] for r in words.filter(F.length("word") > LONGEST).select(F.length("word").alias("n")).distinct().collect())
     label = F.split(F.regexp_replace("host", r"\.[^.]*$", ""), r"[^\p{L}\p{M}\p{N}]+")
     labels = hosts.select("host", F.explode(F.array_distinct(F.array_remove(label, ""))).alias("name"))
-    names = materialize(labels.select("name").distinct(), "labels")
-    n = F.length("name")
-    starts = names.select("name", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    lengths = F.filter(F.concat(F.sequence(F.lit(1), F.lit(LONGEST)), F.array(*map(F.lit, further)).cast("array<int>")), lambda k: k <= n - F.col("s") + 1)
-    subs = starts.select("name", F.explode(F.transform(lengths, lambda k: F.substr("name", F.col("s"), k))).alias("word"))
-    inside = subs.distinct().join(words, "word")
-    own = inside.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    names = materialize(labels.select("name").distinct().withColumn("place", F.monotonically_increasing_id()), "labels")
+    sizes = (*range(1, LONGEST + 1), *further)
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, words_ = [], []
+            for place, name in zip(batch.column("place").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                for first in range(0, len(name), 4096):
+                    starts = range(first, min(first + 4096, len(name)))
+                    seen = {name[i : i + k] for i in starts for k in sizes if i + k <= len(name)}
+                    places += [place] * len(seen)
+                    words_ += seen
+                    if len(words_) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(words_, pa.string())], ["place", "word"])
+                        places, words_ = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(words_, pa.string())], ["place", "word"])
+
+    # a long label goes by its place, not by itself, or its substrings would carry its square
+    subs = names.select("place", "name").mapInArrow(substrings, "place long, word string").distinct()
+    own = subs.join(words, "word").groupBy("place").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +168,7 @@ def segmented(hosts: DataFrame, words: DataFrame) -> DataFrame:
                 out.append(viterbi(name, counts, total))
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
-    split = names.join(own, "name", "left").mapInArrow(run, "name string, words array<string>")
+    split = names.join(own, "place", "left").select("name", "known").mapInArrow(run, "name string, words array<string>")
     words_of = F.coalesce("words", F.array("name"))
     return labels.join(split, "name", "left").groupBy("host").agg(F.flatten(F.collect_list(words_of)).alias("words"))
 
