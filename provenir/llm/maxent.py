@@ -4,9 +4,9 @@ Words fall into ``CLASSES`` classes of ``SUBS`` sub-classes: each of the most fr
 has a sub-class of its own, all others fall into one by their ending and their hash.  The
 model is P(word | history) = P(class | history) * P(sub-class | class, history) *
 P(word | sub-class).  Both softmaxes have hashed features of the history: the word before,
-the two before as a bigram, and a skip to the second before; within a class the features
-are those of the history together with the class.  All share one table of ``FEATURES``
-rows.  Words that share a sub-class have the word as their only feature, whose
+the two before as a bigram and, for the classes, a skip to the second before; within a
+class the features are those of the history together with the class.  All share one table
+of ``FEATURES`` rows.  Words that share a sub-class have the word as their only feature, whose
 maximum-entropy fit is the smoothed relative frequency.
 
 Training covers every training row: word counts in one pass, then ``ROUNDS`` rounds of
@@ -45,7 +45,7 @@ from provenir.llm.common import crc_mod, small_batches, table, utf8
 from provenir.runtime import materialize
 
 TOP, WORD_BYTES, CLASSES, SUBS, RANKED, FEATURES, ROUNDS = 1 << 18, 64, 32, 32, 16, 1 << 18, 2
-ALPHA, RATE, STEP, ROW_BLOCK, SPLITS_A_TASK = 0.1, 0.15, 1024, 4096, 4
+ALPHA, RATE, STEP, ROW_BLOCK, TOKENS_A_TASK = 0.1, 0.15, 2048, 4096, 8_000_000
 #: Rows behind those of the features: a bias of the classes, and one of each class's sub-classes.
 ROWS = FEATURES + 1 + CLASSES
 LEAVES = CLASSES * SUBS
@@ -186,8 +186,9 @@ def encode(texts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return found, sizes, others
 
 
-def features_of(numbers: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of the weights (2, tokens, 4), targets (2, tokens)): classes first, then sub-classes."""
+def features_of(numbers: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(rows of the weights, targets) of the classes and of the sub-classes: a row a token,
+    whose last entry is the bias."""
     known = numbers < _OTHER
     codes, leaves = numbers.copy(), leaf_of(numbers)
     if len(vocab.words):
@@ -200,16 +201,17 @@ def features_of(numbers: np.ndarray, sizes: np.ndarray, vocab: Vocabulary) -> tu
         for j in range(k):  # places with fewer than k words before them in their text
             h[starts[sizes > j] + j] = _START
     classes = leaves // SUBS
-    rows = np.empty((2, len(numbers), 4), np.int32)
-    rows[0, :, 3], rows[1, :, 3] = FEATURES, FEATURES + 1 + classes
+    rows = [np.empty((len(numbers), 4), np.int32), np.empty((len(numbers), 3), np.int32)]
+    rows[0][:, -1], rows[1][:, -1] = FEATURES, FEATURES + 1 + classes
     salt = (classes.astype(np.uint32) + np.uint32(1)) * _MIX[1]
     with np.errstate(over="ignore"):
-        for k, mixed in enumerate((one * _MIX[0], (one * _MIX[1]) ^ (two * _MIX[0]) * _MIX[2], two * _MIX[2])):
-            for level, m in enumerate((mixed, mixed ^ salt)):
+        before, both = one * _MIX[0], (one * _MIX[1]) ^ (two * _MIX[0]) * _MIX[2]
+        for level, mixed in enumerate(((before, both, two * _MIX[2]), (before ^ salt, both ^ salt))):
+            for k, m in enumerate(mixed):
                 m = (m ^ (m >> np.uint32(15))) * _MIX[3]
                 m = (m ^ (m >> np.uint32(13))) * _MIX[0]
-                rows[level, :, k] = m >> np.uint32(32 - FEATURES.bit_length() + 1)
-    return rows, np.stack([classes, leaves % SUBS])
+                rows[level][:, k] = m >> np.uint32(32 - FEATURES.bit_length() + 1)
+    return rows, [classes, leaves % SUBS]
 
 
 @dataclass
@@ -277,18 +279,18 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"].iloc[:1], "task": [0], "met": [sum(met).astype("<f4").tobytes()], "change": [change.astype("<f2").tobytes()]})
 
 
-def train_round(encoded: DataFrame, vocab, weights: Weights) -> Weights:
-    """One round: every task's changes of the rows that it met, averaged row by row."""
+def train_round(encoded: DataFrame, vocab, weights: Weights, tasks: int) -> Weights:
+    """One round in at most ``tasks`` tasks: their changes of the rows that they met, averaged row by row."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, met = Weights(shared.value.rows.copy()), np.zeros(ROWS, np.float32), np.zeros(ROWS, np.int64)
         for batch in batches:
-            rows, targets = features_of(*_numbers(batch), vocab.value)
-            for i in range(0, rows.shape[1], STEP):
-                part = slice(i, i + STEP)
-                own.update(rows[:, part].reshape(-1, 4), targets[:, part].ravel(), seen, met)
+            levels = features_of(*_numbers(batch), vocab.value)
+            for i in range(0, len(levels[0][0]), STEP):
+                for rows, targets in zip(*levels, strict=True):
+                    own.update(rows[i : i + STEP], targets[i : i + STEP], seen, met)
         if met.any():
             change = (own.rows - shared.value.rows).astype("<f2")
             for k in range(0, ROWS, ROW_BLOCK):
@@ -297,8 +299,8 @@ def train_round(encoded: DataFrame, vocab, weights: Weights) -> Weights:
                     yield pa.RecordBatch.from_arrays([pa.array([k // ROW_BLOCK]), pa.array([zlib.crc32(data) & 0xFFFF]), pa.array([n], pa.binary()), pa.array([data], pa.binary())], ["block", "task", "met", "change"])
 
     schema = "block long, task long, met binary, change binary"
-    slim = encoded.select("numbers")
-    changes = slim.coalesce(max(1, -(-slim.rdd.getNumPartitions() // SPLITS_A_TASK))).mapInArrow(run, schema)
+    # a task returns up to a whole table of rows, so tasks follow the tokens, not the files
+    changes = encoded.select("numbers").coalesce(tasks).mapInArrow(run, schema)
     # changes are merged in two steps, so that no group grows with the number of tasks
     halves = changes.withColumn("part", F.col("task") % 64).groupBy("block", "part").applyInPandas(_merged, schema)
     out = weights.rows.copy()
@@ -391,8 +393,9 @@ def fit(docs: DataFrame, train, keep: tuple[str, ...] = ("doc_id",), rounds: int
     marked = docs.select(*keep, "text", train.alias("train"))
     encoded = encoded_texts(marked, vocab, (*keep, "train"))
     weights = Weights.fresh(vocab.value)
+    tasks = max(1, -(-vocab.value.total // max(1, rounds * TOKENS_A_TASK)))
     for r in range(rounds):
-        weights = train_round(encoded.filter("train").filter(F.pmod(F.xxhash64(F.lit("round"), "uid"), F.lit(rounds)) == r), vocab, weights)
+        weights = train_round(encoded.filter("train").filter(F.pmod(F.xxhash64(F.lit("round"), "uid"), F.lit(rounds)) == r), vocab, weights, tasks)
     return encoded, counted, vocab, weights
 
 

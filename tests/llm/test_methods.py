@@ -410,7 +410,7 @@ def plain_score(text, vocab, counts, weights):
         history = (one * mix[0] & full, (one * mix[1] & full) ^ ((two * mix[0] & full) * mix[2] & full), two * mix[2] & full)
         for level, target in enumerate(divmod(leaf, maxent.SUBS)):
             z = weights.rows[maxent.FEATURES + (1 + leaf // maxent.SUBS if level else 0)].astype(float)
-            for m in history:
+            for m in history[: 3 - level]:
                 m ^= (leaf // maxent.SUBS + 1) * mix[1] & full if level else 0
                 m = (m ^ m >> 15) * mix[3] & full
                 m = (m ^ m >> 13) * mix[0] & full
@@ -438,16 +438,17 @@ def test_softmaxes_are_normalised_and_learn():
     numbers, sizes, others = maxent.encode([b"w1 w2 w3 unknown w1 w2 w3", b""], vocab)
     assert sizes.tolist() == [8, 1] and others == [b"unknown", b"", b""]
     rows, targets = maxent.features_of(numbers, sizes, vocab)
-    assert (rows[0, 0] == rows[0, 8]).all()  # both start a text
+    assert (rows[0][0] == rows[0][8]).all()  # both start a text
     weights, seen, met = maxent.Weights.fresh(vocab), np.zeros(maxent.ROWS, np.float32), np.zeros(maxent.ROWS, np.int64)
-    flat, wanted = rows.reshape(-1, 4), targets.ravel()
-    before = weights.chosen(flat, wanted).sum()
+    total = lambda: sum(weights.chosen(r, t).sum() for r, t in zip(rows, targets, strict=True))
+    before = total()
     for _ in range(30):
-        weights.update(flat, wanted, seen, met)
-    assert weights.chosen(flat, wanted).sum() > before + 5
-    assert met.sum() == 30 * 3 * 18
-    for level in (0, 1):
-        every = [weights.chosen(rows[level], np.full(9, c)) for c in range(maxent.CLASSES)]
+        for r, t in zip(rows, targets, strict=True):
+            weights.update(r, t, seen, met)
+    assert total() > before + 5
+    assert met.sum() == 30 * (3 + 2) * 9
+    for r in rows:
+        every = [weights.chosen(r, np.full(9, c)) for c in range(maxent.CLASSES)]
         assert np.exp(np.stack(every)).sum(0) == pytest.approx(1, abs=1e-4)
 
 
