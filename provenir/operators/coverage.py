@@ -22,12 +22,15 @@ def paths_of(parents: DataFrame) -> DataFrame:
     nodes = parents.select(F.col("child").alias("node")).unionByName(parents.select(F.col("parent").alias("node"))).distinct()
     depth = F.when(F.col("path").isNull(), 0).otherwise(1).cast("long")
     jumps = materialize(nodes.join(up, "node", "left").select("node", F.coalesce("path", "node").alias("path"), depth.alias("depth")), "paths")
-    while True:
-        far = jumps.select(F.col("node").alias("path"), F.col("path").alias("end"), F.col("depth").alias("more"))
-        met = materialize(jumps.join(far, "path").select("node", F.col("end").alias("path"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "paths")
-        if met.filter("moved").isEmpty():
-            return met.drop("moved")
-        jumps = met.drop("moved")
+
+    def doubled(j: DataFrame) -> DataFrame:
+        far = j.select(F.col("node").alias("path"), F.col("path").alias("end"), F.col("depth").alias("more"))
+        return j.select("node", "path", "depth").join(far, "path").select("node", F.col("end").alias("path"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+
+    while True:  # two steps between two writes
+        jumps = materialize(doubled(doubled(jumps)), "paths")
+        if jumps.filter("moved").isEmpty():
+            return jumps.drop("moved")
 
 
 def reachable(starts: DataFrame, parents: DataFrame, steps: int = 4) -> DataFrame:
