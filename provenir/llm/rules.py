@@ -1,15 +1,15 @@
 """Quality rules: base counts of a text, then a hashed n-gram likelihood ratio.
 
 Everything runs as DataFrame expressions.  The verdict compares two multinomials, a trusted
-target, the documents labelled good, and the raw corpus, over three kinds of hashed
-n-grams: lower-cased words, pairs of them, and word shapes (capitals, small letters and
-digits each become one sign, other signs stay).  Each kind has buckets of its own.  A
-document's mean log ratio over its n-grams must reach ``FLOOR``; every document is
-thresholded alike, nothing is drawn.
+target, the documents labelled good, and the raw corpus, over two kinds of hashed n-grams:
+pairs of lower-cased words, and word shapes (capitals, small letters and digits each become
+one sign, other signs stay).  Each kind has buckets of its own.  A document's mean log ratio
+over its n-grams must reach ``FLOOR``; every document is thresholded alike, nothing is
+drawn.
 
 The raw counts cover all documents.  The target's rows are the labelled good documents, at
 most about ``TRUSTED`` of them, chosen by a hash of the id; both tables have ``SHAPES`` +
-2 * ``WORDS`` entries, whatever the input.
+``PAIRS`` entries, whatever the input.
 
 Defined cases: null text counts as empty and fails for its few words; without labels the
 ratio is 0 everywhere and only the base rule decides; repeated rows are judged one by one.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from provenir.llm.common import SPACE, hash_share, table
 
-SHAPES, WORDS, TRUSTED, FLOOR, SMOOTH, WINDOW = 4096, 1 << 15, 20_000, -0.2, 1.0, 8
-BUCKETS = SHAPES + 2 * WORDS
+SHAPES, PAIRS, TRUSTED, FLOOR, SMOOTH, WINDOW = 4096, 1 << 16, 20_000, -0.15, 1.0, 8
+BUCKETS = SHAPES + PAIRS
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SYMBOLS = "[#*$%&|<>]"
 
@@ -49,11 +49,14 @@ def base_counts(docs: DataFrame) -> DataFrame:
         }
     )
     # a 64-bit hash of each window, by doubling: of words, pairs, fours, eights; most texts
-    # repeat none and stop here
+    # repeat no four words and stop there
     out = out.withColumn("hashes_", F.when(n > WINDOW, F.transform("words_", lambda w: F.xxhash64(w))))
     for k in (1, 2, 4):
         out = out.withColumn("hashes_", F.zip_with("hashes_", F.slice("hashes_", k + 1, F.greatest(n, F.lit(1)).cast("int")), lambda x, y: F.xxhash64(x, y)))
-    out = out.withColumn("hashes_", F.slice("hashes_", F.lit(1), F.greatest(n - WINDOW + 1, F.lit(0)).cast("int")))
+        if 2 * k > 2:
+            out = out.withColumn("hashes_", F.slice("hashes_", F.lit(1), F.greatest(n - 2 * k + 1, F.lit(0)).cast("int")))
+        if 2 * k == 4:
+            out = out.withColumn("hashes_", F.when(F.size(F.array_distinct("hashes_")) < F.size("hashes_"), F.col("hashes_")))
     placed = F.array_sort(F.transform("hashes_", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("placed_", F.when(F.size(F.array_distinct("hashes_")) < F.size("hashes_"), placed))
     same = lambda x, k: F.coalesce(x["h"] == F.get("placed_", k)["h"], F.lit(False))
@@ -70,7 +73,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 def shapes(text: Column) -> Column:
     """A text's words with capitals, small letters and digits reduced to one sign each."""
-    small = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "a"), r"\p{Lu}+", "A")
+    # ranges first: most letters are told by them, categories cost more
+    small = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[a-z\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "a"), r"[A-Z\p{Lu}]+", "A")
     return words(F.regexp_replace(small, r"\p{N}+", "0"))
 
 
@@ -78,9 +82,9 @@ def lower_words(text: Column) -> Column:
     return words(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def bucket(*words_: Column) -> Column:
-    """Of a word, or of a word and the one behind it (null at the end)."""
-    return (F.pmod(F.xxhash64(*words_), F.lit(WORDS)) + F.lit(SHAPES + WORDS * (len(words_) - 1))).cast("int")
+def pair_bucket(word: Column, after: Column) -> Column:
+    """Of a word and the one behind it (null at the end)."""
+    return (F.pmod(F.xxhash64(word, after), F.lit(PAIRS)) + F.lit(SHAPES)).cast("int")
 
 
 def shape_bucket(shape: Column) -> Column:
@@ -93,7 +97,7 @@ def _next(array: Column) -> Column:
 
 def grams(shape: Column, low: Column) -> Column:
     """Buckets of all n-grams from a text's word shapes and lower-cased words."""
-    return F.concat(F.transform(shape, shape_bucket), F.transform(low, lambda x: bucket(x)), F.zip_with(low, _next(low), lambda x, y: bucket(x, y)))
+    return F.concat(F.transform(shape, shape_bucket), F.zip_with(low, _next(low), pair_bucket))
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id") -> list[float]:
@@ -123,9 +127,9 @@ def judge(docs: DataFrame, ratios: list[float]) -> DataFrame:
     lookup = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     out = base_counts(docs).withColumns({"shape_": shapes(F.col("text")), "low_": lower_words(F.col("text"))})
     low, add = F.col("low_"), lambda acc, x: acc + x
-    pairs = F.aggregate(F.zip_with(low, _next(low), lambda x, y: F.get(lookup, bucket(x)) + F.get(lookup, bucket(x, y))), F.lit(0.0), add)
+    pairs = F.aggregate(F.zip_with(low, _next(low), lambda x, y: F.get(lookup, pair_bucket(x, y))), F.lit(0.0), add)
     total = pairs + F.aggregate("shape_", F.lit(0.0), lambda acc, x: acc + F.get(lookup, shape_bucket(x)))
-    mean = total / F.greatest(3 * F.size(low), F.lit(1))
+    mean = total / F.greatest(2 * F.size(low), F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "ratio": mean}).drop("shape_", "low_")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= FLOOR))

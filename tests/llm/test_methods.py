@@ -685,7 +685,7 @@ def brute_grams(text):
     one = [digest(w, 42) for w in low]
     two = [digest(b, h) for h, b in zip(one, low[1:], strict=False)] + one[-1:]
     shaped = [digest(w.encode(), 42) for w in WORD.findall(re.sub(r"\d+", "0", shape))]
-    tables = ((shaped, rules.SHAPES, 0), (one, rules.WORDS, rules.SHAPES), (two, rules.WORDS, rules.SHAPES + rules.WORDS))
+    tables = ((shaped, rules.SHAPES, 0), (two, rules.PAIRS, rules.SHAPES))
     return [signed(h) % n + first for hashes, n, first in tables for h in hashes]
 
 
