@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.llm import mixing, pii, rules, urls
+from provenir.llm.audit import OP13_SQL, op13_audit
 from provenir.llm.common import SPACE, table
 from provenir.llm.language import op1_language
 from provenir.llm.maxent import op6_maxent
 from provenir.llm.media import op2_media
+from provenir.llm.merkle import OP11_SQL, op11_manifest
 from provenir.llm.mixing import op9_mixing
 from provenir.llm.packing import op7_packing
 from provenir.llm.pii import op8_pii
@@ -29,12 +31,14 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_rules": op10_rules,
+    "op11_manifest": op11_manifest,
+    "op13_audit": op13_audit,
 }
 
 #: Models, byte formats, 64-bit hashes and draws can't be written in SQL: tests/llm holds the
 #: queries above against brute force, round trips and held-out rows.  What SQL can express of
 #: them, the columns that no model decides, are queries of their own below.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_manifest": OP11_SQL, "op13_audit": OP13_SQL}
 
 
 def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
