@@ -13,6 +13,7 @@ from provenir.llm.maxent import op6_maxent
 from provenir.llm.media import op2_media
 from provenir.llm.merkle import OP11_SQL, op11_manifest
 from provenir.llm.mixing import op9_mixing
+from provenir.llm.oddsketch import OP12_SQL, op12_minhash
 from provenir.llm.packing import op7_packing
 from provenir.llm.pii import op8_pii
 from provenir.llm.quality import op5_quality
@@ -32,13 +33,14 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_rules": op10_rules,
     "op11_manifest": op11_manifest,
+    "op12_minhash": op12_minhash,
     "op13_audit": op13_audit,
 }
 
 #: Models, byte formats, 64-bit hashes and draws can't be written in SQL: tests/llm holds the
 #: queries above against brute force, round trips and held-out rows.  What SQL can express of
 #: them, the columns that no model decides, are queries of their own below.
-ORACLE_SQL: dict[str, str] = {"op11_manifest": OP11_SQL, "op13_audit": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_manifest": OP11_SQL, "op12_minhash": OP12_SQL, "op13_audit": OP13_SQL}
 
 
 def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
