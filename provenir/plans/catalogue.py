@@ -472,4 +472,4 @@ def wrapped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.array_join(text.wrap(F.col("text"), 2), "\n").alias("lines"))
 
 
-from provenir.plans import records  # noqa: E402, F401  registers the queries over records and files
+from provenir.plans import logs, records  # noqa: E402, F401  registers the queries over records and files

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenir.functions import decode, identity
+from provenir.sources import byte_log
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -44,25 +45,9 @@ def current_transcript(listing: DataFrame) -> DataFrame:
     return listing.filter("length > 0").groupBy(folder.alias("folder")).agg(newest.alias("f")).select("folder", "f.*")
 
 
-def read_spans(spark: SparkSession, path: str, spans: DataFrame, pattern: str = "*.jsonl", root: str | None = None) -> DataFrame:
-    """Bytes [from_off, to_off) of files, joined by path; a short file gives what there is.
-
-    ``spans`` is (path, from_off, to_off).  A path outside ``root`` (by default ``path``
-    itself) is never opened: its body is null, like that of a file that isn't there.  Files
-    are read as binary records, each whole in one task and up to 2 GiB; a span that starts
-    behind that is null.
-    """
-    inside = identity.is_inside(F.lit(root or path), F.regexp_replace("path", "^file:(//)?", ""))
-    files = spark.read.schema(_BINARY).format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    size = F.least(F.greatest(F.col("to_off") - F.col("from_off"), F.lit(0)), F.lit(2**31 - 1))
-    cut = F.when(F.col("from_off") < 2**31 - 1, F.substring(F.col("content"), F.least(F.col("from_off") + 1, F.lit(2**31 - 1)).cast("int"), size.cast("int")))
-    return spans.withColumn("open_", inside).join(files.select("path", "content").withColumn("open_", F.lit(True)), ["path", "open_"], "left").select("path", "from_off", "to_off", cut.alias("body"))
-
-
 def spool(spark: SparkSession, path: str) -> DataFrame:
     """Observed commits in file order: (path, line_no, sha, branch, at, files)."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    lines = byte_log.numbered(byte_log.log_lines(spark, path))
     return lines.select("path", "line_no", decode.spool_entry(F.col("line")).alias("e")).filter("e is not null").select("path", "line_no", "e.*")
 
 

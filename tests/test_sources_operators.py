@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from provenir.operators import attribution, claims, coverage, keyed, manifest
-from provenir.sources import files
+from provenir.sources import byte_log, files
 from provenir.streaming import delivery
 
 
@@ -28,7 +28,7 @@ def test_transcripts(spark, tmp_path):
     assert newest["p"] == "b.jsonl"
     path = files.transcript_listing(spark, str(tmp_path), "a.jsonl").first()["path"]
     spans = spark.createDataFrame([(path, 2, 5), (path, 8, 20), (path, 20, 30)], "path string, from_off long, to_off long")
-    assert sorted(bytes(r["body"]) for r in files.read_spans(spark, str(tmp_path), spans).collect()) == [b"", b"234", b"89"]
+    assert sorted(bytes(r["body"]) for r in byte_log.read_spans(spark, str(tmp_path), spans).collect()) == [b"", b"234", b"89"]
 
 
 def test_text_sources(spark, tmp_path):
@@ -178,5 +178,5 @@ def test_spans_outside_the_root_are_not_read(spark, tmp_path):
     (tmp_path / "b.jsonl").write_bytes(b"secret")
     rows = [(f"file:{tmp_path}/in/a.jsonl", 2, 5), (f"file:{tmp_path}/in/a.jsonl", 8, 50), (f"file:{tmp_path}/in/a.jsonl", 2**33, 2**33 + 5), (f"file:{tmp_path}/in/none.jsonl", 0, 3), (f"file:{tmp_path}/b.jsonl", 0, 3)]
     spans = spark.createDataFrame(rows, "path string, from_off long, to_off long")
-    found = {(r["path"].rsplit("/", 1)[1], r["from_off"]): r["body"] for r in files.read_spans(spark, f"{tmp_path}/in", spans).collect()}
-    assert {k: v and bytes(v) for k, v in found.items()} == {("a.jsonl", 2): b"234", ("a.jsonl", 8): b"89", ("a.jsonl", 2**33): None, ("none.jsonl", 0): None, ("b.jsonl", 0): None}
+    found = {(r["path"].rsplit("/", 1)[1], r["from_off"]): r["body"] for r in byte_log.read_spans(spark, f"{tmp_path}/in", spans).collect()}
+    assert {k: v and bytes(v) for k, v in found.items()} == {("a.jsonl", 2): b"234", ("a.jsonl", 8): b"89", ("a.jsonl", 2**33): b"", ("none.jsonl", 0): None, ("b.jsonl", 0): None}
