@@ -15,22 +15,44 @@ def paths_of(parents: DataFrame) -> DataFrame:
     A node's first parent is its least one, and each parent continues the path of its least
     such child, so every node lies on one path; ``path`` is the node where it ends and
     ``depth`` the steps to there.  Pointers double, so the rounds are the log of the longest
-    path, and no path ever meets in one task.
+    path, and no path ever meets in one task.  A graph with cycles may close such a path to
+    a ring: one that still moves after as many steps as there are nodes.  A ring is cut at
+    its least node, which then is where its path ends.
     """
     first = parents.groupBy("child").agg(F.min("parent").alias("parent"))
     up = first.groupBy("parent").agg(F.min("child").alias("node")).select("node", F.col("parent").alias("path"))
     nodes = parents.select(F.col("child").alias("node")).unionByName(parents.select(F.col("parent").alias("node"))).distinct()
+    jumps = materialize(nodes.join(up, "node", "left"), "paths")
+    done, rings = _doubled(jumps, jumps.count())
+    if rings.isEmpty():
+        return done
+    rings = materialize(rings, "rings")
+    kept = up.join(rings.filter("node != low").select("node"), "node", "left_semi")
+    opened = materialize(rings.select("node").join(kept, "node", "left"), "paths")
+    return done.unionByName(_doubled(opened, opened.count())[0])
+
+
+def _doubled(jumps: DataFrame, nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Pointers (node, path) followed to their ends: (node, path, depth), and (node, low) of those
+    without one, low being the least node of their ring."""
     depth = F.when(F.col("path").isNull(), 0).otherwise(1).cast("long")
-    jumps = materialize(nodes.join(up, "node", "left").select("node", F.coalesce("path", "node").alias("path"), depth.alias("depth")), "paths")
+    path = F.coalesce("path", "node")
+    jumps = jumps.select("node", path.alias("path"), depth.alias("depth"), F.least("node", path).alias("low"))
+    ended = None
 
-    def doubled(j: DataFrame) -> DataFrame:
-        far = j.select(F.col("node").alias("path"), F.col("path").alias("end"), F.col("depth").alias("more"))
-        return j.select("node", "path", "depth").join(far, "path").select("node", F.col("end").alias("path"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+    def double(j: DataFrame) -> DataFrame:
+        far = j.select(F.col("node").alias("path"), F.col("path").alias("end"), F.col("depth").alias("more"), F.col("low").alias("far_low"))
+        return j.join(far, "path").select("node", F.col("end").alias("path"), (F.col("depth") + F.col("more")).alias("depth"), F.least("low", "far_low").alias("low"), (F.col("more") > 0).alias("moved"))
 
+    reach = 1
     while True:  # two steps between two writes
-        jumps = materialize(doubled(doubled(jumps)), "paths")
-        if jumps.filter("moved").isEmpty():
-            return jumps.drop("moved")
+        jumps = materialize(double(double(jumps).drop("moved")), "paths")
+        reach *= 4
+        ended = jumps.filter("not moved").select("node", "path", "depth")
+        if reach > 4 * nodes or jumps.filter("moved").isEmpty():
+            # what still moves after more steps than there are nodes goes round in a ring
+            return ended, jumps.filter("moved").select("node", "low")
+        jumps = jumps.drop("moved")
 
 
 def reachable(starts: DataFrame, parents: DataFrame, steps: int = 4) -> DataFrame:
@@ -40,12 +62,15 @@ def reachable(starts: DataFrame, parents: DataFrame, steps: int = 4) -> DataFram
     nodes below a reached one are reached, so a root's state is one depth a path; rounds
     follow the edges that leave a path, ``steps`` of them between two writes, until no
     state moves.  A history as long as the input costs the log of its length, and its
-    merges as many rounds as lie on one way through them.
+    merges as many rounds as lie on one way through them.  Cycles close: depths only grow,
+    and no further than a path is long.
     """
     starts, parents = starts.select("root", "node").distinct(), materialize(parents.select("child", "parent").distinct(), "parents")
     paths = paths_of(parents)
     at = lambda c: paths.select(F.col("node").alias(c), F.col("path").alias(f"{c}_path"), F.col("depth").alias(f"{c}_depth"))
-    crossing = parents.join(at("child"), "child").join(at("parent"), "parent").filter("child_path != parent_path")
+    # in an opened ring an edge may also lead further up its own path
+    leads = (F.col("child_path") != F.col("parent_path")) | (F.col("parent_depth") > F.col("child_depth"))
+    crossing = parents.join(at("child"), "child").join(at("parent"), "parent").filter(leads)
     crossing = materialize(crossing.groupBy("child_path", "parent_path", "child_depth").agg(F.max("parent_depth").alias("parent_depth")), "crossing")
     # a start that no edge knows is a path of its own
     state = starts.join(paths, "node", "left").select("root", F.coalesce("path", "node").alias("path"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenir.operators.coverage import reachable
+
 
 def diff(measured: DataFrame, pinned: DataFrame) -> DataFrame:
     """(path, change): added, removed or changed; equal files give no row. Both are (path, sha256)."""
@@ -50,17 +52,53 @@ def measure(tree: DataFrame, by: str | None = None) -> DataFrame:
     return rows.mapInArrow(run, f"`{by}` {kind}, files long, bytes long, digest string")
 
 
-def unresolved_imports(imports: DataFrame, tree: DataFrame) -> DataFrame:
-    """Imports (path, specifier) whose file is not in the tree."""
-    folder = F.regexp_replace("path", "[^/]*$", "")
-    joined = F.concat(folder, F.col("specifier"))
+#: How a module names another one, and what is built in.
+SPECIFIER = r"""(?<![A-Za-z0-9_])from\s*"([^"]+)"|(?<![A-Za-z0-9_])import\s*\(\s*"([^"]+)"\s*\)"""
+BUILT_IN = "node:"
+
+
+def imports_of(sources: DataFrame) -> DataFrame:
+    """(path, place, specifier) of every import of modules (path, text), in order; built-in ones aside."""
+    found = F.transform(F.regexp_extract_all("text", F.lit(SPECIFIER), F.lit(0)), lambda m: F.regexp_extract(m, '"([^"]+)"', 1))
+    rows = sources.select("path", F.posexplode(found).alias("place", "specifier"))
+    return rows.filter(~F.startswith("specifier", F.lit(BUILT_IN)))
+
+
+def import_target(path: Column, specifier: Column) -> Column:
+    """The file, relative to the tree, that a relative specifier of a module names; it starts
+    with ``..`` where it lies outside of the tree."""
+    joined = F.concat(F.regexp_replace(path, "[^/]*$", ""), specifier)
 
-    def climb(acc, part):
-        inside = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(part == "..", inside).when(part.isin(".", ""), acc).otherwise(F.concat(acc, F.array(part)))
+    def step(acc: Column, part: Column) -> Column:
+        inside = (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) != "..")
+        up = F.when(inside, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(part)))
+        return F.when(part == "..", up).when(part.isin(".", ""), acc).otherwise(F.concat(acc, F.array(part)))
 
-    target = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), climb), "/")
-    return imports.withColumn("target", target).join(tree.select(F.col("path").alias("target")), "target", "left_anti")
+    folded = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), step), "/")
+    # a folder's name keeps its last slash, and names no file
+    return F.when(joined.endswith("/") & (folded != ""), F.concat(folded, F.lit("/"))).otherwise(folded)
+
+
+def import_failures(imports: DataFrame, tree: DataFrame) -> DataFrame:
+    """(every column of imports, kind, target) of imports (path, specifier) that the tree (path) can't satisfy.
+
+    ``bare``: not relative, so from outside of what is shipped; ``escaping``: relative, but
+    outside of the tree, whether or not a file is there; ``unresolved``: inside, and no
+    such file.  A bare import has no target.
+    """
+    target = F.when(F.startswith("specifier", F.lit(".")), import_target(F.col("path"), F.col("specifier")))
+    rows = imports.withColumn("target", target)
+    there = tree.select(F.col("path").alias("target")).distinct().withColumn("there_", F.lit(True))
+    met = rows.join(there, "target", "left")
+    kind = F.when(F.col("target").isNull(), "bare").when(F.startswith("target", F.lit("..")), "escaping").when(F.col("there_").isNull(), "unresolved")
+    return met.withColumn("kind", kind).filter("kind is not null").select(*imports.columns, "kind", "target")
+
+
+def import_closure(entries: DataFrame, imports: DataFrame) -> DataFrame:
+    """(root, node): every file that each entry (root, node) needs, itself included, over imports
+    (path, specifier) that stay inside the tree.  Modules that import each other are no obstacle."""
+    inner = imports.filter(F.startswith("specifier", F.lit("."))).select(F.col("path").alias("child"), import_target(F.col("path"), F.col("specifier")).alias("parent"))
+    return reachable(entries, inner.filter(~F.startswith("parent", F.lit(".."))))
 
 
 def mentions(lines: DataFrame, needle: str) -> DataFrame:

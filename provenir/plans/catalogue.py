@@ -451,7 +451,55 @@ def import_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents import their labels; what is not there is unresolved."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("bin/"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.concat(F.lit("./../lib/"), F.col("doc_id").cast("string")).alias("specifier"))
     tree = load(spark, sf_dir, "labels").select(F.concat(F.lit("lib/"), F.col("doc_id").cast("string")).alias("path"))
-    return manifest.unresolved_imports(d, tree).select("doc_id")
+    return manifest.import_failures(d, tree).filter("kind = 'unresolved'").select("doc_id")
+
+
+_LINKS_SQL = """SELECT page_id, regexp_extract(url, '://[^/]*/([a-z]*)', 1) AS lang, unnest(range(len(l))) AS place, unnest(l) AS word FROM (SELECT page_id, url, regexp_extract_all(html, 'href="/([^"/]*)"', 1) AS l FROM pages)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of every page in order: page_id, lang, place, word."""
+    p = load(spark, sf_dir, "pages")
+    found = F.regexp_extract_all("html", F.lit('href="/([^"/]*)"'), F.lit(1))
+    return p.select("page_id", F.regexp_extract("url", "://[^/]*/([a-z]*)", 1).alias("lang"), F.posexplode(found).alias("place", "word"))
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as modules that import what they link to, and the tree of files that are there."""
+    links = _links(spark, sf_dir)
+    quoted = lambda before, after: F.concat(F.lit(before), F.col("word"), F.lit(after))
+    kinds = (quoted('import a from "./', '.js";'), quoted('await import( "../', '.js" );'), quoted('export * from "', '";'), quoted('from "../.././../', '.js"'), quoted('import fs from "node:', '";'))
+    line = F.element_at(F.array(*kinds), F.col("place") % 5 + 1)
+    path = F.concat("lang", F.lit("/"), F.col("page_id").cast("string"), F.lit(".js"))
+    text_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n")
+    modules = links.groupBy(path.alias("path")).agg(text_.alias("text"))
+    here = links.filter(F.length("word") % 2 == 0).select(F.concat("lang", F.lit("/"), "word", F.lit(".js")).alias("path"))
+    above = links.filter(F.length("word") % 3 == 0).select(quoted("", ".js").alias("path"))
+    return modules, here.unionByName(above)
+
+
+@query(f"""
+WITH l AS ({_LINKS_SQL}), t AS (SELECT DISTINCT lang || '/' || word || '.js' AS target FROM l WHERE length(word) % 2 = 0 UNION SELECT word || '.js' FROM l WHERE length(word) % 3 = 0),
+i AS (SELECT page_id, place, CASE place % 5 WHEN 0 THEN lang || '/' || word || '.js' WHEN 1 THEN word || '.js' WHEN 3 THEN '../../' || word || '.js' END AS target FROM l WHERE place % 5 <> 4 AND (place % 5 <> 2 OR word <> '')),
+k AS (SELECT i.*, CASE WHEN target IS NULL THEN 'bare' WHEN starts_with(target, '..') THEN 'escaping' WHEN t.target IS NULL THEN 'unresolved' END AS kind FROM (SELECT page_id, place, i.target FROM i) i LEFT JOIN t USING (target))
+SELECT page_id, kind, target, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY ALL""")
+def import_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports found in modules' text that leave what is shipped, leave the tree, or find nothing there."""
+    modules, tree = _modules(spark, sf_dir)
+    found = manifest.import_failures(manifest.imports_of(modules), tree)
+    page = F.regexp_extract("path", "([0-9]+)[.]js$", 1).cast("long")
+    return found.groupBy(page.alias("page_id"), "kind", "target").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH RECURSIVE l AS ({_LINKS_SQL}), e AS (SELECT DISTINCT a.word AS a, b.word AS b FROM l a JOIN l b ON a.page_id = b.page_id AND b.place = a.place + 1),
+r(root, node) AS (SELECT DISTINCT lang, word FROM l WHERE place = 0 UNION SELECT root, b FROM r JOIN e ON a = node)
+SELECT root, node FROM r""")
+def link_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each language's first links, every link that follows another on some page: a graph full of cycles."""
+    links = _links(spark, sf_dir)
+    edges = links.select("page_id", "place", F.col("word").alias("child")).join(links.select("page_id", (F.col("place") - 1).alias("place"), F.col("word").alias("parent")), ["page_id", "place"])
+    return coverage.reachable(links.filter("place = 0").select(F.col("lang").alias("root"), F.col("word").alias("node")), edges)
 
 
 @query("""

@@ -76,8 +76,3 @@ def blame_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha, line, epoch, offset) from files of porcelain output, one line each."""
     files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return files.select("path", decode.blame_porcelain(F.col("value")).alias("b")).filter("b is not null").select("path", "b.*")
-
-
-def import_specifiers(source: Column) -> Column:
-    """Relative import specifiers of a module's text."""
-    return F.regexp_extract_all(source, F.lit(r"(?:from|import)\s*\(?\s*[\"'](\.{1,2}/[^\"']+)[\"']"), F.lit(1))
