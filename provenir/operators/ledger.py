@@ -6,10 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenir.functions.policy import CAP_AGE_MS, CAP_BYTES, CAP_ENTRIES, START_FLOOR_MS
+from provenir.runtime import materialize
 
 
 @dataclass
@@ -110,12 +112,135 @@ def _row(key: str, s: Stream) -> tuple:
     return key, s.seq, s.sent, len(s.backlog), pending, s.gap_bytes, s.gap_count, s.last_sent_at, s.stopped
 
 
-def ledger_fold(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> DataFrame:
+#: Attempts that are folded ahead as one run at most.
+RUN = 4096
+_RUNS = (
+    "key string, place int, number long, fingerprint string, at_ms array<long>, eof array<long>, outcome array<string>, claim int, "
+    "sent long, backlog array<long>, end_sent long, end_backlog array<long>, seq long, gap_bytes long, gap_count long, last_sent_at long, stopped boolean"
+)
+#: What a run claims of the state behind its first attempts: nothing (they are the whole run),
+#: that it is the given one, that the stream is stopped.
+_NOTHING, _STATE, _STOPPED = range(3)
+
+
+def _flat(backlog: list[tuple[int, int, int]]) -> list[int]:
+    return [x for span in backlog for x in span]
+
+
+def summary(attempts: list[tuple[int, int, str]], fingerprint: str, caps: tuple[float, float, float]) -> tuple:
+    """A run of attempts (at_ms, eof, outcome) of one fingerprint, folded before its state is known.
+
+    Two folds start from different guesses.  From where they agree on what is sent and held,
+    the rest of the run is claimed to follow whatever the true state was; deltas and end
+    state are those of the agreed part.  The claim is checked when the run is composed.
+    """
+    a, b = Stream(), Stream(sent=max(0, attempts[0][1] - 1))
+    for i, (at, eof, outcome) in enumerate(attempts):
+        a.apply(eof, outcome, at, fingerprint, caps)
+        b.apply(eof, outcome, at, fingerprint, caps)
+        if a.stopped is not None and b.stopped is not None:
+            return attempts[: i + 1], _STOPPED, 0, [], 0, [], 0, 0, 0, 0, True
+        if a.stopped == b.stopped and (a.sent, a.backlog) == (b.sent, b.backlog):
+            known = a.sent, _flat(a.backlog)
+            a.seq = a.gap_bytes = a.gap_count = a.last_sent_at = 0
+            for at_, eof_, outcome_ in attempts[i + 1 :]:
+                a.apply(eof_, outcome_, at_, fingerprint, caps)
+            return attempts[: i + 1], _STATE, *known, a.sent, _flat(a.backlog), a.seq, a.gap_bytes, a.gap_count, a.last_sent_at, a.stopped is not None
+    return attempts, _NOTHING, 0, [], 0, [], 0, 0, 0, 0, False
+
+
+def compose(s: Stream, fingerprint: str, first: list[tuple[int, int, str]], rest: tuple, caps: tuple[float, float, float]) -> bool:
+    """Carry a stream over a run's summary; false if what the run claims isn't so."""
+    if s.stopped is not None and s.stopped == fingerprint:
+        return True
+    claim, sent, backlog, end_sent, end_backlog, seq, gap_bytes, gap_count, last_sent_at, stopped = rest
+    for at, eof, outcome in first:
+        s.apply(eof, outcome, at, fingerprint, caps)
+    if s.stopped == fingerprint or claim == _NOTHING:
+        return True
+    if claim == _STOPPED or s.sent != sent or _flat(s.backlog) != list(backlog):
+        return False
+    s.sent, s.backlog = end_sent, [tuple(end_backlog[k : k + 3]) for k in range(0, len(end_backlog), 3)]
+    s.seq += seq
+    s.gap_bytes += gap_bytes
+    s.gap_count += gap_count
+    s.last_sent_at = last_sent_at or s.last_sent_at
+    if stopped:
+        s.stopped = fingerprint
+    return True
+
+
+def ledger_fold(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES), run: int = RUN) -> DataFrame:
     """Final state per key with the caps on held spans.
 
-    The fold is ordered and branches on its own state, which no window expresses.  Rows
-    are dealt by key and sorted in Spark; each task then streams over its partition in
-    Arrow batches with the state of one key in hand, so a key of any length fits.
+    attempts is (key, at, attempt_id, eof, outcome, fingerprint).  The fold is ordered and
+    branches on its own state, which no window expresses.  Rows are range-sorted by key and
+    time, so that a busy key lies in many tasks; each task folds runs of at most ``run``
+    attempts ahead into summaries: the first attempts, up to where the state no longer
+    depends on what came before, and what the rest of the run does from there.  A key's
+    summaries are then composed in order, replaying the first attempts only: for a run of
+    thousands usually a few.  Each jump is checked against the replayed state; a key for which
+    one fails (none is known) is folded plainly.
+    """
+    at_ms = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / 1000)
+    slim = attempts.select(F.col("key").cast("string").alias("key"), at_ms.alias("at_ms"), "attempt_id", "eof", "outcome", F.coalesce(F.col("fingerprint").cast("string"), F.lit("")).alias("fingerprint"))
+
+    def fold_ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, number, held, now = TaskContext.get().partitionId(), 0, [], None
+        columns = [x.split()[0] for x in _RUNS.split(", ")]
+
+        def closed() -> tuple:
+            first, *rest = summary(held, now[1], caps)
+            return now[0], place, number, now[1], *map(list, zip(*first, strict=True)), *rest
+
+        for pdf in batches:
+            done = []
+            for k, at, eof, outcome, fingerprint in zip(pdf["key"], pdf["at_ms"], pdf["eof"], pdf["outcome"], pdf["fingerprint"], strict=True):
+                if (k, fingerprint) != now or len(held) >= run:
+                    if held:
+                        done.append(closed())
+                        number += 1
+                    now, held = (k, fingerprint), []
+                held.append((int(at), int(eof), outcome))
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if held:
+            yield pd.DataFrame([closed()], columns=columns)
+
+    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*(x.split()[0] for x in LEDGER_SCHEMA.split(", ")), "sound"]
+        key, state, sound = None, Stream(), True
+        for pdf in batches:
+            done = []
+            for row in pdf.itertuples(index=False):
+                if row.key != key:
+                    if key is not None:
+                        done.append((*_row(key, state), sound))
+                    key, state, sound = row.key, Stream(), True
+                first = [(int(a), int(e), o) for a, e, o in zip(row.at_ms, row.eof, row.outcome, strict=True)]
+                rest = (row.claim, row.sent, [int(x) for x in row.backlog], row.end_sent, [int(x) for x in row.end_backlog], row.seq, row.gap_bytes, row.gap_count, row.last_sent_at, row.stopped)
+                sound = sound and compose(state, row.fingerprint, first, rest, caps)
+            if done:
+                yield pd.DataFrame(done, columns=columns)
+        if key is not None:
+            yield pd.DataFrame([(*_row(key, state), sound)], columns=columns)
+
+    ranged = slim.repartitionByRange("key", "at_ms", "attempt_id").sortWithinPartitions("key", "at_ms", "attempt_id")
+    runs = ranged.mapInPandas(fold_ahead, _RUNS)
+    found = runs.repartition("key").sortWithinPartitions("key", "place", "number").mapInPandas(composed, f"{LEDGER_SCHEMA}, sound boolean")
+    found = materialize(found, "ledger")
+    wrong = found.filter("not sound").select("key")
+    if wrong.isEmpty():
+        return found.drop("sound")
+    again = plain_fold(slim.join(wrong, "key", "left_semi"), caps)
+    return found.filter("sound").drop("sound").unionByName(again)
+
+
+def plain_fold(slim: DataFrame, caps: tuple[float, float, float]) -> DataFrame:
+    """The fold of (key, at_ms, attempt_id, eof, outcome, fingerprint) in order, a key in one task.
+
+    Each task streams over its sorted partition in Arrow batches with the state of one key
+    in hand, so a key of any length fits.
     """
     columns = [x.split()[0] for x in LEDGER_SCHEMA.split(", ")]
 
@@ -134,8 +259,6 @@ def ledger_fold(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYT
         if key is not None:
             yield pd.DataFrame([_row(key, state)], columns=columns)
 
-    at_ms = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / 1000)
-    slim = attempts.select(F.col("key").cast("string").alias("key"), at_ms.alias("at_ms"), "attempt_id", "eof", "outcome", F.coalesce(F.col("fingerprint").cast("string"), F.lit("")).alias("fingerprint"))
     return slim.repartition("key").sortWithinPartitions("key", "at_ms", "attempt_id").mapInPandas(run, LEDGER_SCHEMA)
 
 

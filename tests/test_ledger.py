@@ -117,3 +117,75 @@ def test_notices_and_sessions_stream(spark, tmp_path):
     q.awaitTermination()
     assert sorted(r["key"] for r in spark.table("notices").collect()) == ["a", "b"]
     assert sorted((r["key"], r["n"]) for r in delivery.live_sessions(rows).collect()) == [("a", 2), ("b", 1)]
+
+
+@given(steps, st.tuples(st.integers(1, 40), st.integers(1, 30), st.integers(1, 4)), st.integers(1, 9))
+@settings(max_examples=600, deadline=None)
+def test_runs_folded_ahead_compose_to_the_plain_fold(rows, caps, run):
+    """Whatever is claimed of a run, a composition that passes its checks is the fold."""
+    now, timed = 0, []
+    for eof, outcome, wait, p in rows:
+        now += wait
+        timed.append((eof, outcome, now, p))
+    runs = []
+    for eof, outcome, at, p in timed:
+        if not runs or runs[-1][0] != p or len(runs[-1][1]) >= run:
+            runs.append((p, []))
+        runs[-1][1].append((at, eof, outcome))
+    s, sound = Stream(), True
+    for p, held in runs:
+        first, *rest = ledger.summary(held, p, caps)
+        sound = sound and ledger.compose(s, p, first, tuple(rest), caps)
+    if sound:
+        assert (s.seq, s.sent, s.backlog, s.gap_bytes, s.gap_count, s.last_sent_at, s.stopped) == model(timed, caps)
+
+
+def hot(spark, n):
+    """One busy key beside small ones; its file grows, shrinks now and then, and is stopped at times."""
+    i = F.col("id")
+    draw = F.pmod(F.xxhash64(i), F.lit(100))
+    outcome = F.when(draw < 30, "ok").when(draw < 70, "later").when(draw < 99, "never").otherwise("fatal")
+    eof = F.pmod(i, F.lit(5000)) * 10 + F.pmod(F.xxhash64(i, F.lit(1)), F.lit(25))
+    key = F.when(i % 50 == 0, F.concat(F.lit("k"), (i % 7).cast("string"))).otherwise("hot")
+    rows = spark.range(n).select(key.alias("key"), F.timestamp_millis(i * 30_000).alias("at"), i.alias("attempt_id"), eof.alias("eof"), outcome.alias("outcome"), F.floor(i / 500).alias("fingerprint"))
+    return rows.repartition(8, F.xxhash64("attempt_id"))
+
+
+def told(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def plain(df, caps):
+    at_ms = F.floor(F.unix_micros("at") / 1000)
+    slim = df.select("key", at_ms.alias("at_ms"), "attempt_id", "eof", "outcome", F.col("fingerprint").cast("string").alias("fingerprint"))
+    return ledger.plain_fold(slim, caps)
+
+
+def test_busy_key_equals_the_plain_fold(spark):
+    rows = hot(spark, 30_000)
+    for caps in ((8 << 20, 24 * 3600 * 1000, 512), (400, 3_600_000, 5)):
+        assert told(ledger.ledger_fold(rows, caps, run=300)) == told(plain(rows, caps))
+
+
+def test_most_attempts_of_a_run_are_not_replayed(spark):
+    rng = __import__("random").Random(1)
+    held = [(k * 1000, k * 10 + 5, rng.choice(["ok", "later", "never"])) for k in range(4000)]
+    first, claim, *_ = ledger.summary(held, "f", (8 << 20, 24 * 3600 * 1000, 512))
+    assert len(first) < 20 and claim == 1
+    later = [(k * 1000, k * 10 + 5, "later") for k in range(4000)]
+    first, claim, *_ = ledger.summary(later, "f", (8 << 20, 24 * 3600 * 1000, 512))
+    assert len(first) < 600 and claim == 1  # the caps forget what was held before
+
+
+def test_a_claim_that_fails_is_folded_plainly(spark, monkeypatch):
+    rows = hot(spark, 3000)
+    caps = (400, 3_600_000, 5)
+    want = told(plain(rows, caps))
+    real = ledger.summary
+
+    def wrong(attempts, fingerprint, caps_):
+        first, claim, sent, *rest = real(attempts, fingerprint, caps_)
+        return first, claim, sent + 1 if claim == 1 else sent, *rest
+
+    monkeypatch.setattr(ledger, "summary", wrong)
+    assert told(ledger.ledger_fold(rows, caps, run=100)) == want
