@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenir.functions.identity import is_sha
 from provenir.operators.coverage import reachable
 
 
@@ -106,6 +107,22 @@ def mentions(lines: DataFrame, needle: str) -> DataFrame:
     return lines.filter(F.contains("line", F.lit(needle)))
 
 
+def pinned_mentions(lines: DataFrame, pins: DataFrame, width: int = 7) -> DataFrame:
+    """(every column of lines, sha) of each line (path, line_no, line) that holds the first
+    ``width`` digits of a pinned sha (sha), for any number of pins at once.
+
+    All stretches of that width in a line's hexadecimal runs are joined with the pins: an
+    equi-join on short keys that carries no line, then one back to the lines that were hit.
+    (path, line_no) tells lines apart; a pin that is no full sha is left out.
+    """
+    short = pins.filter(is_sha(F.col("sha"))).select("sha", F.left("sha", F.lit(width)).alias("key_")).distinct()
+    runs = F.regexp_extract_all("line", F.lit(f"[0-9a-f]{{{width},}}"), F.lit(0))
+    cuts = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (width - 1)), lambda i: F.substr(r, i, F.lit(width)))
+    keys = lines.filter(F.col("line").rlike(f"[0-9a-f]{{{width}}}")).select("path", "line_no", F.explode(F.array_distinct(F.flatten(F.transform(runs, cuts)))).alias("key_"))
+    met = keys.join(short, "key_").select("path", "line_no", "sha")
+    return lines.join(met, ["path", "line_no"]).select(*lines.columns, "sha")
+
+
 def drift(before: DataFrame, after: DataFrame, key: str = "bundle") -> DataFrame:
     """Whether content, commit and digest moved together, from (key, content, commit, digest):
     content must move with the digest and with the commit, neither alone."""

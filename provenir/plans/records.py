@@ -5,14 +5,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provenir.functions import decode, identity, policy, text
-from provenir.operators import attribution, keyed, ledger, manifest
+from provenir.operators import attribution, keyed, ledger, manifest, patches
 from provenir.plans.registry import query
 from provenir.plans.standins import load, mapped
-from provenir.runtime import shared_dir
+from provenir.runtime import materialize, shared_dir
 from provenir.sources import files, git_tables
 from provenir.streaming import delivery
 
@@ -278,6 +278,31 @@ def patch_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.same_patch(o.select(F.col("o_orderpriority").alias("repo"), F.col("o_orderkey").alias("sha"), patch.alias("patch_id"), F.col("o_orderdate").alias("committed_at")))
 
 
+@query()
+def patch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as revisions of files, 64 neighbouring ids of a source each: every one's change of the
+    one before, over whole texts.  A shortest edit script is beyond SQL; a test compares all rows with a plain one."""
+    d = load(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("f"), F.floor(F.col("doc_id") / 64).cast("string")))
+    before = F.lag("text").over(Window.partitionBy("source", "path").orderBy("doc_id"))
+    revisions = d.select(F.col("source").alias("repo"), F.col("doc_id").alias("sha"), "path", before.alias("before"), F.col("text").alias("after"))
+    return patches.patch_ids(revisions)
+
+
+@query("""
+SELECT doc_id AS sha, CAST(1 AS BIGINT) AS hunks, CAST(0 AS BIGINT) AS removed, CAST(1 AS BIGINT) AS added, nullif(min(doc_id) OVER (PARTITION BY source, doc_id % 5), doc_id) AS old_sha
+FROM documents WHERE source IS NOT NULL""")
+def patch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same line put in front of or behind whole texts is one patch, wherever it lies."""
+    d = load(spark, sf_dir, "documents").filter("source is not null")
+    text_, note = F.coalesce("text", F.lit("")), F.concat(F.lit("note "), (F.col("doc_id") % 5).cast("string"))
+    behind = F.concat(text_, F.when((text_ == "") | text_.endswith("\n"), "").otherwise("\n"), note)
+    after = F.when(F.col("doc_id") % 2 == 0, F.concat(note, F.lit("\n"), text_)).otherwise(behind)
+    ids = patches.patch_ids(d.select(F.col("source").alias("repo"), F.col("doc_id").alias("sha"), F.lit("f").alias("path"), text_.alias("before"), after.alias("after")))
+    ids = materialize(ids, "patches")
+    found = attribution.same_patch(ids.withColumn("committed_at", F.col("sha"))).select("repo", F.col("new_sha").alias("sha"), "old_sha")
+    return ids.join(found, ["repo", "sha"], "left").select("sha", "hunks", "removed", "added", "old_sha")
+
+
 @query("""
 SELECT l_orderkey AS sha, l_linenumber AS line, CASE WHEN o_orderstatus <> 'O' THEN o_orderkey + 1 END AS recorded_sha, CASE o_orderstatus WHEN 'P' THEN 'exact' WHEN 'F' THEN 'probable' END AS match_kind
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
@@ -320,6 +345,21 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.mentions(d.withColumn("line_no", F.col("line_no").cast("long")), "Licensed")
 
 
+@query("""
+WITH l AS (SELECT doc_id AS path, line_no, CASE WHEN line_no = 0 THEN line || ' x' || left(sha256(CAST(doc_id % 1000 AS VARCHAR)), 20) ELSE line END AS line
+  FROM (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+p AS (SELECT DISTINCT left(sha256(CAST(doc_id AS VARCHAR)), 40) AS sha FROM labels)
+SELECT path, line_no, md5(line) AS line, sha FROM l JOIN p ON contains(line, left(sha, 7))""")
+def pinned_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole documents that hold one of many pinned ids; a label's row pins the id of its document."""
+    sha = lambda c: F.sha2(c.cast("string").cast("binary"), 256)
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    held = F.when(F.col("line_no") == 0, F.concat("line", F.lit(" x"), F.left(sha(F.col("path") % 1000), F.lit(20)))).otherwise(F.col("line"))
+    lines = d.select("path", F.col("line_no").cast("long").alias("line_no"), held.alias("line"))
+    pins = load(spark, sf_dir, "labels").select(F.left(sha(F.col("doc_id")), F.lit(40)).alias("sha"))
+    return manifest.pinned_mentions(lines, pins).withColumn("line", F.md5("line"))
+
+
 # deliveries
 
 
