@@ -55,26 +55,49 @@ def _doubled(jumps: DataFrame, nodes: int) -> tuple[DataFrame, DataFrame]:
         jumps = jumps.drop("moved")
 
 
-def reachable(starts: DataFrame, parents: DataFrame, steps: int = 4) -> DataFrame:
+#: Hops that are tried from the starts before paths are contracted.
+HOPS = 16
+
+
+def reachable(starts: DataFrame, parents: DataFrame, steps: int = 4, hops: int = HOPS) -> DataFrame:
     """(root, node): every ancestor of each start, itself included, at any depth.
 
-    starts is (root, node), parents (child, parent).  Along a path of first parents all
-    nodes below a reached one are reached, so a root's state is one depth a path; rounds
-    follow the edges that leave a path, ``steps`` of them between two writes, until no
-    state moves.  A history as long as the input costs the log of its length, and its
-    merges as many rounds as lie on one way through them.  Cycles close: depths only grow,
-    and no further than a path is long.
+    starts is (root, node), parents (child, parent).  What ends within ``hops`` steps is
+    found from the starts, at a cost that follows what they reach.  A deeper graph is
+    contracted: along a path of first parents all nodes below a reached one are reached, so
+    a root's state is one depth a path; rounds follow the edges that leave a path, ``steps``
+    of them between two writes, until no state moves.  A history as long as the input costs
+    the log of its length, and its merges as many rounds as lie on one way through them.
+    Cycles close: depths only grow, and no further than a path is long.
     """
-    starts, parents = starts.select("root", "node").distinct(), materialize(parents.select("child", "parent").distinct(), "parents")
+    starts, parents = starts.select("root", "node").distinct(), materialize(parents.select("child", "parent").filter("child is not null and parent is not null").distinct(), "parents")
+    edges = parents.withColumnRenamed("child", "node")
+    seen = materialize(starts, "seen")
+    count = seen.count()
+    for _ in range(0, hops, steps):
+        near = seen
+        for _ in range(steps):
+            # a row stays and brings its parents: one chain, nothing is computed twice
+            near = near.join(edges, "node", "left").select("root", F.explode(F.array("node", F.coalesce("parent", "node"))).alias("node")).distinct()
+        seen = materialize(near, "seen")
+        last, count = count, seen.count()
+        if count == last:
+            return seen
+    return _contracted(seen, parents, steps)
+
+
+def _contracted(starts: DataFrame, parents: DataFrame, steps: int) -> DataFrame:
     paths = paths_of(parents)
     at = lambda c: paths.select(F.col("node").alias(c), F.col("path").alias(f"{c}_path"), F.col("depth").alias(f"{c}_depth"))
     # in an opened ring an edge may also lead further up its own path
     leads = (F.col("child_path") != F.col("parent_path")) | (F.col("parent_depth") > F.col("child_depth"))
     crossing = parents.join(at("child"), "child").join(at("parent"), "parent").filter(leads)
-    crossing = materialize(crossing.groupBy("child_path", "parent_path", "child_depth").agg(F.max("parent_depth").alias("parent_depth")), "crossing")
+    crossing = crossing.groupBy("child_path", "parent_path", "child_depth").agg(F.max("parent_depth").alias("parent_depth"))
+    crossing = materialize(crossing.withColumnRenamed("child_path", "path"), "crossing")
     # a start that no edge knows is a path of its own
     state = starts.join(paths, "node", "left").select("root", F.coalesce("path", "node").alias("path"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
     state, last = materialize(state.groupBy("root", "path").agg(F.max("depth").alias("depth")), "state"), None
+    own, far = F.struct("path", "depth"), F.struct(F.col("parent_path").alias("path"), F.col("parent_depth").alias("depth"))
     while True:
         # a way through k crossings takes k steps; depths only grow
         total = state.agg(F.count("*"), F.sum(F.col("depth").cast("decimal(38,0)"))).first()
@@ -82,9 +105,9 @@ def reachable(starts: DataFrame, parents: DataFrame, steps: int = 4) -> DataFram
             break
         last = total
         for _ in range(steps):
-            left = state.join(crossing, F.col("path") == F.col("child_path")).filter("child_depth <= depth")
-            state = state.unionByName(left.select("root", F.col("parent_path").alias("path"), F.col("parent_depth").alias("depth")))
-            state = state.groupBy("root", "path").agg(F.max("depth").alias("depth"))
+            met = state.join(crossing, "path", "left")
+            both = F.explode(F.when(F.col("child_depth") <= F.col("depth"), F.array(own, far)).otherwise(F.array(own))).alias("x")
+            state = met.select("root", both).select("root", "x.*").groupBy("root", "path").agg(F.max("depth").alias("depth"))
         state = materialize(state, "state")
     found = state.withColumnRenamed("depth", "reached").join(paths, "path").filter("depth <= reached").select("root", "node")
     return found.unionByName(starts).distinct()

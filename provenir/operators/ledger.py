@@ -119,8 +119,8 @@ _RUNS = (
     "sent long, backlog array<long>, end_sent long, end_backlog array<long>, seq long, gap_bytes long, gap_count long, last_sent_at long, stopped boolean"
 )
 #: What a run claims of the state behind its first attempts: nothing (they are the whole run),
-#: that it is the given one, that the stream is stopped.
-_NOTHING, _STATE, _STOPPED = range(3)
+#: that it is the given one, that the stream is stopped; or it is a key's whole state so far.
+_NOTHING, _STATE, _STOPPED, _WHOLE = range(4)
 
 
 def _flat(backlog: list[tuple[int, int, int]]) -> list[int]:
@@ -175,10 +175,11 @@ def ledger_fold(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYT
 
     attempts is (key, at, attempt_id, eof, outcome, fingerprint).  The fold is ordered and
     branches on its own state, which no window expresses.  Rows are range-sorted by key and
-    time, so that a busy key lies in many tasks; each task folds runs of at most ``run``
-    attempts ahead into summaries: the first attempts, up to where the state no longer
-    depends on what came before, and what the rest of the run does from there.  A key's
-    summaries are then composed in order, replaying the first attempts only: for a run of
+    time, so that a busy key lies in many tasks.  Keys that begin behind a task's first one are
+    folded as they come.  The first key may go on from the task before, so it's folded ahead
+    in runs of at most ``run`` attempts, each summed up as its first attempts, up to where the
+    state no longer depends on what came before, and what the rest does from there.  A key's
+    parts are then composed in order, replaying the first attempts only: for a run of
     thousands usually a few.  Each jump is checked against the replayed state; a key for which
     one fails (none is known) is folded plainly.
     """
@@ -189,23 +190,34 @@ def ledger_fold(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYT
         place, number, held, now = TaskContext.get().partitionId(), 0, [], None
         columns = [x.split()[0] for x in _RUNS.split(", ")]
 
+        whole = None  # the state of the key in hand, once that is not the task's first one
+
         def closed() -> tuple:
             first, *rest = summary(held, now[1], caps)
             return now[0], place, number, now[1], *map(list, zip(*first, strict=True)), *rest
 
+        def state() -> tuple:
+            s = whole
+            return now[0], place, number, s.stopped, [], [], [], _WHOLE, 0, [], s.sent, _flat(s.backlog), s.seq, s.gap_bytes, s.gap_count, s.last_sent_at, s.stopped is not None
+
         for pdf in batches:
             done = []
             for k, at, eof, outcome, fingerprint in zip(pdf["key"], pdf["at_ms"], pdf["eof"], pdf["outcome"], pdf["fingerprint"], strict=True):
-                if (k, fingerprint) != now or len(held) >= run:
-                    if held:
-                        done.append(closed())
-                        number += 1
-                    now, held = (k, fingerprint), []
-                held.append((int(at), int(eof), outcome))
+                if now is not None and k != now[0]:
+                    done.append(state() if whole is not None else closed())
+                    number, held, whole = number + 1, [], Stream()
+                elif whole is None and held and (fingerprint != now[1] or len(held) >= run):
+                    done.append(closed())
+                    number, held = number + 1, []
+                now = k, fingerprint
+                if whole is not None:
+                    whole.apply(int(eof), outcome, int(at), fingerprint, caps)
+                else:
+                    held.append((int(at), int(eof), outcome))
             if done:
                 yield pd.DataFrame(done, columns=columns)
-        if held:
-            yield pd.DataFrame([closed()], columns=columns)
+        if now is not None:
+            yield pd.DataFrame([state() if whole is not None else closed()], columns=columns)
 
     def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [*(x.split()[0] for x in LEDGER_SCHEMA.split(", ")), "sound"]
@@ -217,6 +229,11 @@ def ledger_fold(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYT
                     if key is not None:
                         done.append((*_row(key, state), sound))
                     key, state, sound = row.key, Stream(), True
+                if row.claim == _WHOLE:  # the key begins with this part
+                    held = [int(x) for x in row.end_backlog]
+                    backlog = [tuple(held[i : i + 3]) for i in range(0, len(held), 3)]
+                    state = Stream(row.end_sent, backlog, row.gap_bytes, row.gap_count, row.last_sent_at, row.fingerprint if row.stopped else None, row.seq)
+                    continue
                 first = [(int(a), int(e), o) for a, e, o in zip(row.at_ms, row.eof, row.outcome, strict=True)]
                 rest = (row.claim, row.sent, [int(x) for x in row.backlog], row.end_sent, [int(x) for x in row.end_backlog], row.seq, row.gap_bytes, row.gap_count, row.last_sent_at, row.stopped)
                 sound = sound and compose(state, row.fingerprint, first, rest, caps)

@@ -23,9 +23,9 @@ def plain_closure(starts, edges):
     return out
 
 
-def closed(spark, starts, edges):
+def closed(spark, starts, edges, hops=coverage.HOPS):
     kind = "long" if isinstance(starts[0][1], int) else "string"
-    found = coverage.reachable(spark.createDataFrame(starts, f"root string, node {kind}"), spark.createDataFrame(edges, f"child {kind}, parent {kind}"))
+    found = coverage.reachable(spark.createDataFrame(starts, f"root string, node {kind}"), spark.createDataFrame(edges, f"child {kind}, parent {kind}"), hops=hops)
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(set(rows))
     return set(rows)
@@ -42,7 +42,7 @@ def closed(spark, starts, edges):
 )
 def test_cycles_close(spark, edges):
     starts = [(f"r{n}", n) for n in sorted({x for e in edges for x in e})] + [("lone", "none")]
-    assert closed(spark, starts, edges) == plain_closure(starts, edges)
+    assert closed(spark, starts, edges) == closed(spark, starts, edges, hops=0) == plain_closure(starts, edges)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -53,7 +53,7 @@ def test_random_graphs_close(spark, seed):
     ring = rng.sample(range(n, 2 * n), 40)
     edges += list(zip(ring, [*ring[1:], ring[0]], strict=True)) + [(ring[3], 5), (7, ring[20])]
     starts = [(str(k), rng.randrange(2 * n)) for k in range(12)]
-    assert closed(spark, starts, edges) == plain_closure(starts, edges)
+    assert closed(spark, starts, edges, hops=4 * (seed % 2)) == plain_closure(starts, edges)
 
 
 def test_long_history_with_a_ring_behind_it(spark):
