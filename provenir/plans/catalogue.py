@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provenir.functions import decode, identity, policy, text
 from provenir.operators import attribution, claims, coverage, keyed, ledger, manifest
 from provenir.plans.registry import ORACLE_SQL, QUERIES, query
-from provenir.plans.standins import GRADE, STATUS, attempts, edges, load, mapped, ref_commits
+from provenir.plans.standins import GRADE, STATUS, attempts, edges, load, mapped, ref_commits, spread
 from provenir.streaming import delivery
 
 _GRADE_SQL = "CASE l_returnflag WHEN 'A' THEN 'derived' WHEN 'N' THEN 'observed' WHEN 'R' THEN 'declared' END"
@@ -364,11 +364,11 @@ def json_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, 's' || user_id AS session_id, '/t/' || event_id || '.jsonl' AS transcript_path, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS hook_event_name FROM events WHERE event_type <> 'signup'""")
 def hook_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as JSON records and decoded again; signups have an empty session and drop."""
-    e = load(spark, sf_dir, "events")
+    e = spread(load(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
     session = F.when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit("s"), F.col("user_id")))
     name = F.when(F.col("event_type") != "error", F.col("event_type"))
     raw = F.to_json(F.struct(session.alias("session_id"), F.concat(F.lit("/t/"), F.col("event_id"), F.lit(".jsonl")).alias("transcript_path"), name.alias("hook_event_name")))
-    out = e.select("event_id", decode.hook_event(raw).alias("h")).filter("h is not null")
+    out = e.select("event_id", decode.sound(decode.hook_event(raw)).alias("h"))
     return out.select("event_id", "h.session_id", "h.transcript_path", "h.hook_event_name")
 
 

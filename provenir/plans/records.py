@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from provenir.functions import decode, identity, policy, text
 from provenir.operators import attribution, keyed, ledger, manifest, patches
 from provenir.plans.registry import query
-from provenir.plans.standins import load, mapped
+from provenir.plans.standins import load, mapped, spread
 from provenir.runtime import materialize, shared_dir
 from provenir.sources import files, git_tables
 from provenir.streaming import delivery
@@ -45,7 +45,7 @@ def _spool_line() -> Column:
 @query(_SPOOL_SQL)
 def spool_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as observed commits; a sign-up's id is no sha, and files that are no strings go."""
-    e = load(spark, sf_dir, "events").select(decode.spool_entry(_spool_line()).alias("e")).filter("e is not null")
+    e = spread(load(spark, sf_dir, "events").select("event_id", "event_type", "user_id")).select(decode.sound(decode.spool_entry(_spool_line())).alias("e"))
     return e.select("e.sha", "e.branch", "e.at", F.array_join("e.files", ",").alias("files"))
 
 
@@ -68,7 +68,7 @@ def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _raw('[{"from":', k, ',"to":', k + 5, ',"at":1},{"from":', k + 5 + k % 2, ',"to":', k + 20, ',"at":2},{"from":', k + 20, ',"to":', k + 30, ',"at":3}]')
     main = _raw('{"sentOffset":', k, ',"backlog":', spans, ',"gapBytes":-3,"gapCount":2.7,"lastSentAt":', n, "}")
     raw = F.when(k % 11 == 0, '{"seq":').otherwise(_raw('{"seq":', n, ',"stop":', stop, ',"files":{"main":', main, ',"odd":7}}'))
-    s = load(spark, sf_dir, "orders").select("o_orderkey", decode.session_state(raw).alias("s")).withColumn("f", F.try_element_at("s.files", F.lit("main")))
+    s = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", decode.session_state(raw).alias("s")).withColumn("f", F.try_element_at("s.files", F.lit("main")))
     entries = F.when(F.col("f.backlog").isNotNull(), F.size("f.backlog")).otherwise(0).cast("long")
     pending = F.when(entries > 0, policy.pending_bytes(F.col("f.backlog"))).otherwise(0).cast("long")
     return s.select("o_orderkey", "s.seq", F.col("s.stop.fingerprint").alias("fingerprint"), F.col("f.sent_offset").alias("sent"), entries.alias("entries"), pending.alias("pending"), "f.gap_bytes", "f.gap_count", F.col("f.last_sent_at_ms").alias("last_sent"))
@@ -84,7 +84,7 @@ def coverage_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.when(k % 7 == 0, _raw('"', k, '"')).otherwise(k.cast("string"))
     second = F.when(k % 13 == 0, " ").otherwise("b")
     raw = _raw('{"ref":"r', k, '","edges_held":', held, ',"captured_shas":["a","', second, '"],"by_grade":{"derived":', n, ',"', grade, '":1.0},"exact_successors":2,"probable_line":{"count":', n, "}}")
-    c = load(spark, sf_dir, "part").select("p_partkey", decode.coverage_payload(raw).alias("c")).filter("c is not null")
+    c = spread(load(spark, sf_dir, "part").select("p_partkey", "p_size")).select("p_partkey", decode.sound(decode.coverage_payload(raw)).alias("c"))
     grade_of = lambda g: F.try_element_at("c.by_grade", F.lit(g)).alias(g)
     return c.select("p_partkey", "c.ref", "c.edges_held", grade_of("derived"), grade_of("observed"), F.size("c.captured_shas").cast("long").alias("shas"), "c.exact_successors", F.col("c.probable_count").alias("probable"))
 
@@ -102,7 +102,7 @@ def blame_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     match = F.when((F.col("o_orderstatus") == "P") & (k % 2 == 1), '"probable"').otherwise("null")
     turns = '[{"position":1,"tool":"Edit","files":["f"],"excerpt":["q"],"agent_id":null},{"position":2,"files":null,"agent_id":"a"},{"position":3,"files":[]}]'
     raw = _raw('{"state":"', state, '","match_kind":', match, ',"recorded_sha":"s', k, '","grades":["derived","declared"],"turns":' + turns + ',"window":{"first":1,"last":3,"total":', k, '},"files_without_turn":', n % 3, "}")
-    b = load(spark, sf_dir, "orders").select("o_orderkey", decode.blame_payload(raw).alias("b")).filter("b is not null")
+    b = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).select("o_orderkey", decode.sound(decode.blame_payload(raw)).alias("b"))
     count = lambda c: F.when(F.col("b.turns").isNotNull(), F.size(c)).cast("long")
     return b.select(
         "o_orderkey",
@@ -122,7 +122,7 @@ SELECT event_id, CASE event_type WHEN 'click' THEN 'unreachable' WHEN 'signup' T
        CASE event_type WHEN 'view' THEN '{"a":' || user_id || '}' WHEN 'purchase' THEN '[]' END AS answer, CASE event_type WHEN 'view' THEN FALSE WHEN 'purchase' THEN TRUE END AS is_error,
        CAST(CASE event_type WHEN 'error' THEN -32000 - user_id END AS BIGINT) AS code, CASE event_type WHEN 'error' THEN 'no' END AS message FROM events""")
 def tool_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events")
+    e = spread(load(spark, sf_dir, "events").select("event_id", "event_type", "user_id"))
     status = mapped("event_type", {"view": 200, "purchase": 200, "signup": 401, "error": 200})
     ok = _raw('{"result":{"content":[{"type":"text","text":"{\\"a\\":', F.col("user_id"), '}"}],"isError":false}}')
     failed = _raw('{"error":{"code":', -32000 - F.col("user_id"), ',"message":"no"}}')
@@ -138,7 +138,7 @@ def error_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of error bodies, nested or not; a long or broken body says nothing."""
     body = F.when(F.col("event_type") == "view", _raw('{"error":{"code":"owner_pending","owners_notified":', F.col("user_id"), "}}"))
     body = body.when(F.col("event_type") == "purchase", '{"code":"other"}').when(F.col("event_type") == "click", _raw('{"code":"', F.repeat(F.lit("x"), F.lit(70_000)), '"}')).otherwise("<html>")
-    d = load(spark, sf_dir, "events").select("event_id", decode.error_detail(body).alias("d"))
+    d = spread(load(spark, sf_dir, "events").select("event_id", "event_type", "user_id")).select("event_id", decode.error_detail(body).alias("d"))
     return d.select("event_id", "d.code", F.col("d.owners_notified").alias("owners"), F.col("d.owners_recorded").alias("recorded"), decode.approval_pending(F.col("d"), "owner_pending").alias("pending"))
 
 
@@ -148,7 +148,7 @@ def blame_porcelain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as blamed lines; a line that isn't committed yet has the zero sha and goes."""
     sha = F.when(F.col("role") == "system", "0" * 40).otherwise(F.left(F.sha2(F.col("conv_id").cast("string").cast("binary"), 256), F.lit(40)))
     out = _raw(sha, " 7 ", F.col("turn"), " 1\nauthor A B\nauthor-mail <a@b>\nauthor-time ", F.col("conv_id") * 3600, "\nauthor-tz -1000\nsummary author-time 5\nfilename f\n\tcode")
-    b = load(spark, sf_dir, "conversations").select("conv_id", "turn", decode.blame_porcelain(out).alias("b")).filter("b is not null")
+    b = load(spark, sf_dir, "conversations").select("conv_id", "turn", decode.sound(decode.blame_porcelain(out)).alias("b"))
     return b.select("conv_id", "turn", "b.sha", "b.line", "b.epoch", F.col("b.offset").alias("tz"))
 
 

@@ -17,6 +17,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt to all cores where the input has fewer splits than that, before costly work
+    on each of them; an input of many splits is left as it lies, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def mapped(column: str, values: dict) -> Column:
     out = F.lit(None)
     for k, v in values.items():

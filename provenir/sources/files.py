@@ -18,7 +18,7 @@ _BINARY = "path string, modificationTime timestamp, length long, content binary"
 def hook_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Valid events of newline-delimited JSON; invalid records are dropped."""
     lines = (spark.readStream if stream else spark.read).schema("value string").text(path)
-    return lines.select(decode.hook_event(F.col("value")).alias("e")).filter("e is not null").select("e.*")
+    return lines.select(decode.sound(decode.hook_event(F.col("value"))).alias("e")).select("e.*")
 
 
 def transcript_listing(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -48,7 +48,7 @@ def current_transcript(listing: DataFrame) -> DataFrame:
 def spool(spark: SparkSession, path: str) -> DataFrame:
     """Observed commits in file order: (path, line_no, sha, branch, at, files)."""
     lines = byte_log.numbered(byte_log.log_lines(spark, path))
-    return lines.select("path", "line_no", decode.spool_entry(F.col("line")).alias("e")).filter("e is not null").select("path", "line_no", "e.*")
+    return lines.select("path", "line_no", decode.sound(decode.spool_entry(F.col("line"))).alias("e")).select("path", "line_no", "e.*")
 
 
 def session_states(spark: SparkSession, path: str) -> DataFrame:
@@ -75,4 +75,4 @@ def tree_manifest(spark: SparkSession, path: str) -> DataFrame:
 def blame_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha, line, epoch, offset) from files of porcelain output, one line each."""
     files = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    return files.select("path", decode.blame_porcelain(F.col("value")).alias("b")).filter("b is not null").select("path", "b.*")
+    return files.select("path", decode.sound(decode.blame_porcelain(F.col("value"))).alias("b")).select("path", "b.*")
