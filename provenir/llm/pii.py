@@ -2,24 +2,33 @@
 
 Everything runs as DataFrame expressions.  Four base kinds (email, ip, card, phone) are
 found by patterns with checks and always stay.  Further candidates (secrets, obfuscated
-mail addresses, phone numbers without a plus) are voted on, together with the base spans,
-by five labelers: format, gazetteer of preceding words, delimiters around, variety of
-signs, and length.  Votes are counted per pattern (at most a few thousand rows, whatever
-the input); expectation-maximisation estimates each labeler's reliability and each
-pattern's probability, and a logistic span classifier is trained on those soft labels.
+mail addresses, phone numbers without a plus) are voted on by six labelers, each for,
+against or abstaining, by rules of their own for each kind: words before that announce
+personal data or something else (a commit, a checksum, an order), the signs around, the
+shape, the variety of signs, the changes between letters and digits (digits in base 16 tell
+nothing by these two), and what is known not to be personal: paths, dated slugs, words
+joined by dashes, numbers right behind a word for something else, a sentence's end where an
+address should go on.  The last ones are the negative evidence.  Votes are counted
+per pattern (at most 1,458 rows, whatever the input); expectation-maximisation, from a
+stated prior that the corpus moves, estimates each labeler's reliability, and a logistic
+span classifier is trained on the soft labels of all patterns that could occur, those that
+did weighing most.  Base spans take no part in either: all true, they would teach nothing.
 
 The patterns below start only where a leftmost match can start and are possessive where
 nothing follows, so that long runs cost linear time and no stack.
 
 Defined cases: null text counts as empty; equal texts have equal spans; offsets are code
-points, ends exclusive; a candidate that overlaps a base span is dropped; an empty table
-trains nothing and adds nothing.
+points, ends exclusive; a candidate that overlaps a base span is dropped; keys of fewer than
+20 signs are no candidates; rows that repeat an id or a text are judged alike; an empty
+table leaves the prior as it is; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +47,30 @@ KEY = r"(?<![0-9A-Za-z_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[0-9A-
 SPELLED = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(.] ?(?:dot|DOT)? ?[\])]? ?[A-Za-z0-9-]{2,}+)++"
 LOCAL = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
 EXTRA = f"(?:{SECRET})|(?:{SPELLED})|(?:{LOCAL})|(?:{KEY})"
-#: Words that announce personal data.
-GAZETTEER = ("account", "address", "api", "auth", "call", "card", "contact", "email", "fax", "host", "ip", "key", "mail", "mobile", "passwd", "password", "phone", "secret", "server", "ssn", "tel", "telephone", "token", "visa")
-LABELERS, CONTEXT, DECIDE, ROUNDS, CUT = 5, 24, 0.5, 60, 8192
+#: Words that announce personal data of a kind (email, phone, secret), and words that announce something else.
+ANNOUNCE = {
+    0: ("address", "contact", "email", "mail", "mailto", "reach", "write"),
+    3: ("call", "cell", "contact", "dial", "fax", "mobile", "phone", "ring", "sms", "tel", "telephone", "text", "whatsapp"),
+    4: ("api", "apikey", "auth", "authorization", "bearer", "credential", "credentials", "key", "passphrase", "passwd", "password", "private", "pwd", "secret", "token"),
+}
+OTHER = (
+    "article", "at", "blob", "checksum", "chapter", "class", "commit", "digest", "docs", "etag", "figure", "file", "folder", "function", "hash", "invoice", "isbn", "issue",
+    "item", "md", "merge", "order", "page", "parent", "part", "path", "post", "ref", "rev", "revision", "serial", "sha", "slug", "tree", "url", "uuid", "version",
+)
+DOMAINS = "com|org|net|edu|gov|info|io|co|de|fr|es|uk|it|eu|ch|at|nl"
+LABELERS, CONTEXT, DECIDE, ROUNDS, CUT, NEAR = 6, 40, 0.5, 60, 8192, 3
+FOR, AGAINST, ABSTAIN = 1, 0, 2
+#: Prior reliabilities: chances of a vote (against, for, abstain) of a false and of a true candidate.
+PRIOR = (
+    ((0.40, 0.03, 0.57), (0.02, 0.55, 0.43)),
+    ((0.30, 0.10, 0.60), (0.05, 0.50, 0.45)),
+    ((0.60, 0.15, 0.25), (0.20, 0.55, 0.25)),
+    ((0.40, 0.35, 0.25), (0.05, 0.70, 0.25)),
+    ((0.50, 0.25, 0.25), (0.10, 0.65, 0.25)),
+    ((0.50, 0.01, 0.49), (0.01, 0.01, 0.98)),
+)
+#: Prior share of true candidates; weight of the priors of a labeler and of that share, in patterns.
+SHARE, STRENGTH, SHARE_STRENGTH = 0.3, 20.0, 100.0
 _SPAN = "struct<start:int,kind:int,end:int,text:string,before:string,after:string>"
 _NONE = f"array<{_SPAN}>"
 
@@ -132,26 +162,49 @@ def extra_spans(text: Column) -> Column:
     return F.transform(raw, lambda x: x.withField("kind", kind(x["text"])))
 
 
-def voted(spans: Column) -> Column:
-    """Adds to each span its labelers' votes (0 against, 1 for, 2 abstains) and a length class."""
-
-    def votes(x: Column) -> Column:
-        m, kind = x["text"], x["kind"]
-        before, after = x["before"], x["after"]
-        digits = F.length(_digits(m))
-        strict = F.when(kind == 0, m.contains("@")).when(kind == 3, m.startswith("+") | m.startswith("(")).when(kind == 4, F.when(m.rlike("^[0-9A-Fa-f]+$"), F.length(m) % 8 == 0).otherwise(m.rlike("[0-9].*[0-9].*[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]"))).otherwise(F.lit(True))
-        word = F.lower(F.regexp_extract(before, r"([A-Za-z]+)[^A-Za-z]*$", 1))
-        open_ = before.rlike(r"(^|[\s\"'=:<(\[,;|])$") & after.rlike(r"^($|[\s\"'>)\],;:.!?|%&*$#])")
-        varied = F.size(F.array_distinct(F.split(m, ""))) >= 5
-        sized = F.when(kind == 0, F.length(m).between(6, 100)).when(kind == 1, F.length(m) >= 7).when(kind == 2, digits.between(13, 19)).when(kind == 3, digits.between(9, 15)).otherwise(F.length(m) >= 24)
-        bit = lambda c: F.when(c, 1).otherwise(0)
-        return F.struct(bit(strict).alias("v0"), F.when(word.isin(*GAZETTEER), 1).otherwise(2).alias("v1"), bit(open_).alias("v2"), bit(varied).alias("v3"), bit(sized).alias("v4"), F.least(F.length(m) / 10, F.lit(7)).cast("int").alias("size"))
+def _labels(x: Column) -> list[Column]:
+    """The labelers' votes on one further candidate."""
+    m, kind, before, after = x["text"], x["kind"], x["before"], x["after"]
+    vote = lambda good, bad: F.when(bad, AGAINST).when(good, FOR).otherwise(ABSTAIN)
+    by_kind = lambda email, phone, secret: F.when(kind == 0, email).when(kind == 3, phone).otherwise(secret)
+    words = F.regexp_extract_all(F.lower(before), F.lit("[a-z]+"), F.lit(0))
+    near = F.slice(words, F.greatest(F.size(words) - (NEAR - 1), F.lit(1)), NEAR)
+    named = lambda names: F.exists(near, lambda w: w.isin(*names))
+    announced = by_kind(named(ANNOUNCE[0]), named(ANNOUNCE[3]), named(ANNOUNCE[4]))
+    context = F.when(announced & ~named(OTHER), FOR).when(named(OTHER) & ~announced, AGAINST).otherwise(ABSTAIN)
+    quoted = before.rlike("[\"']$") & after.rlike("^[\"']")
+    around = vote(before.rlike("[=:<] ?$") | quoted | (before.rlike("[=:] ?[\"']$")), before.rlike("[/\\\\#@.$]$") | after.rlike("^[/\\\\@]"))
+    digits, letters = _digits(m), F.regexp_replace(m, "[^A-Za-z]", "")
+    hexed = m.rlike("^[0-9A-Fa-f]+$")
+    joined = m.rlike("(?:^|[-_/])[a-z]{3,}[-_/](?:[a-z0-9.]*[-_/])*[a-z]{3,}(?:$|[-_/])")
+    mixed = m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9]")
+    spelled = m.rlike("(?i)[\\[(] ?dot ?[\\])]| dot ") | m.rlike(f"[a-z0-9-][.](?:[a-z0-9-]+[.])*(?:{DOMAINS})$")
+    even = m.rlike(r"^\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}$")
+    shape = by_kind(vote(spelled, m.rlike("[.] [A-Z]")), vote(even, ~even), vote(mixed | m.rlike("^[A-Z]{2,}[A-Z0-9]*[0-9]") | m.rlike("^[a-z]{2,}_[a-z]+_[0-9A-Za-z]"), hexed | joined))
+    kinds = F.size(F.array_distinct(F.split(m, "")))
+    variety = by_kind(vote(kinds >= 8, kinds < 5), vote(F.size(F.array_distinct(F.split(digits, ""))) >= 4, F.size(F.array_distinct(F.split(digits, ""))) < 3), vote((kinds >= 10) & ~joined & ~hexed, (kinds < 8) | joined))
+    # runs of letters and of digits, without the signs between them
+    runs = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[^A-Za-z0-9]", ""), "[A-Za-z]+", "a"), "[0-9]+", "0"))
+    tail = m.rlike(f"(?i)(?:[.]|dot[\\])]? ?)(?:{DOMAINS})$")
+    changes = by_kind(vote(tail, ~tail & m.rlike("[.] [A-Z]|[^A-Za-z][A-Za-z]{1,2}$")), vote(~digits.rlike("^[01]"), digits.rlike("^0{3}")), vote(((runs >= 5) & ~hexed) | (m.rlike("[a-z][A-Z]") & (runs >= 3)), (runs <= 2) | (F.length(letters) >= 0.9 * F.length(m))))
+    path = m.rlike("^/?(?:[a-z][a-z._-]*[0-9]{0,2}/){2,}[A-Za-z0-9._-]*$")
+    named_so = F.exists(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), lambda w: w.isin(*OTHER)) & ~announced
+    known = by_kind(m.rlike("[.] [A-Z]"), named_so, (hexed & named_so) | path | m.rlike("^[0-9]{4}[-_/][0-9]{2}[-_/][0-9]{2}(?:[-_/]|$)") | (joined & ~mixed & ~m.rlike("[0-9][a-z]+[0-9]")))
+    return [context, around, shape, variety, changes, F.when(known, AGAINST).otherwise(ABSTAIN)]
+
 
+def voted(spans: Column) -> Column:
+    """Each span with its labelers' votes (0 against, 1 for, 2 abstains)."""
+    votes = lambda x: F.struct(*(v.alias(f"v{k}") for k, v in enumerate(_labels(x))))
     return F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"], votes(x).alias("votes")))
 
 
+def placed(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"], x["kind"], x["end"]))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``base`` and ``extra``, arrays of voted spans, to rows with a ``text``."""
+    """Adds ``base``, an array of spans, and ``extra``, one of voted spans, to rows with a ``text``."""
     rows = docs.withColumn("text_", F.coalesce("text", F.lit("")))
     rows = rows.withColumns({"base_": base_spans(F.col("text_")), "extra_": extra_spans(F.col("text_"))})
     extra = F.col("extra_")
@@ -160,60 +213,87 @@ def candidates(docs: DataFrame) -> DataFrame:
     apart = lambda cs: F.filter(extra, lambda x: ~F.exists(cs, lambda c: meets(x, c) & F.exists(c["spans"], lambda y: meets(x, y))))
     near = F.when(F.size("base_") > 0, F.transform(_chunks(F.col("base_")), bounded)).otherwise(F.array().cast(f"array<struct<start:int,end:int,spans:{_NONE}>>"))
     clear = F.when(F.size(extra) > 0, _let(near, apart)).otherwise(extra)
-    return rows.withColumns({"base": voted(F.col("base_")), "extra": voted(clear)}).drop("text_", "base_", "extra_")
+    return rows.withColumns({"base": placed(F.col("base_")), "extra": voted(clear)}).drop("text_", "base_", "extra_")
 
 
 def vote_patterns(found: DataFrame) -> list[tuple[tuple[int, ...], int]]:
-    """((kind, v0..v4, size), count) over all candidates: at most 5 * 2**4 * 2 * 8 patterns."""
-    flat = found.select(F.explode(F.concat("base", "extra")).alias("s")).select("s.kind", "s.votes.*")
+    """((kind, v0..v5), count) over all further candidates: at most 3 * 3**5 * 2 patterns."""
+    flat = found.select(F.explode("extra").alias("s")).select("s.kind", "s.votes.*")
     return sorted((tuple(r[:-1]), r[-1]) for r in flat.groupBy(*flat.columns).count().collect())
 
 
-def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], list[list[list[float]]]]:
-    """EM of the two-class labeler model: (posterior of each pattern, P(vote | class) tables)."""
-    votes = [p[1 : 1 + LABELERS] for p, _ in patterns]
-    post = [min(0.95, max(0.05, (sum(x == 1 for x in v) + 0.5) / (sum(x != 2 for x in v) + 1))) for v in votes]
-    tables: list[list[list[float]]] = []
+Tables = list[list[list[float]]]
+
+
+def posterior(votes: tuple[int, ...], share: float, tables: Tables) -> float:
+    """Probability that a candidate with these votes is true; a known structure makes it false."""
+    if votes[LABELERS - 1] == AGAINST:
+        return 0.0
+    odds = math.log(share / (1 - share)) + sum(math.log(tables[k][1][x] / tables[k][0][x]) for k, x in enumerate(votes))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+
+
+def reliabilities(patterns: list[tuple[tuple[int, ...], float]], rounds: int = ROUNDS, strength: float = STRENGTH, share_strength: float = SHARE_STRENGTH) -> tuple[float, Tables]:
+    """EM of the two-class labeler model: (share of true candidates, chances tables[labeler][class][vote]).
+
+    patterns are (kind and votes, weight).  The prior counts as ``strength`` candidates of
+    each class, so that a corpus of one pattern can't overturn what the labelers mean.
+    """
+    share, tables = SHARE, [[list(row) for row in labeler] for labeler in PRIOR]
     for _ in range(rounds):
-        mass = [sum(n * (p if c else 1 - p) for (_, n), p in zip(patterns, post, strict=True)) for c in (0, 1)]
-        prior = (mass[1] + 1) / (sum(mass) + 2)
-        # a labeler is assumed better than chance: pseudo-counts favour votes for true spans
-        tables = [[[3.0 if x != c else 6.0 for x in (0, 1, 2)] for c in (0, 1)] for _ in range(LABELERS)]
-        for (_, n), v, p in zip(patterns, votes, post, strict=True):
-            for k, x in enumerate(v):
-                tables[k][1][x] += n * p
-                tables[k][0][x] += n * (1 - p)
-        tables = [[[x / sum(row) for x in row] for row in t] for t in tables]
-        for i, v in enumerate(votes):
-            odds = math.log(prior / (1 - prior)) + sum(math.log(tables[k][1][x] / tables[k][0][x]) for k, x in enumerate(v))
-            post[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    return post, tables
+        post = [posterior(p[1:], share, tables) for p, _ in patterns]
+        mass = [sum(n * (y if c else 1 - y) for (_, n), y in zip(patterns, post, strict=True)) for c in (0, 1)]
+        share = (share_strength * SHARE + mass[1]) / (share_strength + sum(mass)) if share_strength + sum(mass) else SHARE
+        share = min(0.99, max(0.01, share))
+        tables = [[[max(1e-6, strength * x) for x in row] for row in labeler] for labeler in PRIOR]
+        for (p, n), y in zip(patterns, post, strict=True):
+            for k, x in enumerate(p[1:]):
+                tables[k][1][x] += n * y
+                tables[k][0][x] += n * (1 - y)
+        tables = [[[x / sum(row) for x in row] for row in labeler] for labeler in tables]
+    return share, tables
+
+
+def all_patterns() -> list[tuple[int, ...]]:
+    """Every pattern that a candidate can have."""
+    return [(kind, *v, last) for kind in ANNOUNCE for v in product((AGAINST, FOR, ABSTAIN), repeat=LABELERS - 1) for last in (AGAINST, ABSTAIN)]
 
 
 def _features(pattern: tuple[int, ...]) -> list[str]:
-    kind, *rest = pattern
-    return ["bias", f"kind={kind}", *(f"v{k}={x}" for k, x in enumerate(rest[:LABELERS])), f"size={rest[LABELERS]}"]
+    kind, *votes = pattern
+    return ["bias", f"kind={kind}", *(f"v{k}={x}" for k, x in enumerate(votes))]
+
 
+def train_classifier(patterns: list[tuple[tuple[int, ...], float]], share: float, tables: Tables, steps: int = 400) -> dict[str, float]:
+    """Logistic weights of one-hot span features, fitted to the soft labels of all patterns.
 
-def train_classifier(patterns: list[tuple[tuple[int, ...], int]], post: list[float], steps: int = 300) -> dict[str, float]:
-    """Logistic weights of one-hot span features, fitted to the soft labels."""
-    weights: dict[str, float] = {}
-    total = sum(math.log1p(n) for _, n in patterns) or 1.0
-    rows = [(_features(p), math.log1p(n) / total, y) for (p, n), y in zip(patterns, post, strict=True)]
+    A pattern weighs what its kind's share of the model expects of it, and what was seen of it.
+    """
+    seen = dict(patterns)
+    rows = all_patterns()
+    names = sorted({x for p in rows for x in _features(p)})
+    at = {x: i for i, x in enumerate(names)}
+    chance = lambda votes, c: math.prod(tables[k][c][x] for k, x in enumerate(votes))
+    weight = np.array([share * chance(p[1:], 1) + (1 - share) * chance(p[1:], 0) + 1e-4 for p in rows])
+    weight = weight / weight.sum()
+    if seen:
+        told = np.array([seen.get(p, 0.0) for p in rows])
+        weight = 0.5 * weight + 0.5 * told / told.sum()
+    label = np.array([posterior(p[1:], share, tables) for p in rows])
+    x = np.zeros((len(rows), len(names)))
+    for i, p in enumerate(rows):
+        x[i, [at[f] for f in _features(p)]] = 1
+    w = np.zeros(len(names))
     for _ in range(steps):
-        slope: dict[str, float] = {}
-        for names, n, y in rows:
-            p = 1 / (1 + math.exp(-sum(weights.get(x, 0.0) for x in names)))
-            for x in names:
-                slope[x] = slope.get(x, 0.0) + n * (y - p)
-        for x, g in slope.items():
-            weights[x] = weights.get(x, 0.0) * 0.999 + 4.0 * g
-    return {x: round(w, 6) for x, w in sorted(weights.items())}
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w = 0.9995 * w + 4.0 * (x.T @ (weight * (label - p)))
+    return {name: round(float(v), 6) for name, v in zip(names, w, strict=True)}
 
 
 def fit(found: DataFrame) -> dict[str, float]:
-    patterns = vote_patterns(found)
-    return train_classifier(patterns, reliabilities(patterns)[0])
+    """Weights of the span classifier from all candidates of ``found``; a pattern weighs the log of its count."""
+    patterns = [(p, math.log1p(n)) for p, n in vote_patterns(found)]
+    return train_classifier(patterns, *reliabilities(patterns))
 
 
 def probability(span: Column, weights: dict[str, float]) -> Column:
@@ -224,7 +304,7 @@ def probability(span: Column, weights: dict[str, float]) -> Column:
             out = F.when(value == int(x), w).otherwise(out)
         return out
 
-    total = F.lit(weights.get("bias", -20.0)) + pick("kind", span["kind"]) + pick("size", span["votes"]["size"])
+    total = F.lit(weights.get("bias", -20.0)) + pick("kind", span["kind"])
     for k in range(LABELERS):
         total = total + pick(f"v{k}", span["votes"][f"v{k}"])
     return 1 / (1 + F.exp(-total))
