@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provenir.plans.registry import query
-from provenir.plans.standins import load
+from provenir.plans.standins import load, mapped
 from provenir.runtime import materialize, shared_dir
 from provenir.sources import byte_log, files
+from provenir.streaming import delivery
 
 
 def _one_line(text: str = "text") -> Column:
@@ -71,3 +72,35 @@ def tailed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema("line string").parquet(out)
     return found.select(F.substring_index("line", "\t", 1).cast("long").alias("doc_id"), "line")
+
+
+IDLE_MS = 6 * 3_600_000
+_IDLE_SQL = f"""
+WITH a AS (SELECT *, epoch_us(happened) // 1000 AS at_ms FROM (
+  SELECT user_id AS key, ts AS happened, event_id AS attempt_id, CASE event_type WHEN 'view' THEN 'ok' WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'never' ELSE 'later' END AS outcome,
+    CAST(sum(1 + CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS eof FROM events)),
+g AS (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER w <= {IDLE_MS} THEN 0 ELSE 1 END AS fresh FROM a WINDOW w AS (PARTITION BY key ORDER BY at_ms, attempt_id)),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY at_ms, attempt_id ROWS UNBOUNDED PRECEDING) AS island FROM g),
+c AS (SELECT *, coalesce(max(CASE WHEN outcome IN ('ok', 'never') THEN eof END) OVER (PARTITION BY key, island ORDER BY at_ms, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
+f AS (SELECT key, island, max(eof) AS eof, coalesce(max(CASE WHEN outcome IN ('ok', 'never') THEN eof END), 0) AS sent, count(*) AS seq, max(at_ms) AS last,
+    coalesce(sum(CASE WHEN outcome = 'never' THEN eof - before END), 0) AS gap_bytes, count(*) FILTER (outcome = 'never') AS gap_count FROM c GROUP BY key, island)
+SELECT CAST(key AS VARCHAR) AS session, seq, eof AS sent, CAST(gap_bytes + eof - sent AS BIGINT) AS gap_bytes, gap_count + 1 AS gap_count FROM f
+WHERE eof > sent AND last + {IDLE_MS} + 1 <= (SELECT max(at_ms) FROM a) - 600000"""
+
+
+@query(_IDLE_SQL)
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as attempts of one sub-agent file a user, streamed: what sessions lack that fell silent for six hours."""
+    path, out, place = (_folder(spark, x) for x in ("attempts", "ended", "progress"))
+    e = load(spark, sf_dir, "events")
+    size = (1 + F.round(F.col("value") * 100)).cast("long")
+    eof = F.sum(size).over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    outcome = mapped("event_type", {"view": "ok", "purchase": "ok", "signup": "never", "click": "later", "error": "later"})
+    at_ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
+    rows = e.select(F.col("user_id").cast("string").alias("session"), F.lit("agent-1").alias("file"), at_ms.alias("at_ms"), F.col("event_id").alias("attempt_id"), eof.alias("eof"), outcome.alias("outcome"), F.lit("").alias("fingerprint"), F.lit(False).alias("last"))
+    rows.write.parquet(path)
+    inf = float("inf")
+    found = delivery.timed_deliveries(spark.readStream.schema(delivery.ATTEMPT).parquet(path), IDLE_MS, caps=(inf, inf, inf)).filter("result = 'session-ended'")
+    with delivery.state_store(spark):
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(delivery.DELIVERY).parquet(out).select("session", "seq", "sent", "gap_bytes", "gap_count")

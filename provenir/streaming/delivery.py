@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from provenir.functions.policy import CAP_AGE_MS, CAP_BYTES, CAP_ENTRIES
+from provenir.functions.policy import CAP_AGE_MS, CAP_BYTES, CAP_ENTRIES, LIVE_SECONDS
 from provenir.operators.ledger import Stream
 
 ATTEMPT = "session string, file string, at_ms long, attempt_id long, eof long, outcome string, fingerprint string, last boolean"
@@ -33,24 +34,34 @@ class LedgerProcessor(StatefulProcessor):
         self.session = handle.getValueState("session", "seq long, stopped string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.session.get() if self.session.exists() else (0, None)
-        seq, stopped = held[0], held[1]
         pdf = pd.concat(list(rows)).sort_values(["at_ms", "attempt_id"], kind="stable")
-        open_: dict[str, Stream] = {}
-        out = []
-        for r in pdf.itertuples(index=False):
-            s = open_.get(r.file) or self._load(r.file)
-            open_[r.file] = s
-            s.seq, s.stopped = seq, stopped
-            result = s.apply(int(r.eof), r.outcome, int(r.at_ms), r.fingerprint, self.caps)
-            seq, stopped = s.seq, s.stopped
-            if r.last and r.file != "main":
-                s.close(int(r.eof))
-            out.append((key[0], r.file, r.attempt_id, seq, result, s.sent, len(s.backlog), s.gap_bytes, s.gap_count))
-        for name, s in open_.items():
+        self._open()
+        out = [line for r in pdf.itertuples(index=False) for line in self._attempt(key[0], r)]
+        self._save()
+        yield _rows(out)
+
+    def _open(self) -> None:
+        self.seq, self.stopped = self.session.get() if self.session.exists() else (0, None)
+        self.held: dict[str, Stream] = {}
+
+    def _stream(self, name: str) -> Stream:
+        s = self.held.get(name) or self._load(name)
+        s.seq, s.stopped = self.seq, self.stopped
+        self.held[name] = s
+        return s
+
+    def _attempt(self, session: str, r) -> Iterator[tuple]:
+        s = self._stream(r.file)
+        result = s.apply(int(r.eof), r.outcome, int(r.at_ms), r.fingerprint, self.caps)
+        self.seq, self.stopped = s.seq, s.stopped
+        if r.last and r.file != "main":
+            s.close(int(r.eof))
+        yield session, r.file, r.attempt_id, self.seq, result, s.sent, len(s.backlog), s.gap_bytes, s.gap_count
+
+    def _save(self) -> None:
+        for name, s in self.held.items():
             self.files.updateValue((name,), (s.sent, [tuple(b) for b in s.backlog], s.gap_bytes, s.gap_count, s.last_sent_at))
-        self.session.update((seq, stopped))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in DELIVERY.split(", ")])
+        self.session.update((self.seq, self.stopped))
 
     def _load(self, name: str) -> Stream:
         if not self.files.containsKey((name,)):
@@ -62,6 +73,98 @@ class LedgerProcessor(StatefulProcessor):
         pass
 
 
+def _rows(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[x.split()[0] for x in DELIVERY.split(", ")]).astype({"attempt_id": "Int64"})
+
+
+class IdleSessions(LedgerProcessor):
+    """The ledger of sessions that end by silence: ``idle_ms`` of event time without an attempt.
+
+    At its end every sub-agent file that is still behind what was seen of it is stamped as a
+    gap, once (result ``session-ended``, without an attempt), and all state of the session
+    goes.  An attempt behind a longer silence ends the session before it even if both come in
+    one micro-batch, so that results don't depend on how the stream is cut; what no attempt
+    ends, a timer does when the watermark passes.  An attempt that comes after the end begins
+    the session anew, from offset 0 and sequence 1, which a receiver that keeps one row per
+    offset ignores; one that is older than the watermark is dropped by the engine.
+    """
+
+    def __init__(self, idle_ms: int, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> None:
+        super().__init__(caps)
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.ends = handle.getMapState("ends", "file string", "eof long")
+        self.touched = handle.getValueState("touched", "at_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = pd.concat(list(rows)).sort_values(["at_ms", "attempt_id"], kind="stable")
+        last = self.touched.get()[0] if self.touched.exists() else None
+        if last is not None:
+            self.handle.deleteTimer(last + self.idle_ms + 1)
+        self._open()
+        self.seen = self._seen()
+        out = []
+        for r in pdf.itertuples(index=False):
+            if last is not None and r.at_ms - last > self.idle_ms:
+                out += self._ended(key[0])
+            out += self._attempt(key[0], r)
+            self.seen[r.file] = int(r.eof)
+            last = max(last or 0, int(r.at_ms))
+        self._save()
+        for name, eof in self.seen.items():
+            self.ends.updateValue((name,), (eof,))
+        self.touched.update((last,))
+        self.handle.registerTimer(last + self.idle_ms + 1)
+        yield _rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._open()
+        self.seen = self._seen()
+        yield _rows(self._ended(key[0]))
+
+    def _seen(self) -> dict[str, int]:
+        return {k[0]: v[0] for k, v in self.ends.iterator()} if self.ends.exists() else {}
+
+    def _ended(self, session: str) -> list[tuple]:
+        """Rows of the gaps that the end leaves; the session's state is empty afterwards."""
+        out = []
+        for name, eof in sorted(self.seen.items()):
+            s = self._stream(name)
+            before = s.gap_count
+            if name != "main":
+                s.close(eof)
+            if s.gap_count > before:
+                out.append((session, name, None, self.seq, "session-ended", s.sent, 0, s.gap_bytes, s.gap_count))
+        for state in (self.files, self.ends, self.session, self.touched):
+            state.clear()
+        self.seq, self.stopped, self.held, self.seen = 0, None, {}, {}
+        return out
+
+
+def timed_deliveries(attempts: DataFrame, idle_ms: int = LIVE_SECONDS * 1000, late: str = "10 minutes", caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> DataFrame:
+    """``deliveries`` of a stream whose sessions end after ``idle_ms`` of silence.
+
+    The watermark follows ``at_ms``, ``late`` behind; a session's end is told once it passes.
+    """
+    rows = attempts.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late)
+    return rows.groupBy("session").transformWithStateInPandas(IdleSessions(idle_ms, caps), DELIVERY, "Append", "EventTime")
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed processors need, for the queries started inside."""
+    key, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def deliveries(attempts: DataFrame, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> DataFrame:
     """One row per attempt with the ledger after it; attempts has the columns of ATTEMPT, batch or stream.
 
