@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +59,82 @@ def resolve_repo_slug(remote: Column, path: Column, alias_host: Column | None =
     return F.coalesce(parse_remote_slug(remote, alias_host), local_slug(path))
 
 
-def with_repo_slug(repos: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Adds repo_slug to (remote, path); aliases is (alias, hostname), joined where rows need it."""
-    if aliases is None:
+def with_repo_slug(repos: DataFrame, aliases: DataFrame | None = None, rules: list[tuple[list[str], str]] | None = None) -> DataFrame:
+    """Adds repo_slug to (remote, path).
+
+    An ssh host that isn't known by itself may be an alias: ``aliases`` is (alias, hostname),
+    joined where rows need it; ``rules`` are those of a client's configuration (``ssh_rules``),
+    for hosts that no alias names.
+    """
+    if aliases is None and not rules:
         return repos.withColumn("repo_slug", resolve_repo_slug(F.col("remote"), F.col("path")))
     host, _, ssh = remote_parts(F.col("remote"))
     needs = F.when(ssh & ~F.lower(host).isin(*UNQUALIFIED), host)
-    joined = repos.withColumn("alias_", needs).join(aliases.select(F.col("alias").alias("alias_"), "hostname"), "alias_", "left")
-    return joined.withColumn("repo_slug", resolve_repo_slug(F.col("remote"), F.col("path"), F.col("hostname"))).drop("alias_", "hostname")
+    out = repos.withColumn("alias_", needs).withColumn("hostname_", F.lit(None).cast("string"))
+    if aliases is not None:
+        out = out.drop("hostname_").join(aliases.select(F.col("alias").alias("alias_"), F.col("hostname").alias("hostname_")), "alias_", "left")
+    if rules:
+        out = out.withColumn("hostname_", F.coalesce("hostname_", ssh_hostname(F.col("alias_"), rules)))
+    return out.withColumn("repo_slug", resolve_repo_slug(F.col("remote"), F.col("path"), F.col("hostname_"))).drop("alias_", "hostname_")
+
+
+#: Rules of one configuration at most: they are evaluated one after the other on every row.
+MOST_RULES = 1000
+
+
+def ssh_rules(config: str) -> list[tuple[list[str], str]]:
+    """(patterns, host name) of a client configuration's blocks that set one, in order.
+
+    Keywords have no case; a value may stand behind ``=`` and in quotes.  What precedes the
+    first block holds for every host; of several names in a block the first counts.  A
+    ``Match all`` block holds for every host, any other ``Match`` depends on more than the
+    host and is left out.
+    """
+    out: list[tuple[list[str], str]] = []
+    patterns: list[str] | None = ["*"]
+    for line in config.splitlines():
+        found = re.match(r"\s*([A-Za-z]+)(?:\s*=\s*|\s+)(.*?)\s*$", line)
+        if not found or line.lstrip().startswith("#"):
+            continue
+        word, values = found[1].lower(), re.findall(r'"([^"]*)"|(\S+)', found[2])
+        values = [a or b for a, b in values]
+        if word == "host":
+            patterns = values
+        elif word == "match":
+            patterns = ["*"] if [v.lower() for v in values] == ["all"] else None
+        elif word == "hostname" and patterns and values:
+            out.append((patterns, values[0]))
+            patterns = None
+    if len(out) > MOST_RULES:
+        raise ValueError(f"{len(out)} rules; at most {MOST_RULES} are evaluated as one column")
+    return out
+
+
+def _glob(pattern: str) -> str:
+    signs = {"*": ".*", "?": "."}
+    return "".join(signs.get(c) or (c if c.isalnum() else "\\" + c) for c in pattern)
+
+
+def ssh_hostname(host: Column, rules: list[tuple[list[str], str]]) -> Column:
+    """The host name that the first fitting rule gives a host, null without one.
+
+    A rule fits if one of its patterns does (``*`` any signs, ``?`` one) and none that begins
+    with ``!``.  In the name, ``%h`` is the host and ``%%`` a percent sign.
+    """
+    if not rules:
+        return F.lit(None).cast("string")
+
+    def rule(patterns: list[str], name: str) -> Column:
+        wanted = "|".join(_glob(p) for p in patterns if not p.startswith("!"))
+        unwanted = "|".join(_glob(p[1:]) for p in patterns if p.startswith("!"))
+        # a list of nothing but exceptions fits no host
+        return F.struct(F.lit(f"^(?:{wanted})$" if wanted else "$^x").alias("wanted"), F.lit(f"^(?:{unwanted})$" if unwanted else "$^x").alias("unwanted"), F.lit(name).alias("name"))
+
+    table = F.array(*(rule(p, n) for p, n in rules))
+    fits = F.filter(table, lambda r: F.rlike(host, r["wanted"]) & ~F.rlike(host, r["unwanted"]))
+    name = F.get(fits, F.lit(0))["name"]
+    halves = F.transform(F.split(name, "%%"), lambda x: F.replace(x, F.lit("%h"), host))
+    return F.array_join(halves, "%")
 
 
 def sanitise(value: Column) -> Column:

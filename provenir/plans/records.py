@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provenir.functions import decode, identity, policy, text
+from provenir.functions import decode, identity, policy, redaction, text
 from provenir.operators import attribution, keyed, ledger, manifest, patches
 from provenir.plans.registry import query
 from provenir.plans.standins import load, mapped, spread
@@ -360,6 +360,50 @@ def pinned_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.pinned_mentions(lines, pins).withColumn("line", F.md5("line"))
 
 
+_SSH_CONFIG = """
+Host *.example.net !m.* !www.*
+  HostName %h.mirror.test
+Host m.*
+  User git
+  HostName mobile.test
+host = "????????.example.???"
+  hostname eight.test
+Match exec "true"
+  HostName never.test
+Host www.* *.org
+  HostName bad_name!
+Host *
+  HostName late.test
+"""
+
+
+@query(r"""
+SELECT page_id, host, CASE WHEN hostname = 'bad_name!' THEN host ELSE hostname END || '/o/p' || page_id AS repo_slug FROM (
+  SELECT *, CASE WHEN regexp_matches(host, '^.*\.example\.net$') AND NOT regexp_matches(host, '^(m|www)\.') THEN host || '.mirror.test' WHEN starts_with(host, 'm.') THEN 'mobile.test'
+    WHEN regexp_matches(host, '^.{8}\.example\..{3}$') THEN 'eight.test' WHEN starts_with(host, 'www.') OR regexp_matches(host, '\.org$') THEN 'bad_name!' ELSE 'late.test' END AS hostname
+  FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages))""")
+def host_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of pages as ssh hosts, looked up in a client's ordered patterns; a name that is none leaves the host."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    rows = load(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.concat(F.lit("git@"), host, F.lit(":o/p"), F.col("page_id").cast("string"), F.lit(".git")).alias("remote"), F.lit("/x").alias("path"))
+    return identity.with_repo_slug(rows, rules=identity.ssh_rules(_SSH_CONFIG)).select("page_id", "host", "repo_slug")
+
+
+@query("""
+SELECT doc_id, TRUE AS same_length, CAST(34 + CASE WHEN doc_id % 3 = 0 THEN 23 ELSE 0 END AS BIGINT) AS withheld,
+  md5(coalesce(text, '') || ' in /work/r' || doc_id % 7 || '/a.py, [OUT-OF-TREE]............ and ' || CASE WHEN doc_id % 3 = 0 THEN '[OUT-OF-TREE]..........' ELSE 'src/lib/x.py' END || ' https://h/a/b .........') AS text
+FROM documents""")
+def structural_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in JSON records: paths outside the record's tree go, all else stays byte for byte."""
+    d = load(spark, sf_dir, "documents")
+    tail = F.concat(F.lit(" in /work/r"), (F.col("doc_id") % 7).cast("string"), F.lit("/a.py, /home/someone/.ssh/config and "), F.when(F.col("doc_id") % 3 == 0, "/work/r99/../secret.key").otherwise("src/lib/x.py"), F.lit(" https://h/a/b /etc/pass"))
+    raw = F.to_json(F.struct(F.col("doc_id"), F.concat(F.coalesce("text", F.lit("")), tail).alias("text"), F.lit("line\nbreak").alias("note")))
+    rows = d.select("doc_id", raw.alias("raw"), F.octet_length(raw).alias("size"), F.concat(F.lit("/work/r"), (F.col("doc_id") % 7).cast("string")).alias("root"))
+    out = redaction.redact_records(rows, "raw", "root")
+    text_ = F.get_json_object("raw", "$.text")
+    return out.select("doc_id", (F.octet_length("raw") == F.col("size")).alias("same_length"), "withheld", F.md5(text_).alias("text"))
+
+
 # deliveries
 
 

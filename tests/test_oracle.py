@@ -52,7 +52,7 @@ def test_plans_prune_columns_and_push_filters(spark, sf):
 
 
 #: Ordered folds, digests over sorted lines, and files read by position.
-PYTHON = {"ledger_stateful", "ledger_uncapped", "manifest_digest", "span_reads", "spool_files", "walked_tree", "patch_groups", "patch_ids", "claims_scan"}
+PYTHON = {"ledger_stateful", "ledger_uncapped", "manifest_digest", "span_reads", "spool_files", "walked_tree", "patch_groups", "patch_ids", "claims_scan", "structural_redaction"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in PYTHON])
