@@ -122,10 +122,10 @@ def likely(percent: int = PERCENT) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): the pairs (a, b) that their sketches allow and their full sets confirm."""
+    """(a, b): the pairs (a, b), each there once, that their sketches allow and their full sets confirm."""
     own = sets.select(F.col("sid").alias("a"), "n", "sketch")
     far = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    near = materialize(pairs.join(own.hint("merge"), "a").join(far.hint("merge"), "b").filter(likely(percent)).select("a", "b").distinct(), "near")
+    near = materialize(pairs.join(own.hint("merge"), "a").join(far.hint("merge"), "b").filter(likely(percent)).select("a", "b"), "near")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, held = _Words(), None, np.zeros(0, np.uint64)
