@@ -47,13 +47,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     joins nothing, only texts do.
     """
     rows = numbered(docs)
-    found = simhash.near_duplicates(rows, "row_id").filter("row_id != component_id")
-    links = found.select(F.col("row_id").alias("a"), F.col("component_id").alias("b")).unionByName(resemblance.similar(rows, "row_id"))
-    roots = connected_components(materialize(links, "alike")).withColumnRenamed("node", "row_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_id")
-    members = materialize(roots.join(rows.select("row_id", order.alias("order")).hint("merge"), "row_id"), "members")
-    first = members.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row_id").alias("row_id"))
-    gone = members.select("row_id").join(first.hint("merge"), "row_id", "left_anti")
+    with scratch(spark):  # of all that the search writes, only the rows that go are read later
+        found = simhash.near_duplicates(rows, "row_id").filter("row_id != component_id")
+        links = found.select(F.col("row_id").alias("a"), F.col("component_id").alias("b")).unionByName(resemblance.similar(rows, "row_id"))
+        roots = connected_components(materialize(links, "alike")).withColumnRenamed("node", "row_id")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row_id")
+        members = materialize(roots.join(rows.select("row_id", order.alias("order")).hint("merge"), "row_id"), "members")
+        first = members.groupBy("component").agg(F.min("order").alias("order")).select(F.col("order.row_id").alias("row_id"))
+        gone = keep(members.select("row_id").join(first.hint("merge"), "row_id", "left_anti"), "gone")
     # rows of all documents have no size bound: a merge join at every size, not a broadcast
     return rows.join(gone.hint("merge"), "row_id", "left_anti").select(*COLUMNS)
 
@@ -77,7 +78,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     source's target is a whole multiple of its size; equal rows are drawn one by one.
     """
     rows = numbered(docs)
-    taken = materialize(mixing.mix_sources(rows, "row_id").select("row_id", "copies"), "copies")
+    with scratch(spark):
+        taken = keep(mixing.mix_sources(rows, "row_id").select("row_id", "copies"), "copies")
     times = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return rows.join(taken.hint("merge"), "row_id").select(*COLUMNS, times.alias("copy")).select(*COLUMNS)
 
