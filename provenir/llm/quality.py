@@ -148,6 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: in
     chosen = marked.filter(hash_share(marked, id_col, sample))
     # about `sample` ids and labels, never over twice as many: a bounded broadcast
     rows = docs.select(id_col, "text").join(F.broadcast(chosen.limit(2 * sample)), id_col)
+    # an id teaches one text, however often its row is repeated: what is collected stays bounded
+    first = F.min_by(F.struct("text", "quality"), F.xxhash64("text"))
+    rows = rows.groupBy(id_col).agg(first.alias("x")).select(id_col, "x.text", "x.quality")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
