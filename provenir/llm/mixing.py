@@ -7,7 +7,8 @@ move inside the null space of the constraints (expected number of documents, exp
 words) until they are 0 or 1.  Flights run per (source, block); the few units a block
 leaves fractional (at most one per constraint) meet in the next round's blocks, so each
 round shrinks the problem by the block size, and only a landing of at most two units per
-source is left, decided by its remaining probability.
+source is left: they fly on under the words alone, and the very last one goes where the
+words come nearer to the target.
 
 Defined cases: null text counts 0 words; a null source is a source of its own, ordered last;
 an empty table gives an empty result; repeated rows are separate units; reruns agree since
@@ -27,6 +28,8 @@ from provenir.llm.common import WORD, small_batches, table
 from provenir.runtime import materialize
 
 WEIGHTS, SHARE, CEILING, BLOCK_ROWS = (3, 1, 2), 1.5, 2, 4096
+#: Equal rows that one task makes from their count at a time.
+RANGE = 1024
 _EPS = 1e-9
 
 
@@ -100,6 +103,25 @@ def flight(pi: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
+def landing(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Settles the at most two units that a flight leaves.
+
+    Two of them fly on under the one constraint of words, each direction as likely as keeps
+    both expectations; the last one goes where the words come nearer to their total, so that
+    a source misses its target by half of one document at most.
+    """
+    p = p.copy()
+    left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    if len(left) == 2:
+        d = np.array([size[left[1]], -size[left[0]]])
+        room = lambda d: min((1 - x) / v if v > 0 else -x / v for x, v in zip(p[left], d, strict=True))
+        up, down = room(d), room(-d)
+        p[left] = np.clip(p[left] + (up if u[left[0]] * (up + down) < down else -down) * d, 0, 1)
+        left = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    p[left] = np.round(p[left])
+    return p
+
+
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
     """Uniform draws in [0, 1) from 64-bit keys (a splitmix finalizer)."""
     with np.errstate(over="ignore"):
@@ -120,7 +142,7 @@ def _flyer(salt: int, last: bool):
         pdf = pdf.iloc[order].reset_index(drop=True)
         p = flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(dtype=np.float64), _uniform(keys[order], 31 + salt))
         if last:
-            p = np.where((p > _EPS) & (p < 1 - _EPS), (_uniform(keys[order], 101 + salt) < p).astype(float), p)
+            p = landing(p, pdf["size"].to_numpy(dtype=np.float64), _uniform(keys[order], 101 + salt))
         pdf["pi"] = np.where(p <= _EPS, 0.0, np.where(p >= 1 - _EPS, 1.0, p))
         return pdf[["uid", "stratum", "pi", "size"]]
 
@@ -160,7 +182,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", block_rows: int = BLOCK
     counted = sizes.groupBy("id", "source", "size", "part").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("id", "source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    rows = counted.select("id", "source", "size", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("nth")).withColumn("stratum", key)
+    # a count is cut into ranges, which are dealt out before the rows of each are made
+    starts = F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"), F.lit(RANGE).cast("long")))
+    ranges = counted.select("id", "source", "size", starts.alias("first"), (F.col("before") + F.col("n")).alias("end"))
+    ranges = ranges.repartition(F.xxhash64("id", "source", "size", "first"))
+    nth = F.explode(F.sequence(F.col("first"), F.least(F.col("end"), F.col("first") + (RANGE - 1))))
+    rows = ranges.select("id", "source", "size", nth.alias("nth")).withColumn("stratum", key)
     rows = rows.withColumn("uid", F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("null")), "size", "nth", "stratum"))
     ratio = targets.withColumn("stratum", key).select("stratum", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("ratio"))
     rows = rows.join(ratio, "stratum")

@@ -719,6 +719,30 @@ def test_flight_keeps_both_totals():
     assert p.sum() == pytest.approx(pi.sum(), abs=1e-6) and (p * size).sum() == pytest.approx((pi * size).sum(), rel=1e-9)
 
 
+@given(st.lists(st.tuples(st.floats(0.01, 0.99), st.integers(1, 500)), min_size=1, max_size=60), st.integers(0, 10**6))
+@settings(max_examples=200, deadline=None)
+def test_landing_misses_by_half_a_document(units, seed):
+    pi, size = np.array([p for p, _ in units]), np.array([float(s) for _, s in units])
+    rng = np.random.default_rng(seed)
+    p = mixing.landing(mixing.flight(pi, size, rng.random(len(pi))), size, rng.random(len(pi)))
+    assert np.isin(np.where((p < 1e-9) | (p > 1 - 1e-9), np.round(p), p), (0, 1)).all()
+    assert abs((np.round(p) - pi) @ size) <= size.max() / 2 + 1e-6
+
+
+def test_equal_rows_are_spread_and_land_near_their_target(spark):
+    rows = [(None, "w " * 5, "a")] * 20_000 + [(i, "w " * (1 + i % 40), "b") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = mixing.mix_sources(docs)
+        by = {r["source_size"]: r for r in found.groupBy("source_size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert by[100_000]["n"] == 20_000 and sum(r["n"] for r in by.values()) == 20_500
+    for size, r in by.items():
+        assert abs(r["taken"] - r["target"]) <= (5 if size == 100_000 else 40) / 2 + 1e-6
+
+
 def test_draws_have_the_right_expectation():
     pi, size = np.array([0.2, 0.5, 0.7, 0.4, 0.9, 0.3]), np.array([5.0, 9, 2, 7, 4, 1])
     mean = np.mean([mixing.flight(pi, size, np.random.default_rng(s).random(6)) for s in range(3000)], 0)
