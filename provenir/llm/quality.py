@@ -157,10 +157,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", sample: in
             counts = [np.minimum(term_counts(t), 2**31 - 1).astype("<i4").tobytes() for t in utf8(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("quality").cast(pa.int32()), pa.array(counts, pa.binary())], ["id", "quality", "counts"])
 
-    found = sorted(((r["id"], r["quality"], bytes(r["counts"])) for r in rows.mapInArrow(count, "id long, quality int, counts binary").collect()))
-    if not found:
+    # as one Arrow table of at most 2 * sample rows: no row of it becomes a Python object
+    found = rows.mapInArrow(count, "id long, quality int, counts binary").toArrow().sort_by("id").combine_chunks()
+    if not found.num_rows:
         return None
-    return NeighbourModel.fit(np.stack([np.frombuffer(x[2], "<i4") for x in found]).astype(np.float32), np.array([x[1] for x in found]))
+    counts = pa.concat_arrays(found.column("counts").chunks)
+    ends = np.frombuffer(counts.buffers()[1], "<i4")[counts.offset : counts.offset + len(counts) + 1]
+    cells = np.frombuffer(counts.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<i4").reshape(len(counts), -1)
+    return NeighbourModel.fit(cells.astype(np.float32), found.column("quality").to_numpy())
 
 
 def score(docs: DataFrame, model: NeighbourModel | None, id_col: str = "doc_id") -> DataFrame:
