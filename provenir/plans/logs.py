@@ -100,7 +100,7 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select(F.col("user_id").cast("string").alias("session"), F.lit("agent-1").alias("file"), at_ms.alias("at_ms"), F.col("event_id").alias("attempt_id"), eof.alias("eof"), outcome.alias("outcome"), F.lit("").alias("fingerprint"), F.lit(False).alias("last"))
     rows.write.parquet(path)
     inf = float("inf")
-    found = delivery.timed_deliveries(spark.readStream.schema(delivery.ATTEMPT).parquet(path), IDLE_MS, caps=(inf, inf, inf)).filter("result = 'session-ended'")
+    found = delivery.timed_deliveries(spark.readStream.schema(delivery.ATTEMPT).parquet(path), IDLE_MS, caps=(inf, inf, inf), grows=True).filter("result = 'session-ended'")
     with delivery.state_store(spark):
         found.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(delivery.DELIVERY).parquet(out).select("session", "seq", "sent", "gap_bytes", "gap_count")

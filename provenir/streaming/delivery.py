@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from provenir.functions.policy import CAP_AGE_MS, CAP_BYTES, CAP_ENTRIES, LIVE_SECONDS
-from provenir.operators.ledger import Stream
+from provenir.operators.ledger import GrowingStream, Stream
 
 ATTEMPT = "session string, file string, at_ms long, attempt_id long, eof long, outcome string, fingerprint string, last boolean"
 DELIVERY = "session string, file string, attempt_id long, seq long, result string, sent long, backlog_entries long, gap_bytes long, gap_count long"
@@ -26,6 +26,8 @@ class LedgerProcessor(StatefulProcessor):
     event every sub-agent file that is still behind is stamped as a gap; the main one isn't.
     """
 
+    stream = Stream
+
     def __init__(self, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> None:
         self.caps = caps
 
@@ -65,9 +67,9 @@ class LedgerProcessor(StatefulProcessor):
 
     def _load(self, name: str) -> Stream:
         if not self.files.containsKey((name,)):
-            return Stream()
+            return self.stream()
         sent, backlog, gap_bytes, gap_count, last = self.files.getValue((name,))
-        return Stream(sent, [tuple(b) for b in backlog or []], gap_bytes, gap_count, last)
+        return self.stream(sent, [tuple(b) for b in backlog or []], gap_bytes, gap_count, last)
 
     def close(self) -> None:
         pass
@@ -87,11 +89,15 @@ class IdleSessions(LedgerProcessor):
     ends, a timer does when the watermark passes.  An attempt that comes after the end begins
     the session anew, from offset 0 and sequence 1, which a receiver that keeps one row per
     offset ignores; one that is older than the watermark is dropped by the engine.
+
+    ``grows``: files never shrink; where an attempt tells of a smaller end than one before it
+    (both in one millisecond, say), the furthest end is the file's.
     """
 
-    def __init__(self, idle_ms: int, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> None:
+    def __init__(self, idle_ms: int, caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES), grows: bool = False) -> None:
         super().__init__(caps)
-        self.idle_ms = idle_ms
+        self.idle_ms, self.grows = idle_ms, grows
+        self.stream = GrowingStream if grows else Stream
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -111,7 +117,7 @@ class IdleSessions(LedgerProcessor):
             if last is not None and r.at_ms - last > self.idle_ms:
                 out += self._ended(key[0])
             out += self._attempt(key[0], r)
-            self.seen[r.file] = int(r.eof)
+            self.seen[r.file] = max(int(r.eof), self.seen.get(r.file, 0)) if self.grows else int(r.eof)
             last = max(last or 0, int(r.at_ms))
         self._save()
         for name, eof in self.seen.items():
@@ -144,13 +150,14 @@ class IdleSessions(LedgerProcessor):
         return out
 
 
-def timed_deliveries(attempts: DataFrame, idle_ms: int = LIVE_SECONDS * 1000, late: str = "10 minutes", caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES)) -> DataFrame:
+def timed_deliveries(attempts: DataFrame, idle_ms: int = LIVE_SECONDS * 1000, late: str = "10 minutes", caps: tuple[float, float, float] = (CAP_BYTES, CAP_AGE_MS, CAP_ENTRIES), grows: bool = False) -> DataFrame:
     """``deliveries`` of a stream whose sessions end after ``idle_ms`` of silence.
 
     The watermark follows ``at_ms``, ``late`` behind; a session's end is told once it passes.
+    ``grows`` says that files never shrink (``IdleSessions``).
     """
     rows = attempts.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", late)
-    return rows.groupBy("session").transformWithStateInPandas(IdleSessions(idle_ms, caps), DELIVERY, "Append", "EventTime")
+    return rows.groupBy("session").transformWithStateInPandas(IdleSessions(idle_ms, caps, grows), DELIVERY, "Append", "EventTime")
 
 
 @contextlib.contextmanager

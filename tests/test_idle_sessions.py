@@ -1,8 +1,10 @@
 """Sessions that end by silence: timers, gaps once, late attempts, state that goes."""
 
+import duckdb
 import pytest
 
 from provenir.operators.ledger import Stream
+from provenir.plans.catalogue import ORACLE_SQL, QUERIES
 from provenir.streaming import delivery
 
 MINUTE = 60_000
@@ -84,3 +86,17 @@ def test_an_attempt_after_the_end_begins_anew(spark, tmp_path):
     # the second attempt of the past is older than the watermark and isn't seen
     assert ended == [("a", "agent-1", 1, 50, 50, 1), ("a", "agent-1", 1, 80, 80, 1)]
     assert attempts == 4
+
+
+def test_events_of_one_millisecond_against_their_ids(spark, tmp_path):
+    # each pair lies in one millisecond, the later event has the smaller id
+    pairs = [("purchase", "view"), ("signup", "signup"), ("click", "view"), ("click", "click"), ("view", "signup"), ("signup", "view")]
+    rows = [f"({100 + u}, '2024-01-01 00:00:00.000100', {u}, '{a}', 1.0), ({u}, '2024-01-01 00:00:00.000900', {u}, '{b}', 2.0)" for u, (a, b) in enumerate(pairs)]
+    rows += [f"({200 + u}, '2024-01-01 00:00:01', {u}, 'click', 2.0)" for u in (0, 1, 5)]
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE events AS SELECT id AS event_id, ts::TIMESTAMP AS ts, u::BIGINT AS user_id, kind AS event_type, v::DOUBLE AS value FROM (VALUES {', '.join(rows)}, (300, '2024-01-03', 99, 'view', 1.0)) t(id, ts, u, kind, v)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    found = QUERIES["idle_sessions"](spark, str(tmp_path))
+    told = con.sql(f"SELECT {', '.join(found.columns)} FROM ({ORACLE_SQL['idle_sessions']})").fetchall()
+    assert sorted(tuple(r) for r in found.collect()) == sorted(told)
+    assert len(told) >= 4
