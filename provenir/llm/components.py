@@ -13,9 +13,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
     The minimum is a partial aggregate, written and joined back: a hub's rows never have to
     meet in one task, since Spark can split a busy key of that join.  ``edges`` is written.
+    It is a merge join at every size: nodes have no bound, so the driver may not hold them.
     """
     least = materialize(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-    met = edges.join(least, "a")
+    met = edges.join(least.hint("merge"), "a")
     if large:
         return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     hung = met.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))

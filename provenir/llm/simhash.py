@@ -302,12 +302,13 @@ def links(fps: DataFrame, bits: int = BITS, partitions: int = PARTITIONS) -> Dat
 
     schema = "part long, key long, {} long"
     entries = fps.select("fp").mapInArrow(index, schema.format("fp"))
+    # fingerprints have no bound: merge joins at every size, never a broadcast by the driver
     # buckets in chunks: the number of chunks follows each bucket's size
     sizes = entries.groupBy("part", "key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-    buckets = entries.join(sizes, ["part", "key"]).groupBy("part", "key", chunk.alias("chunk")).agg(F.collect_list("fp").alias("members"))
+    buckets = entries.join(sizes.hint("merge"), ["part", "key"]).groupBy("part", "key", chunk.alias("chunk")).agg(F.collect_list("fp").alias("members"))
     probes = fps.select("fp").mapInArrow(probe, schema.format("probe"))
-    met = probes.join(buckets.select("part", "key", "members"), ["part", "key"]).filter(~((F.size("members") == 1) & (F.element_at("members", 1) == F.col("probe"))))
+    met = probes.join(buckets.select("part", "key", "members").hint("merge"), ["part", "key"]).filter(~((F.size("members") == 1) & (F.element_at("members", 1) == F.col("probe"))))
     return met.select("probe", "members").mapInArrow(verify, "a long, b long")
 
 
@@ -316,10 +317,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHIN
     known = materialize(fingerprints(docs, id_col, shingle), "fingerprints")
     distinct = materialize(known.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     roots = connected_components(materialize(links(distinct, bits, partitions), "found"))
-    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
+    labelled = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
     labelled = materialize(labelled.select("fp", "label", "least"), "labelled")
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return known.join(labelled.join(least, "label").select("fp", "component_id"), "fp")
+    return known.join(labelled.join(least.hint("merge"), "label").select("fp", "component_id").hint("merge"), "fp")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
