@@ -197,7 +197,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", block_rows: int = BLOCK
     open_units = rows.filter(f"pi > {_EPS} and size > 0").select("uid", "stratum", "pi", "size")
     chosen = cube_sample(open_units, block_rows)
     copies = (F.col("sure") + F.coalesce(F.col("chosen"), F.lit(0))).cast("long")
-    return rows.join(chosen, "uid", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return rows.join(chosen.hint("merge"), "uid", "left").select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

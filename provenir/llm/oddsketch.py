@@ -160,7 +160,7 @@ def central(members: DataFrame, salts: range) -> DataFrame:
     """(a, b): every member of a bucket with the bucket's centres, one for each salt."""
     least = [F.min_by("sid", F.xxhash64(F.lit(s), "sid")).alias(f"c{s}") for s in salts]
     centres = members.groupBy("key").agg(*least).select("key", F.array(*(f"c{s}" for s in salts)).alias("centres"))
-    met = members.join(materialize(centres, "centres"), "key")
+    met = members.join(materialize(centres, "centres").hint("merge"), "key")
     return met.select(F.col("sid").alias("a"), F.explode("centres").alias("b")).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -172,18 +172,18 @@ def blocks(members: DataFrame) -> DataFrame:
     """
     own = members.groupBy("key", "group").agg(F.count("*").alias("own"))
     small = own.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("own") < CHUNK, F.col("own")).otherwise(0)) / CHUNK).alias("shared"))
-    sizes = materialize(own.join(small, "key"), "sizes")
+    sizes = materialize(own.join(small.hint("merge"), "key"), "sizes")
     large = F.col("own") >= CHUNK
     place = F.when(large, F.pmod(F.xxhash64("sid"), F.ceil(F.col("own") / CHUNK))).otherwise(F.pmod(F.xxhash64("group"), F.greatest(F.col("shared"), F.lit(1))))
     block = F.xxhash64(F.when(large, F.col("group")), place)
-    dealt = materialize(members.join(sizes, ["key", "group"]).select("key", "sid", "group", block.alias("block")), "dealt")
+    dealt = materialize(members.join(sizes.hint("merge"), ["key", "group"]).select("key", "sid", "group", block.alias("block")), "dealt")
     of = dealt.groupBy("key", "block").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     i = of.select("key", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
     j = of.select("key", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
     several = (F.col("low_i") != F.col("high_i")) | (F.col("low_j") != F.col("high_j")) | (F.col("low_i") != F.col("low_j"))
-    meet = materialize(i.join(j, "key").filter((F.col("i") <= F.col("j")) & several).select("key", "i", "j"), "meet")
-    first = dealt.join(meet, [dealt["key"] == meet["key"], F.col("block") == F.col("i")]).select(meet["key"], "i", "j", "sid", "group")
-    second = dealt.join(meet.filter("i != j"), [dealt["key"] == meet["key"], F.col("block") == F.col("j")]).select(meet["key"], "i", "j", "sid", "group")
+    meet = materialize(i.join(j.hint("merge"), "key").filter((F.col("i") <= F.col("j")) & several).select("key", "i", "j"), "meet")
+    first = dealt.join(meet.hint("merge"), [dealt["key"] == meet["key"], F.col("block") == F.col("i")]).select(meet["key"], "i", "j", "sid", "group")
+    second = dealt.join(meet.filter("i != j").hint("merge"), [dealt["key"] == meet["key"], F.col("block") == F.col("j")]).select(meet["key"], "i", "j", "sid", "group")
     return first.unionByName(second)
 
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = PERC
     entries = materialize(sets.select("sid", F.explode("keys").alias("key")), "entries")
     sums = [F.sum(F.xxhash64(F.lit(k), "sid").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
     open_ = entries.groupBy("key").agg(F.count("*").alias("members"), *sums).filter("members > 1").groupBy("members", "s1", "s2").agg(F.min("key").alias("key")).select("key")
-    members = materialize(entries.join(materialize(open_, "buckets"), "key").select("key", "sid"), "members")
+    members = materialize(entries.join(materialize(open_, "buckets").hint("merge"), "key").select("key", "sid"), "members")
     met = texts.join(members.select(F.col("sid").alias("uid")).distinct().hint("merge"), "uid", "left_semi").select("uid", "text")
     met = materialize(met, "candidates")
     links = confirmed(central(members, range(1)), sets, met, percent)
@@ -281,9 +281,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = PERC
     groups = materialize(sets.select(*whole, "sid").join(roots.hint("merge"), "sid", "left").select(*whole, F.coalesce("component", "sid").alias("group")), "groups")
     ids = materialize(marked.select("uid", *whole).join(texts.select("uid", "id").hint("merge"), "uid").select("id", *whole), "ids")
     own = ids.groupBy(*whole).agg(F.min("id").alias("least"))
-    least = groups.join(own, whole).groupBy("group").agg(F.min("least").alias("least"))
-    answer = materialize(groups.join(least, "group").select(*whole, "least"), "answer")
-    found = ids.join(answer, whole)
+    least = groups.join(own.hint("merge"), whole).groupBy("group").agg(F.min("least").alias("least"))
+    answer = materialize(groups.join(least.hint("merge"), "group").select(*whole, "least"), "answer")
+    found = ids.join(answer.hint("merge"), whole)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -149,11 +149,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", least: float = SIMILARITY)
     views = materialize(shingle_views(docs, id_col), "views")
     # one row per distinct set goes on; written, so that the join below can split a busy set
     firsts = materialize(views.groupBy("n", "whole").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("first")), "firsts")
-    copies = views.join(firsts.select("n", "whole", "first"), ["n", "whole"]).filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    copies = views.join(firsts.select("n", "whole", "first").hint("merge"), ["n", "whole"]).filter("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     entries = materialize(firsts.select(F.col("first").alias("id"), "n", F.explode("keys").alias("key")), "entries")
     order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("centre"), F.col("n").alias("size"))
     centres = entries.groupBy("key").agg(F.min(order).alias("c"), F.count("*").alias("members")).filter("members > 1").select("key", "c.centre", "c.size")
-    shared = materialize(entries.join(centres, "key"), "shared")
+    shared = materialize(entries.join(centres.hint("merge"), "key"), "shared")
     near = shared.filter((F.col("id") != F.col("centre")) & (F.col("n") >= F.lit(least) * F.col("size")) & (F.col("size") >= F.lit(least) * F.col("n")))
     pairs = materialize(near.select("id", "centre").distinct(), "pairs")
     wanted = pairs.select("id").unionByName(pairs.select(F.col("centre").alias("id"))).distinct()
