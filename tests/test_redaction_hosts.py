@@ -125,3 +125,19 @@ def test_aliases_come_before_patterns(spark):
     assert sorted(found) == sorted(["git.corp.test/o/r", "mirror.test/o/r", "play.x/o/r", "o/r", "odd/o/r"])
     with pytest.raises(ValueError):
         identity.ssh_rules("Host x\n HostName y\n" * 1001)
+
+
+def test_a_worker_holds_few_records_at_a_time(spark, monkeypatch):
+    from provenir.functions import redaction
+
+    monkeypatch.setattr(redaction, "BATCH", 16)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        rows = spark.range(100).coalesce(1).selectExpr("concat('{\"a\":\"/etc/x', id, '\"}') AS raw", "'/work' AS root")
+        sizes = redaction.redact_records(rows, "raw", "root").mapInArrow(lambda batches: batches, "raw string, root string, withheld long")
+        assert sizes.filter("withheld >= 6").count() == 100
+        assert int(spark.conf.get(key)) == 16
+    finally:
+        spark.conf.set(key, before)
