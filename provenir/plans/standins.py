@@ -12,16 +12,20 @@ STATUS = {"view": 200, "purchase": 200, "click": 503, "signup": 413, "error": 40
 #: Return flag -> grade of the stand-in edge.
 GRADE = {"A": "derived", "N": "observed", "R": "declared"}
 
+#: Rows of costly work in one task.
+TASK_ROWS = 50_000
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """The rows dealt to all cores where the input has fewer splits than that, before costly work
-    on each of them; an input of many splits is left as it lies, without a shuffle."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """The rows dealt to all cores, and to tasks of ``TASK_ROWS`` at most on average, before costly
+    work on each of them: a split of a compressed table holds any number of rows.  An input of
+    that many splits is left as it lies, without a shuffle."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
 
 
 def mapped(column: str, values: dict) -> Column:

@@ -22,3 +22,15 @@ def test_package_reaches_workers(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", SCRIPT.format(root=ROOT)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert "FINE" in done.stdout, done.stderr[-2000:]
+
+
+def test_costly_rows_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    from provenir.plans import standins
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(standins, "TASK_ROWS", 50)
+    rows = standins.spread(spark.read.parquet(str(tmp_path / "t")).coalesce(5))
+    assert rows.rdd.getNumPartitions() == 20
+    assert rows.count() == 1000
+    few = spark.read.parquet(str(tmp_path / "t")).repartition(30)
+    assert standins.spread(few).rdd.getNumPartitions() == 30
